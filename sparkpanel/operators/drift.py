@@ -81,7 +81,11 @@ def numeric_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int =
 
     def binned(long_df: DataFrame, keys: list[str]) -> DataFrame:
         b = long_df.where(v.isNotNull()).join(e_small, on=[*ref_by, "feature"], how="inner")
-        b = b.withColumn("bin", F.size(F.filter("inner", lambda x: x < F.col("v"))))
+        # right-closed bin = number of inner edges below the value; at most
+        # bins-1 edges, unrolled so the expression stays in generated code
+        terms = [F.coalesce((F.try_element_at("inner", F.lit(i)) < F.col("v")).cast("int"), F.lit(0))
+                 for i in range(1, bins)]
+        b = b.withColumn("bin", sum(terms[1:], terms[0]) if terms else F.lit(0))
         return b.groupBy(*keys, "feature", "bin").agg(F.count(F.lit(1)).alias("c"))
 
     rb = binned(rl, ref_by).withColumnRenamed("c", "c_ref")

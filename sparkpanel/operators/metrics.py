@@ -147,39 +147,30 @@ def threshold_sweep(df: DataFrame, y: str = "y", score: str = "score",
                     grid: Sequence[float] = TUNING_GRID, by: Sequence[str] = ()) -> DataFrame:
     """Confusion counts and rates for every grid threshold in ONE pass.
 
-    Rows are grouped by ``bucket = #{t in grid : t <= score}``; the counts at
-    threshold ``t_k`` are suffix sums over buckets ``>= k`` (at most
-    ``len(grid)+1`` rows per group)."""
-    spark = df.sparkSession
+    Rows are grouped by ``k = #{t in grid : t <= score}`` (map-side
+    combined, at most ``len(grid)+1`` groups); the counts at threshold
+    ``t_k`` are sums over buckets ``>= k``, taken in one small aggregate over
+    those bucket rows and unpivoted to one row per threshold."""
     g = sorted(float(t) for t in grid)
     by = list(by)
     base = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
     counts = (base.groupBy(*by, grid_bucket(F.col(score), g).alias("k"))
               .agg(F.sum(F.col(y).cast("long")).alias("pos_k"),
                    F.sum((1 - F.col(y)).cast("long")).alias("neg_k")))
-    m = len(g)
-    zero = [F.lit(0).cast("long").alias("pos_k"), F.lit(0).cast("long").alias("neg_k")]
-    if by:
-        frame = counts.select(*by).distinct().select(
-            *by, F.explode(F.sequence(F.lit(0), F.lit(m))).alias("k"), *zero)
-    else:
-        frame = spark.range(0, m + 1).select(F.col("id").cast("int").alias("k"), *zero)
-    full = (counts.unionByName(frame).groupBy(*by, "k")
-            .agg(F.sum("pos_k").alias("pos_k"), F.sum("neg_k").alias("neg_k")))
-    # suffix sums over the (len(grid)+1) buckets of each group
-    w_suffix = Window.partitionBy(*by).orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    w_all = Window.partitionBy(*by)
-    grid_df = spark.createDataFrame([(k + 1, t) for k, t in enumerate(g)], "k int, threshold double")
-    j = (full.withColumn("tp", F.sum("pos_k").over(w_suffix))
-         .withColumn("fp", F.sum("neg_k").over(w_suffix))
-         .withColumn("P", F.sum("pos_k").over(w_all))
-         .withColumn("N", F.sum("neg_k").over(w_all))
-         .join(F.broadcast(grid_df), on="k", how="inner"))
+    aggs = [F.sum("pos_k").alias("P"), F.sum("neg_k").alias("N")]
+    for k in range(1, len(g) + 1):
+        hit = F.col("k") >= k
+        aggs += [F.sum(F.when(hit, F.col("pos_k")).otherwise(0)).alias(f"tp{k}"),
+                 F.sum(F.when(hit, F.col("neg_k")).otherwise(0)).alias(f"fp{k}")]
+    wide = counts.groupBy(*by).agg(*aggs)
+    stack = ", ".join(f"CAST({t!r} AS DOUBLE), tp{k}, fp{k}" for k, t in enumerate(g, start=1))
+    long = wide.selectExpr(*[f"`{b}`" for b in by], "P", "N",
+                           f"stack({len(g)}, {stack}) AS (threshold, tp, fp)")
     tp, fp = F.col("tp").cast("long"), F.col("fp").cast("long")
     fn, tn = F.col("P") - tp, F.col("N") - fp
     r = _rates(tp, fp, fn)
-    return j.select(*by, "threshold", tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"),
-                    r["precision"].alias("precision"), r["recall"].alias("recall"), r["f1"].alias("f1"))
+    return long.select(*by, "threshold", tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"),
+                       r["precision"].alias("precision"), r["recall"].alias("recall"), r["f1"].alias("f1"))
 
 
 def pick_threshold(df: DataFrame, y: str = "y", score: str = "score",

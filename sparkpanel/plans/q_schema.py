@@ -91,7 +91,8 @@ SELECT o_orderkey, forbidden FROM r WHERE reason = 'leakage'
 def leakage_guard_rows(spark, sf):
     """F8: payload rows rejected for target / t+1 keys, with the keys."""
     g = _guarded(spark, sf)
-    return g.where(F.col("reject_reason") == "leakage").select("o_orderkey", "forbidden")
+    return (g.where(F.col("reject_reason") == "leakage")
+            .select("o_orderkey", SC.forbidden_keys(F.col("keys")).alias("forbidden")))
 
 
 @register("unrecognised_rows", _FEATS_SQL + """
@@ -101,4 +102,4 @@ def unrecognised_rows(spark, sf):
     """payload rows without any recognised feature."""
     g = _guarded(spark, sf)
     return (g.where(F.col("reject_reason") == "no_known_feature")
-            .select("o_orderkey", F.array_sort(F.map_keys("feats")).alias("keys")))
+            .select("o_orderkey", F.array_sort("keys").alias("keys")))
