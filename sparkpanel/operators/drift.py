@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import band, clip, to_double
+from .ranking import exact_quantiles
 from .schema import common_columns, is_numeric_type, q
 
 EPS = 1e-6
@@ -62,30 +63,63 @@ def numeric_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int =
 
     Returns ``(by..., feature, score, n_ref, n_cur)``; score 0 when a side
     is empty or the reference has fewer than two distinct edges.
-    ``quantiles='approx'`` bounds the memory of the edge aggregate for very
-    high-cardinality columns (``percentile_approx``)."""
+    ``quantiles``: ``exact`` (default; distributed histogram, see
+    ``ranking.exact_quantiles``), ``percentile`` (Spark's exact aggregate,
+    which merges each group's value map in one task) or ``approx``."""
     by = list(by)
     ref_by = list(by if ref_by is None else ref_by)
     ps = decile_probs(bins)
     rl = _long(ref, ref_by, cols, True)
     cl = _long(cur, by, cols, True)
     v = F.col("v")
-    qexpr = (F.percentile(v, ps) if quantiles == "exact"
-             else F.percentile_approx(v, ps, accuracy))
-    edges = (rl.groupBy(*ref_by, "feature")
-             .agg(F.array_sort(F.array_distinct(qexpr)).alias("e"), F.count(v).alias("n_ref")))
+    if quantiles == "exact":
+        # distributed histogram + prefix sums; no group is merged in one task
+        edges = (exact_quantiles(rl, [*ref_by, "feature"], "v", ps)
+                 .select(*ref_by, "feature", F.array_sort(F.array_distinct("q")).alias("e"),
+                         F.col("n").alias("n_ref")))
+    else:
+        qexpr = F.percentile(v, ps) if quantiles == "percentile" else F.percentile_approx(v, ps, accuracy)
+        edges = (rl.groupBy(*ref_by, "feature")
+                 .agg(F.array_sort(F.array_distinct(qexpr)).alias("e"), F.count(v).alias("n_ref")))
     edges = edges.select(*ref_by, "feature", "n_ref", (F.size("e") - 1).alias("nb"),
                          F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))).alias("inner"))
     # bounded: #reference groups x #features rows, one small array each
     e_small = F.broadcast(edges.select(*ref_by, "feature", "inner", "nb"))
 
-    def binned(long_df: DataFrame, keys: list[str]) -> DataFrame:
-        b = long_df.where(v.isNotNull()).join(e_small, on=[*ref_by, "feature"], how="inner")
+    def bin_of(col: Column) -> Column:
         # right-closed bin = number of inner edges below the value; at most
         # bins-1 edges, unrolled so the expression stays in generated code
-        terms = [F.coalesce((F.try_element_at("inner", F.lit(i)) < F.col("v")).cast("int"), F.lit(0))
+        terms = [F.coalesce((F.try_element_at("inner", F.lit(i)) < col).cast("int"), F.lit(0))
                  for i in range(1, bins)]
-        b = b.withColumn("bin", sum(terms[1:], terms[0]) if terms else F.lit(0))
+        return sum(terms[1:], terms[0]) if terms else F.lit(0)
+
+    if ref_by == by:
+        # one pass over both sides: conditional counts per (group, feature, bin)
+        both = rl.withColumn("_side", F.lit(0)).unionByName(cl.withColumn("_side", F.lit(1)))
+        b = both.join(e_small, on=[*by, "feature"], how="left")
+        b = b.withColumn("bin", F.when(v.isNotNull() & F.col("nb").isNotNull(), bin_of(v)))
+        side0, side1 = F.col("_side") == 0, F.col("_side") == 1
+        counts = b.groupBy(*by, "feature", "bin").agg(
+            F.count_if(side0 & v.isNotNull()).alias("c_ref"), F.count_if(side1 & v.isNotNull()).alias("c_cur"),
+            F.count_if(side1).alias("rows_cur"))
+        tot = counts.groupBy(*by, "feature").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"),
+                                                 F.sum("rows_cur").alias("rows_cur"))
+        tot = tot.where(F.col("rows_cur") > 0).join(e_small.select(*by, "feature", "nb"), [*by, "feature"], "left")
+        cells = (tot.where(F.col("nb") >= 1)
+                 .select(*by, "feature", "n_ref", "n_cur",
+                         F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bin"))
+                 .join(counts.select(*by, "feature", "bin", "c_ref", "c_cur"), [*by, "feature", "bin"], "left"))
+        terms = cells.select(*by, "feature", _psi_term(_prob(F.coalesce("c_ref", F.lit(0)), F.col("n_ref")),
+                                                       _prob(F.coalesce("c_cur", F.lit(0)), F.col("n_cur"))).alias("t"))
+        psi = terms.groupBy(*by, "feature").agg(F.sum("t").alias("psi"))
+        out = tot.join(psi, on=[*by, "feature"], how="left")
+        ok = (F.col("n_ref") > 0) & (F.col("n_cur") > 0) & (F.coalesce("nb", F.lit(0)) >= 1)
+        return out.select(*by, "feature", F.when(ok, F.coalesce("psi", F.lit(0.0))).otherwise(F.lit(0.0)).alias("score"),
+                          F.col("n_ref").cast("long").alias("n_ref"), F.col("n_cur").cast("long").alias("n_cur"))
+
+    def binned(long_df: DataFrame, keys: list[str]) -> DataFrame:
+        b = long_df.where(v.isNotNull()).join(e_small, on=[*ref_by, "feature"], how="inner")
+        b = b.withColumn("bin", bin_of(F.col("v")))
         return b.groupBy(*keys, "feature", "bin").agg(F.count(F.lit(1)).alias("c"))
 
     rb = binned(rl, ref_by).withColumnRenamed("c", "c_ref")
@@ -115,6 +149,27 @@ def categorical_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str],
     rl = _long(ref, ref_by, cols, False)
     cl = _long(cur, by, cols, False)
     cat = F.coalesce(F.col("v"), F.lit(NA)).alias("cat")
+    if ref_by == by:
+        # one pass: conditional counts per (group, feature, category) over the
+        # union of both sides = the union of the two category domains
+        both = rl.withColumn("_side", F.lit(0)).unionByName(cl.withColumn("_side", F.lit(1)))
+        s0, s1 = F.col("_side") == 0, F.col("_side") == 1
+        counts = both.groupBy(*by, "feature", cat).agg(
+            F.count_if(s0).alias("c_ref"), F.count_if(s1).alias("c_cur"),
+            F.count_if(s0 & F.col("v").isNotNull()).alias("nn_ref"),
+            F.count_if(s1 & F.col("v").isNotNull()).alias("nn_cur"))
+        tot = (counts.groupBy(*by, "feature")
+               .agg(F.sum("c_ref").alias("t_ref"), F.sum("c_cur").alias("t_cur"),
+                    F.sum("nn_ref").alias("n_ref"), F.sum("nn_cur").alias("n_cur"))
+               .where(F.col("t_cur") > 0))
+        # bounded broadcast: #groups x #features rows
+        cells = counts.join(F.broadcast(tot.select(*by, "feature", "t_ref", "t_cur")), [*by, "feature"], "inner")
+        terms = cells.select(*by, "feature", _psi_term(_prob(F.col("c_ref"), F.col("t_ref")),
+                                                       _prob(F.col("c_cur"), F.col("t_cur"))).alias("t"))
+        psi = terms.groupBy(*by, "feature").agg(F.sum("t").alias("score"))
+        out = tot.join(psi, on=[*by, "feature"], how="left")
+        return out.select(*by, "feature", F.coalesce("score", F.lit(0.0)).alias("score"),
+                          F.col("n_ref").cast("long").alias("n_ref"), F.col("n_cur").cast("long").alias("n_cur"))
     rc = rl.groupBy(*ref_by, "feature", cat).agg(F.count(F.lit(1)).alias("c_ref"), F.count("v").alias("nn_ref"))
     cc = cl.groupBy(*by, "feature", cat).agg(F.count(F.lit(1)).alias("c_cur"), F.count("v").alias("nn_cur"))
     cur_keys = cc.groupBy(*by, "feature").agg(F.sum("c_cur").alias("t_cur"), F.sum("nn_cur").alias("n_cur"))

@@ -7,11 +7,8 @@ Scale notes
   of grid thresholds ``<= score`` (a CASE chain in generated code) and only
   ``len(grid) + 1`` groups leave each task.
 * ROC AUC is exact (Mann-Whitney with ties) and distributed: rows are first
-  combined per distinct score, the distinct scores are split into ranges by
-  approximate quantiles (a bounded list of edges), the negatives below each
-  range come from a prefix over the (few) range totals, and the running sum
-  inside a range is a window partitioned by the range.  No step puts all
-  scores into one task.
+  combined per distinct score, then ``ranking.prefix_sums`` gives the
+  negatives below each score without putting all scores into one task.
 """
 
 from __future__ import annotations
@@ -19,11 +16,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import grid_bucket
+from .ranking import prefix_sums
 
 # The two threshold grids of the reference.
 TUNING_GRID = tuple(float(x) for x in np.round(np.arange(0.05, 0.96, 0.05), 2))
@@ -64,45 +61,17 @@ def confusion_matrix(df: DataFrame, y: str = "y", pred: str = "pred",
 
 
 # ------------------------------------------------------------------ A17
-def _score_edges(g: DataFrame, score: str, n_ranges: int) -> list[float]:
-    """Approximate quantiles of the distinct scores (bounded: n_ranges-1)."""
-    if n_ranges <= 1:
-        return []
-    ps = [i / n_ranges for i in range(1, n_ranges)]
-    row = g.agg(F.percentile_approx(score, ps, 10000).alias("e")).first()
-    edges = sorted({float(x) for x in (row["e"] or []) if x is not None and np.isfinite(x)})
-    return edges
-
-
 def score_table(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (),
                 n_ranges: int | None = None) -> DataFrame:
     """Per distinct score: ``pos``, ``neg`` and ``neg_below`` (negatives with a
-    strictly smaller score in the same group)."""
-    spark = df.sparkSession
+    strictly smaller score in the same group), via distributed prefix sums."""
     by = list(by)
     base = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
     g = (base.groupBy(*by, score)
          .agg(F.sum(F.col(y).cast("long")).alias("pos"),
               F.sum((1 - F.col(y)).cast("long")).alias("neg")))
-    if n_ranges is None:
-        n_ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    edges = _score_edges(g, score, n_ranges)
-    if edges:
-        splits = [-float("inf")] + edges + [float("inf")]
-        g = (Bucketizer(splits=splits, inputCol=score, outputCol="_rng", handleInvalid="keep")
-             .transform(g.withColumn(score, F.col(score).cast("double"))))
-        g = g.withColumn("_rng", F.col("_rng").cast("int"))
-    else:
-        g = g.withColumn("_rng", F.lit(0))
-    # range totals: at most len(groups) * n_ranges rows -> bounded broadcast
-    tot = g.groupBy(*by, "_rng").agg(F.sum("neg").alias("_rneg"))
-    wprev = Window.partitionBy(*by).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_before", F.coalesce(F.sum("_rneg").over(wprev), F.lit(0))).drop("_rneg")
-    win = Window.partitionBy(*by, "_rng").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("_inside", F.coalesce(F.sum("neg").over(win), F.lit(0)))
-    g = g.join(F.broadcast(tot), on=[*by, "_rng"], how="inner")
-    return g.select(*by, score, "pos", "neg",
-                    (F.col("_before") + F.col("_inside")).alias("neg_below"))
+    st = prefix_sums(g, by, score, ["neg"], n_ranges)
+    return st.withColumnRenamed("neg_before", "neg_below")
 
 
 def _auc_expr() -> Column:
