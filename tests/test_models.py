@@ -68,3 +68,21 @@ def test_search_space_sample():
     pts = MD.sample_space(MD.param_space("xgb"), 25, 42)
     assert len(pts) == 25 and pts == MD.sample_space(MD.param_space("xgb"), 25, 42)
     assert len(MD.sample_space(MD.param_space("logreg"), 25, 42)) == 10
+
+
+def test_preprocessor_persist_roundtrip(spark, pairs, tmpdir_path):
+    import os
+    pre = FE.fit_preprocessor(pairs, ["a", "b"], ["bolsa"])
+    path = os.path.join(tmpdir_path, "pre")
+    FE.save_preprocessor(pre, path)
+    loaded = FE.load_preprocessor(path)
+    a = [r.features for r in pre.model.transform(pairs).select("features").collect()]
+    b = [r.features for r in loaded.transform(pairs).select("features").collect()]
+    assert a == b
+
+
+def test_tuning_with_folds(spark, pairs):
+    cfg = MD.ModelConfig("tree")
+    pre = FE.fit_preprocessor(pairs, ["a", "b"], ["bolsa"])
+    cvm = MD.tune(pairs, [pre.model], cfg, "y", "ra", MD.TuningConfig(n_splits=3, n_iter=2, parallelism=2))
+    assert len(cvm.avgMetrics) == 2 and all(0.0 <= m <= 1.0 for m in cvm.avgMetrics)

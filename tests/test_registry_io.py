@@ -68,3 +68,14 @@ def test_write_partitioned_and_periods(spark, tmpdir_path):
     io.write_table(df.select("ra"), p2)
     panel = io.load_periods(spark, {2022: p1, 2023: p2})
     assert panel.where(F.col("ano") == 2023).where(F.col("f").isNull()).count() == 2
+
+
+def test_record_run_and_trim(spark, runs, tmpdir_path):
+    path = os.path.join(tmpdir_path, "runs")
+    RG.record_run(path, runs.limit(2))
+    RG.record_run(path, runs)
+    assert spark.read.parquet(path).count() == 6
+    messy = spark.createDataFrame([(1, 2)], "` model ` int, `test_f1 ` int")
+    assert RG.trim_columns(messy).columns == ["model", "test_f1"]
+    info = RG.model_info(RG.latest_per_model(runs)).collect()
+    assert {r.model for r in info} == {"dummy", "xgb", "rf"} and all(r.threshold == 0.5 for r in info)
