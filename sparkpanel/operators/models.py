@@ -247,6 +247,16 @@ def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], cf
     if cfg.name == "dummy":
         maj = majority(train, y).first()["majority"]
         return FittedModel("dummy", constant_model(1.0 if maj == 1 else 0.0), [*numeric, *categorical])
+    from pyspark import StorageLevel
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)  # read by every fitting job below
+    try:
+        return _fit_persisted(train, numeric, categorical, cfg, y, id_col, tuning)
+    finally:
+        train.unpersist()
+
+
+def _fit_persisted(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], cfg: ModelConfig,
+                   y: str, id_col: str, tuning: TuningConfig | None) -> FittedModel:
     pre = FE.fit_preprocessor(train, numeric, categorical)
     counts = class_counts(train, y)
     balanced = (cfg.name == "tree" and cfg.dt_balanced) or (cfg.name == "rf" and cfg.rf_balanced)
@@ -264,12 +274,17 @@ def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], cf
 def train_baseline(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                    y: str = "y") -> FittedModel:
     """M6: class-balanced logistic regression on the preprocessed features."""
-    pre = FE.fit_preprocessor(train, numeric, categorical)
-    counts = class_counts(train, y)
-    data = train.withColumn("w_balanced", balanced_weight(counts, y))
-    est = build_classifier(ModelConfig("logreg"), weight_col="w_balanced",
-                           sum_weights=float(sum(counts.values())))
-    model = Pipeline(stages=[pre.model, est]).fit(data)
+    from pyspark import StorageLevel
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        pre = FE.fit_preprocessor(train, numeric, categorical)
+        counts = class_counts(train, y)
+        data = train.withColumn("w_balanced", balanced_weight(counts, y))
+        est = build_classifier(ModelConfig("logreg"), weight_col="w_balanced",
+                               sum_weights=float(sum(counts.values())))
+        model = Pipeline(stages=[pre.model, est]).fit(data)
+    finally:
+        train.unpersist()
     return FittedModel("logreg", model, pre.selected, pre.numeric, pre.categorical)
 
 
