@@ -1,16 +1,16 @@
 """Temporal pairs.
 
 A pair row holds an entity's period-``t`` features and a target derived only
-from its period-``t+1`` row.  Both are one inner equi-join: only the id, the
-shifted period and the target column cross from the ``t+1`` side, so the
-shuffle on that side carries three narrow columns.
+from its period-``t+1`` row.  Two period tables pair by one inner equi-join
+in which only the id and the target cross from the ``t+1`` side; a whole
+panel pairs all its periods with one ``lead()`` window keyed by the id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import detect_id_column
@@ -62,18 +62,21 @@ def temporal_pair(df_t: DataFrame, df_t1: DataFrame, year_t: int, year_t1: int,
 def all_pairs(panel: DataFrame, *, id_col: str, period_col: str = "ano",
               target: Callable[[DataFrame], Column] | None = None, step: int = 1,
               drop_feature_cols: Sequence[str] = ()) -> DataFrame:
-    """Every consecutive pair of a panel in ONE join.
+    """Every consecutive pair of a panel in ONE pass.
 
-    The ``t+1`` side is projected to ``(id, period - step, y)`` and joined on
-    ``(id, period)``; the left side keeps the partitioning it already has when
-    the panel was produced by a ``groupBy(id, period)``.  Assumes one row per
-    (id, period) (check with ``quality.id_quality``).
+    ``lead()`` over ``PARTITION BY id ORDER BY period`` brings the next
+    period's target onto each row; a row pairs only when that next period is
+    exactly ``period + step``.  The panel is read once and shuffled once by
+    id; each id holds at most #periods rows, so a hot id cannot skew it.
+    Assumes one row per (id, period) (check with ``quality.id_quality``).
     """
     target = target or default_target()
-    right = panel.select(F.col(id_col), (F.col(period_col) - F.lit(step)).alias(period_col),
-                         target(panel).alias("y"))
+    w = Window.partitionBy(id_col).orderBy(period_col)
     feats = _pair_columns(panel, id_col, set(drop_feature_cols) | {period_col})
-    return (panel.join(right, on=[id_col, period_col], how="inner")
+    nxt = panel.select(F.col(id_col), F.col(period_col), *[F.col(c) for c in feats],
+                       F.lead(F.col(period_col)).over(w).alias("_next"),
+                       F.lead(target(panel)).over(w).alias("y"))
+    return (nxt.where(F.col("_next") == F.col(period_col) + F.lit(step))
             .select(F.col(id_col), F.col(period_col).cast("int").alias("year_t"),
                     (F.col(period_col) + F.lit(step)).cast("int").alias("year_t1"),
                     F.col("y"), *[F.col(c) for c in feats]))
