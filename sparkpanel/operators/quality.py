@@ -73,21 +73,20 @@ def coverage_by_period(panel: DataFrame, id_col: str, period_col: str = "ano",
     """F6 for every consecutive period pair of a panel in one job:
     ``(year_t, year_t1, n_t, n_t1, n_common)``.
 
-    Distinct (id, period) keys are joined with themselves shifted by ``step``
-    (full outer), then aggregated per pair; periods with no ``t+1`` rows are
-    dropped."""
+    Distinct (id, period) keys, then ``lead()`` over each id's periods flags
+    the ids also present in ``period + step``; one aggregate per period and
+    a join of that (#periods-row) table with itself shifted.  Periods with
+    no ``t+1`` rows are dropped."""
+    from pyspark.sql import Window
     keys = (panel.select(F.col(id_col).cast("string").alias("k"), F.col(period_col).alias("p"))
             .where(F.col("k").isNotNull()).distinct())
-    left = keys.select("k", F.col("p").alias("year_t"), F.lit(1).alias("in_t"))
-    right = keys.select("k", (F.col("p") - step).alias("year_t"), F.lit(1).alias("in_t1"))
-    j = left.join(right, ["k", "year_t"], "full_outer")
-    rep = (j.groupBy("year_t")
-           .agg(F.count("in_t").alias("n_t"), F.count("in_t1").alias("n_t1"),
-                F.count_if(F.col("in_t").isNotNull() & F.col("in_t1").isNotNull()).alias("n_common")))
-    return (rep.where((F.col("n_t") > 0) & (F.col("n_t1") > 0))
-            .select(F.col("year_t").cast("int").alias("year_t"),
-                    (F.col("year_t") + step).cast("int").alias("year_t1"),
-                    "n_t", "n_t1", "n_common"))
+    w = Window.partitionBy("k").orderBy("p")
+    flagged = keys.withColumn("_both", F.lead("p").over(w) == F.col("p") + step)
+    per = flagged.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if("_both").alias("n_common"))
+    nxt = per.select((F.col("p") - step).alias("p"), F.col("n").alias("n_t1"))
+    return (per.join(nxt, "p", "inner")
+            .select(F.col("p").cast("int").alias("year_t"), (F.col("p") + step).cast("int").alias("year_t1"),
+                    F.col("n").alias("n_t"), "n_t1", "n_common"))
 
 
 def basic_stats(df: DataFrame, y_col: str = "y", by: Sequence[str] = ()) -> DataFrame:
