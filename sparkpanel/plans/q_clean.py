@@ -61,8 +61,8 @@ def clean_string(spark, sf):
     """T3 over whole documents: collapse white space runs, trim."""
     d = table(spark, sf, "documents")
     c = X.clean_string("text")
-    return d.select("doc_id", F.md5(c).alias("text_md5"), F.length(c).alias("n_clean"),
-                    (F.length("text") - F.length(c)).alias("n_removed"))
+    return d.select("doc_id", F.md5(c).alias("text_md5"), F.length(c).cast("long").alias("n_clean"),
+                    (F.length("text") - F.length(c)).cast("long").alias("n_removed"))
 
 
 @register("strip_accents", """
@@ -75,7 +75,7 @@ def strip_accents(spark, sf):
     d = table(spark, sf, "documents")
     plain = d.select("doc_id", "lang", X.strip_accents("text").alias("plain"))
     return plain.select("doc_id", "lang", F.md5("plain").alias("text_md5"),
-                        F.md5(F.lower("plain")).alias("lower_md5"), F.length("plain").alias("n_chars_plain"))
+                        F.md5(F.lower("plain")).alias("lower_md5"), F.length("plain").cast("long").alias("n_chars_plain"))
 
 
 # Segment -> ordinal for the test binding (MACHINERY is deliberately unknown).
