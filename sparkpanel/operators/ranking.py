@@ -33,10 +33,15 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn(GKEY, F.lit(0)), [GKEY]
 
 
+# Ranges per group are found by scanning the group's (sorted) edge list, so
+# their number is capped; each range's window is a sort that spills to disk.
+MAX_RANGES = 64
+
+
 def _n_ranges(spark, n_ranges: int | None) -> int:
     if n_ranges is None:
         n_ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, int(n_ranges))
+    return max(1, min(int(n_ranges), MAX_RANGES))
 
 
 def _local(spark, rows, schema) -> DataFrame:

@@ -127,11 +127,13 @@ FROM panel p JOIN first f USING (id) JOIN customer c ON c.c_custkey = p.id
 """)
 def derive_gaps(spark, sf):
     """Age, tenure and gap as differences of coerced numbers."""
+    from pyspark.sql import Window
     panel = orders_panel(spark, sf)
-    first = panel.groupBy("id").agg(F.min("ano").alias("ano_ingresso"))
+    # entry year = first period of the id (window over its <= #periods rows)
+    first = panel.withColumn("ano_ingresso", F.min("ano").over(Window.partitionBy("id")))
     cust = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"),
                                                (F.lit(1950) + F.col("c_nationkey")).alias("ano_nasc"))
-    j = panel.join(first, "id").join(cust, "id")
+    j = first.join(cust, "id")
     return j.select("id", "ano",
                     X.diff("ano", "ano_ingresso").alias("tenure"),
                     X.diff("ano", "ano_nasc").alias("idade"),
