@@ -14,6 +14,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import dedupe_names, normalize_colname
 
@@ -46,21 +47,25 @@ def read_csv_strings(spark: SparkSession, path: str, sep: str = ";",
                      encoding: str = "utf-8", normalize_names: bool = True,
                      na_tokens: Iterable[str] = NA_TOKENS) -> DataFrame:
     """Header CSV read with every column as string (no inference, so
-    ``007`` stays ``007``), names normalised (P2) and NA tokens -> NULL."""
-    df = _guard(lambda: spark.read.options(header=True, sep=sep, encoding=encoding,
-                                          inferSchema=False, multiLine=False,
-                                          enforceSchema=False).csv(path), path)
-    names = df.columns
-    if normalize_names:
-        names = dedupe_names([normalize_colname(c) or "col" for c in names])
+    ``007`` stays ``007``), names normalised (P2) and NA tokens -> NULL.
+
+    The raw header row is read first (one row) and normalised/de-duplicated
+    here, because Spark's own header handling renames duplicates
+    case-insensitively before normalisation could see them (Q10)."""
+    opts = dict(sep=sep, encoding=encoding, multiLine=False)
+    head = _guard(lambda: spark.read.options(header=False, **opts).csv(path).first(), path)
+    if head is None:
+        raise SourceNotFound(f"empty input: {path}")
+    raw = [(h or "").lstrip("\ufeff") for h in head]
+    names = dedupe_names([normalize_colname(c) or "col" for c in raw]) if normalize_names \
+        else dedupe_names([c or "col" for c in raw])
+    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+    df = spark.read.schema(schema).options(header=True, enforceSchema=True, **opts).csv(path)
     tokens = list(na_tokens)
-    cols = []
-    for old, new in zip(df.columns, names):
-        c = F.col(f"`{old}`")
-        if tokens:
-            c = F.when(F.trim(c).isin(tokens), F.lit(None).cast("string")).otherwise(c)
-        cols.append(c.alias(new))
-    return df.select(*cols)
+    if not tokens:
+        return df
+    return df.select(*[F.when(F.trim(F.col(f"`{n}`")).isin(tokens), F.lit(None).cast("string"))
+                       .otherwise(F.col(f"`{n}`")).alias(n) for n in names])
 
 
 def read_table(spark: SparkSession, path: str, csv_sep: str = ",") -> DataFrame:

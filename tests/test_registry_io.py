@@ -79,3 +79,14 @@ def test_record_run_and_trim(spark, runs, tmpdir_path):
     assert RG.trim_columns(messy).columns == ["model", "test_f1"]
     info = RG.model_info(RG.latest_per_model(runs)).collect()
     assert {r.model for r in info} == {"dummy", "xgb", "rf"} and all(r.threshold == 0.5 for r in info)
+
+
+def test_csv_strings_names_and_na_tokens(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "raw.csv")
+    with open(path, "w", encoding="utf-8") as fh:
+        fh.write("RA;Ano;ano;Nº Av;Nota\n007;2022;x;NA;  n/a\n008;2022;y;3;7,5\n")
+    df = io.read_csv_strings(spark, path)
+    assert df.columns == ["ra", "ano", "ano_1", "no_av", "nota"]
+    rows = df.orderBy("ra").collect()
+    assert rows[0].ra == "007" and rows[0].no_av is None and rows[0].nota is None
+    assert rows[1].nota == "7,5"
