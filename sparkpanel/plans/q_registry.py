@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import normalize_model_key
+from ..functions.scalar import normalize_model_key, run_id_from_ts
 from ..operators import registry as RG
 from .catalog import register
 from .tables import table
@@ -17,7 +17,7 @@ def runs(spark, sf):
     """One run per event: model from the messy key (T16), run id from the
     time (T19), metrics from the value and the JSON props."""
     e = table(spark, sf, "events")
-    run_id = F.date_format("ts", "yyyyMMdd_HHmmss")
+    run_id = run_id_from_ts(F.col("ts"))
     model = normalize_model_key(F.expr(RUN_KEY))
     return e.select("event_id", "event_type", run_id.alias("run_id"), model.alias("model"),
                     F.col("ts").alias("run_ts"), (F.col("value") / 100.0).alias("threshold"),

@@ -90,3 +90,12 @@ def test_csv_strings_names_and_na_tokens(spark, tmpdir_path):
     rows = df.orderBy("ra").collect()
     assert rows[0].ra == "007" and rows[0].no_av is None and rows[0].nota is None
     assert rows[1].nota == "7,5"
+
+
+def test_write_report_json(spark, tmpdir_path):
+    from sparkpanel.operators import quality as Q
+    df = spark.createDataFrame([(1, 0), (2, 1)], "x int, y int")
+    out = os.path.join(tmpdir_path, "report")
+    io.write_report(Q.basic_stats(df), out)
+    back = spark.read.json(out).first()
+    assert back.n_rows == 2 and back.n_cols == 2
