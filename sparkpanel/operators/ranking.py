@@ -16,23 +16,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-GKEY = "__grp"
 # A window over this many distinct values in one task is cheap; larger
 # groups are split into ranges.
 ROWS_PER_RANGE = 2_000_000
 
 
-def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Give a global computation a constant group key so every join below
-    is an equi-join (never a cartesian product)."""
-    keys = list(keys)
-    if keys:
-        return df, keys
-    return df.withColumn(GKEY, F.lit(0)), [GKEY]
-
-
 # Ranges per group are found by scanning the group's (sorted) edge list, so
 # their number is capped; each range's window is a sort that spills to disk.
 MAX_RANGES = 64
@@ -53,21 +44,23 @@ def with_ranges(df: DataFrame, keys: Sequence[str], order_col: str, n_ranges: in
                 out: str = "_rng") -> DataFrame:
     """Add a range index per row: the number of per-group approximate
     quantile edges ``<= order_col``.  The edges are computed in one job and
-    kept as a small broadcast table (bounded: #groups x n_ranges values)."""
+    kept as a small broadcast table (bounded: #groups x n_ranges values);
+    without group keys they become a literal array (no join at all)."""
     spark = df.sparkSession
     n = _n_ranges(spark, n_ranges)
     if n <= 1:
         return df.withColumn(out, F.lit(0))
     keys = list(keys)
-    assert keys, "with_ranges needs group keys (see _keyed)"
     ps = [i / n for i in range(1, n)]
-    edges = (df.groupBy(*keys)
-             .agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col(order_col).cast("double"), ps, 10000)))
-                  .alias("_edges")))
-    schema = edges.schema
-    edges = _local(spark, edges.collect(), schema)
-    j = df.join(F.broadcast(edges), on=keys, how="left")
     v = F.col(order_col).cast("double")
+    q = F.array_sort(F.array_distinct(F.percentile_approx(v, ps, 10000))).alias("_edges")
+    if not keys:
+        edges = df.agg(q).first()["_edges"] or []
+        lit = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
+        return df.withColumn(out, F.size(F.filter(lit, lambda e: e <= v)))
+    edges = df.groupBy(*keys).agg(q)
+    edges = _local(spark, edges.collect(), edges.schema)
+    j = df.join(F.broadcast(edges), on=keys, how="left")
     return j.withColumn(out, F.size(F.filter(F.coalesce("_edges", F.array().cast("array<double>")),
                                              lambda e: e <= v))).drop("_edges")
 
@@ -77,15 +70,15 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str, weights: Seq
     """For rows unique per (keys, order_col): the sum of each weight over rows
     of the same group with a strictly smaller ``order_col``."""
     cols = list(df.columns)
-    df, keys = _keyed(df, keys)
+    keys = list(keys)
     r = with_ranges(df, keys, order_col, n_ranges)
     tot = r.groupBy(*keys, "_rng").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
+    # bounded: #groups x n_ranges rows (a single small partition without keys)
     wprev = Window.partitionBy(*keys).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*keys, "_rng", *[F.coalesce(F.sum(f"_t_{w}").over(wprev), F.lit(0)).alias(f"_o_{w}")
                                       for w in weights])
     win = Window.partitionBy(*keys, "_rng").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     inside = r.select("*", *[F.coalesce(F.sum(w).over(win), F.lit(0)).alias(f"_i_{w}") for w in weights])
-    # bounded broadcast: #groups x n_ranges rows
     j = inside.join(F.broadcast(tot), on=[*keys, "_rng"], how="inner")
     return j.select(*cols,
                     *[(F.col(f"_o_{w}") + F.col(f"_i_{w}")).alias(f"{w}{suffix}") for w in weights])
@@ -101,39 +94,58 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value_col: str, probs: S
     prefix sums above, and a lookup of at most ``2 * len(probs)`` ranks per
     group.  Only bounded tables (counts, ranks and found values per group)
     reach the driver; the result is a small table of #groups rows."""
+    import math
     from pyspark import StorageLevel
     spark = df.sparkSession
-    user_keys = list(keys)
-    df, keys = _keyed(df, keys)
+    keys = list(keys)
     v = F.col(value_col).cast("double")
     hist = (df.where(v.isNotNull()).groupBy(*keys, v.alias("_v"))
             .agg(F.count(F.lit(1)).alias("_c"))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = hist.groupBy(*keys).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_d"))
-        pos = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
-        ranks = F.array_distinct(F.array(*[F.floor(x).cast("long") for x in pos],
-                                         *[F.ceil(x).cast("long") for x in pos]))
-        targets = n.select(*keys, "n", "_d", ranks.alias("_ranks"))
-        targets = _local(spark, targets.collect(), targets.schema)          # #groups rows
+        stats = hist.groupBy(*keys).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_d")).collect()
+        ranks_of = {}
+        for r in stats:                                                   # #groups rows
+            n = int(r["n"])
+            rk = set()
+            for p in probs:
+                x = float(p) * (n - 1)
+                rk.update((math.floor(x), math.ceil(x)))
+            ranks_of[tuple(r[k] for k in keys)] = (n, sorted(rk))
         if n_ranges is None:
-            # one range per ROWS_PER_RANGE distinct values of the largest group
-            biggest = max([r["_d"] for r in targets.select("_d").collect()] or [0])
+            biggest = max([int(r["_d"]) for r in stats] or [0])
             n_ranges = min(_n_ranges(spark, None), max(1, -(-biggest // ROWS_PER_RANGE)))
         ps = prefix_sums(hist, keys, "_v", ["_c"], n_ranges)
         lo, hi = F.col("_c_before"), F.col("_c_before") + F.col("_c")
-        hit = (ps.join(F.broadcast(targets.select(*keys, "_ranks")), on=keys, how="inner")
-               .select(*keys, "_v", F.explode(F.filter("_ranks", lambda r: (r >= lo) & (r < hi))).alias("_r")))
-        found = hit.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"))
-        found = _local(spark, found.collect(), found.schema)                # <= 2*len(probs) per group
+        if keys:
+            tschema = T.StructType([*[hist.schema[k] for k in keys],
+                                    T.StructField("_ranks", T.ArrayType(T.LongType()))])
+            targets = _local(spark, [(*k, rk) for k, (_, rk) in ranks_of.items()], tschema)
+            hit = ps.join(F.broadcast(targets), on=keys, how="inner")
+            ranks = F.col("_ranks")
+        else:
+            hit = ps
+            ranks = F.array(*[F.lit(int(x)) for x in (ranks_of.get((), (0, []))[1] or [-1])])
+        hit = hit.select(*keys, "_v", F.explode(F.filter(ranks, lambda r: (r >= lo) & (r < hi))).alias("_r"))
+        found = {}
+        for r in hit.collect():                                           # <= 2*len(probs) per group
+            found.setdefault(tuple(r[k] for k in keys), {})[int(r["_r"])] = float(r["_v"])
     finally:
         hist.unpersist()
-    res = targets.join(found, on=keys, how="inner")
-
-    def interp(p):
-        x = F.lit(float(p)) * (F.col("n") - 1)
-        lo_r, hi_r = F.floor(x).cast("long"), F.ceil(x).cast("long")
-        vlo, vhi = F.col("_m")[lo_r], F.col("_m")[hi_r]
-        return (F.when((lo_r == hi_r) | (vlo == vhi), vlo)
-                .otherwise((hi_r.cast("double") - x) * vlo + (x - lo_r.cast("double")) * vhi))
-
-    return res.select(*user_keys, "n", F.array(*[interp(p) for p in probs]).alias(out))
+    rows = []
+    for key, (n, _) in ranks_of.items():
+        vals = found.get(key, {})
+        qs = []
+        for p in probs:
+            x = float(p) * (n - 1)
+            lo_r, hi_r = math.floor(x), math.ceil(x)
+            vlo, vhi = vals.get(lo_r), vals.get(hi_r)
+            if vlo is None or vhi is None:
+                qs.append(None)
+            elif lo_r == hi_r or vlo == vhi:
+                qs.append(vlo)
+            else:  # same arithmetic as Spark's percentile
+                qs.append((hi_r - x) * vlo + (x - lo_r) * vhi)
+        rows.append((*key, n, qs))
+    schema = T.StructType([*[hist.schema[k] for k in keys], T.StructField("n", T.LongType()),
+                           T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return _local(spark, rows, schema)

@@ -183,3 +183,55 @@ def drift_by_period(spark, sf):
     # position follows the column order of the panel: numeric first here
     t = D.drift_by_period(o, "p")
     return t.withColumn("score", F.round("score", R))
+
+
+def _fixed_sql() -> str:
+    ps = "[" + ", ".join(repr(p) for p in D.decile_probs(10)) + "]::DOUBLE[]"
+    return f"""WITH
+panel AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS p, o_totalprice, o_orderpriority, o_orderstatus FROM orders),
+ref AS (SELECT o_totalprice, o_orderpriority, o_orderstatus FROM panel WHERE p = 1995),
+cur AS (SELECT * FROM panel WHERE p <> 1995),
+e0 AS (SELECT list_sort(list_distinct(quantile_cont(o_totalprice, {ps}))) AS e, COUNT(o_totalprice) AS n_ref FROM ref),
+e1 AS (SELECT n_ref, len(e) - 1 AS nb, e[2:len(e) - 1] AS inner_e FROM e0),
+rb AS (SELECT len(list_filter(inner_e, lambda x: x < o_totalprice)) AS bin, COUNT(*) AS c_ref FROM ref, e1 GROUP BY 1),
+cb AS (SELECT p, len(list_filter(inner_e, lambda x: x < o_totalprice)) AS bin, COUNT(*) AS c_cur FROM cur, e1 GROUP BY 1, 2),
+ct AS (SELECT p, COUNT(o_totalprice) AS n_cur FROM cur GROUP BY p),
+cells AS (SELECT ct.p, ct.n_cur, e1.n_ref, unnest(range(0, e1.nb)) AS bin FROM ct, e1),
+t AS (SELECT c.p, greatest(least(COALESCE(rb.c_ref, 0) / c.n_ref, 1.0), 1e-6) AS pr,
+             greatest(least(COALESCE(cb.c_cur, 0) / c.n_cur, 1.0), 1e-6) AS pc
+      FROM cells c LEFT JOIN rb ON rb.bin = c.bin LEFT JOIN cb ON cb.p = c.p AND cb.bin = c.bin),
+num AS (SELECT t.p, 'o_totalprice' AS feature, 'numeric_psi' AS kind, SUM((pc - pr) * ln(pc / pr)) AS score,
+               (SELECT CAST(n_ref AS BIGINT) FROM e1) AS n_ref, (SELECT CAST(n_cur AS BIGINT) FROM ct WHERE ct.p = t.p) AS n_cur
+        FROM t GROUP BY t.p),
+cl AS (SELECT p, 'o_orderpriority' AS feature, CAST(o_orderpriority AS VARCHAR) AS v FROM cur
+       UNION ALL SELECT p, 'o_orderstatus', CAST(o_orderstatus AS VARCHAR) FROM cur),
+rl AS (SELECT 'o_orderpriority' AS feature, CAST(o_orderpriority AS VARCHAR) AS v FROM ref
+       UNION ALL SELECT 'o_orderstatus', CAST(o_orderstatus AS VARCHAR) FROM ref),
+rc AS (SELECT feature, COALESCE(v, '__na__') AS cat, COUNT(*) AS c_ref, COUNT(v) AS nn FROM rl GROUP BY ALL),
+cc AS (SELECT p, feature, COALESCE(v, '__na__') AS cat, COUNT(*) AS c_cur, COUNT(v) AS nn FROM cl GROUP BY ALL),
+rt AS (SELECT feature, SUM(c_ref) AS t_ref, SUM(nn) AS n_ref FROM rc GROUP BY ALL),
+ctt AS (SELECT p, feature, SUM(c_cur) AS t_cur, SUM(nn) AS n_cur FROM cc GROUP BY ALL),
+k AS (SELECT ctt.*, rt.t_ref, rt.n_ref FROM ctt LEFT JOIN rt USING (feature)),
+rside AS (SELECT k.p, rc.feature, rc.cat, rc.c_ref FROM rc JOIN k USING (feature)),
+cells2 AS (SELECT COALESCE(a.p, b.p) AS p, COALESCE(a.feature, b.feature) AS feature, a.c_ref, b.c_cur
+           FROM rside a FULL OUTER JOIN cc b ON a.p = b.p AND a.feature = b.feature AND a.cat = b.cat),
+t2 AS (SELECT c.p, c.feature,
+         greatest(least(CASE WHEN COALESCE(k.t_ref, 0) > 0 THEN COALESCE(c.c_ref, 0) / k.t_ref ELSE 0 END, 1.0), 1e-6) AS pr,
+         greatest(least(CASE WHEN k.t_cur > 0 THEN COALESCE(c.c_cur, 0) / k.t_cur ELSE 0 END, 1.0), 1e-6) AS pc
+       FROM cells2 c JOIN k ON k.p = c.p AND k.feature = c.feature),
+cat AS (SELECT k.p, k.feature, 'categorical_psi' AS kind, COALESCE(s.psi, 0) AS score,
+               CAST(COALESCE(k.n_ref, 0) AS BIGINT) AS n_ref, CAST(k.n_cur AS BIGINT) AS n_cur
+        FROM k LEFT JOIN (SELECT p, feature, SUM((pc - pr) * ln(pc / pr)) AS psi FROM t2 GROUP BY ALL) s
+        ON s.p = k.p AND s.feature = k.feature)
+SELECT p, feature, kind, round(score, {R}) AS score, {_status()} AS status, n_ref, n_cur,
+       {_position(ORD_NUM + ORD_CAT)} AS position
+FROM (SELECT * FROM num UNION ALL SELECT * FROM cat) u"""
+
+
+@register("drift_fixed_reference", _fixed_sql())
+def drift_fixed_reference(spark, sf):
+    """D8 with a fixed reference: every order year against 1995; the
+    reference side is scanned and binned once for all years."""
+    o = table(spark, sf, "orders").select(F.year("o_orderdate").cast("int").alias("p"),
+                                          "o_totalprice", "o_orderpriority", "o_orderstatus")
+    return D.drift_by_period(o, "p", reference=1995).withColumn("score", F.round("score", R))

@@ -68,3 +68,13 @@ SELECT COUNT(*) FILTER (WHERE y IS NULL OR y NOT IN (0, 1)) AS n_bad_target,
 def pair_check(spark, sf):
     """pair has y, has no period column, y in {0,1}."""
     return Q.check_pair_table(panel_pairs(spark, sf))
+
+
+@register("keep_common_ids", "WITH " + PAIRS_SQL.split(",\npairs AS")[0] + """
+SELECT * FROM panelx a WHERE ano = 1999 AND EXISTS (SELECT 1 FROM panelx b WHERE b.ano = 2000 AND b.id = a.id)
+""")
+def keep_common_ids(spark, sf):
+    """period-t rows whose id also appears in period t+1 (left-semi)."""
+    panel = orders_panel(spark, sf)
+    return P.keep_common_ids(panel.where(F.col(PANEL_PERIOD) == 1999),
+                             panel.where(F.col(PANEL_PERIOD) == 2000), PANEL_ID)
