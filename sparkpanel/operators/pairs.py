@@ -83,8 +83,10 @@ def all_pairs(panel: DataFrame, *, id_col: str, period_col: str = "ano",
 
 
 def keep_common_ids(df_t: DataFrame, df_t1: DataFrame, id_col: str) -> DataFrame:
-    """rows of ``df_t`` whose id also occurs in ``df_t1`` (left-semi)."""
-    return df_t.join(df_t1.select(id_col), on=id_col, how="left_semi")
+    """rows of ``df_t`` whose id also occurs in ``df_t1`` (left-semi
+    against the distinct ids, so repeated ids on the right are combined
+    map-side before the shuffle)."""
+    return df_t.join(df_t1.select(id_col).distinct(), on=id_col, how="left_semi")
 
 
 def target_summary(pairs: DataFrame, by: Sequence[str] = ("year_t", "year_t1")) -> DataFrame:
