@@ -30,9 +30,10 @@ from ..functions.scalar import band, clip, to_double
 from .ranking import exact_quantiles
 from .schema import common_columns, is_numeric_type, q
 
+# Probability clip, the NULL category, columns never scored
+# for drift, and the status thresholds.
 EPS = 1e-6
 NA = "__na__"
-# Columns never scored for drift, and the status thresholds.
 DEFAULT_EXCLUDE = ("y", "year_t", "year_t1", "ano")
 WARN, ALERT = 0.10, 0.25
 

@@ -156,6 +156,7 @@ def stratified_folds(df: DataFrame, y: str = "y", id_col: str = "id", k: int = 5
 # ------------------------------------------------------------------ search spaces
 def param_space(name: str) -> dict[str, list]:
     """M8: the reference's search spaces (sklearn names)."""
+    # The search space of each model key.
     return {
         "logreg": {"C": [0.01, 0.1, 1.0, 3.0, 10.0], "class_weight": [None, "balanced"]},
         "tree": {"max_depth": [None, 3, 5, 8, 12, 20], "min_samples_leaf": [1, 2, 5, 10],
