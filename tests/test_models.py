@@ -86,3 +86,19 @@ def test_tuning_with_folds(spark, pairs):
     pre = FE.fit_preprocessor(pairs, ["a", "b"], ["bolsa"])
     cvm = MD.tune(pairs, [pre.model], cfg, "y", "ra", MD.TuningConfig(n_splits=3, n_iter=2, parallelism=2))
     assert len(cvm.avgMetrics) == 2 and all(0.0 <= m <= 1.0 for m in cvm.avgMetrics)
+
+
+def test_payload_scoring_equals_direct_scoring(spark, pairs):
+    from sparkpanel.operators import scoring as SC
+    from pyspark.sql import types as T
+    feats = ["a", "b", "bolsa"]
+    fm = MD.fit(pairs, ["a", "b"], ["bolsa"], MD.ModelConfig("tree", dt_max_depth=3))
+    direct = {r.ra: r.score for r in MD.predict(fm, pairs).collect()}
+    payload = F.when(F.col("a") > 3, F.to_json(F.struct(F.struct(*feats).alias("features")))) \
+        .otherwise(F.to_json(F.struct(*feats, F.col("year_t"))))
+    req = pairs.select("ra", payload.alias("p"))
+    g = SC.guard_payloads(req, "p", feats)
+    assert g.where(F.col("reject_reason").isNotNull()).count() == 0
+    cols = SC.payload_to_columns(g, feats, {"a": T.DoubleType(), "b": T.DoubleType()}, keep=["ra"])
+    via_json = {r.ra: r.score for r in MD.predict(fm, cols).collect()}
+    assert via_json == direct
