@@ -73,9 +73,9 @@ def train_baseline(spark, sf):
 # Reduced tree counts keep the comparison quick; the library defaults are
 # the reference's (500 / 500 / 800).
 COMPARE_CONFIGS = {
-    "rf": MD.ModelConfig("rf", rf_trees=100),
-    "xgb": MD.ModelConfig("xgb", xgb_trees=50),
-    "cat": MD.ModelConfig("cat", cat_iterations=50),
+    "rf": MD.ModelConfig("rf", rf_trees=50),
+    "xgb": MD.ModelConfig("xgb", xgb_trees=20),
+    "cat": MD.ModelConfig("cat", cat_iterations=20),
 }
 
 
