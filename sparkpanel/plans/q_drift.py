@@ -235,3 +235,33 @@ def drift_fixed_reference(spark, sf):
     o = table(spark, sf, "orders").select(F.year("o_orderdate").cast("int").alias("p"),
                                           "o_totalprice", "o_orderpriority", "o_orderstatus")
     return D.drift_by_period(o, "p", reference=1995).withColumn("score", F.round("score", R))
+
+
+# Column dictionary of the drift binding (feature, description, derived).
+LINE_DICTIONARY = [
+    ("l_quantity", "quantity of the line", False),
+    ("l_extendedprice", "price of the line before discount", False),
+    ("l_discount", "discount rate", False),
+    ("l_tax", "tax rate", False),
+    ("l_returnflag", "return flag", False),
+    ("l_linestatus", "line status", False),
+    ("flag_hi_disc", "return flag of lines discounted above 5%", True),
+]
+
+
+def _dictionary_sql() -> str:
+    rows = ", ".join(f"('{f}', '{d}', {str(x).lower()})" for f, d, x in LINE_DICTIONARY)
+    return f"dict(feature, description, derived) AS (VALUES {rows})"
+
+
+@register("feature_dictionary", _TABLE_SQL + f""", {_dictionary_sql()}
+SELECT t.feature, t.kind, round(t.score, {R}) AS score, t.status, d.description, d.derived
+FROM tbl t LEFT JOIN dict d USING (feature)
+""")
+def feature_dictionary(spark, sf):
+    """Drift rows enriched with a feature dictionary (a dimension table
+    bounded by the number of known features, joined by broadcast)."""
+    from ..operators import schema as S
+    ref, cur = _sides(spark, sf)
+    t = D.drift_table(ref, cur).select("feature", "kind", F.round("score", R).alias("score"), "status")
+    return S.describe_features(t, S.feature_dictionary(spark, LINE_DICTIONARY))
