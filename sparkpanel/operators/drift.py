@@ -103,6 +103,9 @@ def numeric_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int =
         counts = b.groupBy(*by, "feature", "bin").agg(
             F.count_if(side0 & v.isNotNull()).alias("c_ref"), F.count_if(side1 & v.isNotNull()).alias("c_cur"),
             F.count_if(side1).alias("rows_cur"))
+        # bounded (#groups x #features x (bins + 1) rows): materialise once so
+        # both sides are scanned exactly once; the rest is a tiny local plan
+        counts = counts.sparkSession.createDataFrame(counts.collect(), counts.schema)
         tot = counts.groupBy(*by, "feature").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"),
                                                  F.sum("rows_cur").alias("rows_cur"))
         tot = tot.where(F.col("rows_cur") > 0).join(e_small.select(*by, "feature", "nb"), [*by, "feature"], "left")
