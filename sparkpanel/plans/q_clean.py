@@ -104,8 +104,8 @@ def ordinal_encode(spark, sf):
 SELECT o_orderkey,
        COALESCE(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END,
                 CASE WHEN o_orderstatus <> 'P' THEN lower(o_orderpriority) END,
-                o_clerkish) AS pedra
-FROM (SELECT *, concat('p-', o_orderpriority) AS o_clerkish FROM orders) o
+                concat('p-', o_orderpriority)) AS pedra
+FROM orders
 """)
 def coalesce_variants(spark, sf):
     """Three year-suffixed variants collapse into one column, the

@@ -24,7 +24,7 @@ def pair_all(spark, sf):
 
 
 @register("pair_single", """
-WITH """ + PAIRS_SQL.replace("a.ano AS year_t", "a.ano AS year_t") + """
+WITH """ + PAIRS_SQL + """
 SELECT id, year_t, year_t1, y, n_orders, n_urgent, total_cents, avg_price
 FROM pairs WHERE year_t = 1997
 """)
