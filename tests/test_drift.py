@@ -65,3 +65,8 @@ def test_drift_by_period_previous_and_fixed(spark):
     f3 = [r.score for r in fixed if r.p == 3 and r.feature == "v"][0]
     p3 = [r.score for r in prev if r.p == 3 and r.feature == "v"][0]
     assert f3 > p3  # period 3 is further from period 1 than from period 2
+
+
+def test_sort_drift_order(spark):
+    t = spark.createDataFrame([("a", 0.1, 1), ("b", 0.3, 0), ("c", 0.1, 0)], "feature string, score double, position int")
+    assert [r.feature for r in D.sort_drift(t).collect()] == ["b", "c", "a"]

@@ -99,3 +99,19 @@ def test_write_report_json(spark, tmpdir_path):
     io.write_report(Q.basic_stats(df), out)
     back = spark.read.json(out).first()
     assert back.n_rows == 2 and back.n_cols == 2
+
+
+def test_resolve_model_default_and_alias(runs):
+    latest = RG.latest_per_model(runs)
+    assert RG.resolve_model(latest, "XGBoost").first().run_id == "20260303_213500"
+    assert RG.resolve_model(latest, None).count() == 0  # default -> tree, not in this table
+    assert RG.resolve_model(latest, "Random Forest").first().model == "rf"
+
+
+def test_gzip_csv_round_trip(spark, tmpdir_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "x int, s string")
+    out = os.path.join(tmpdir_path, "pair_csv")
+    io.write_table(df, out, fmt="csv", sep=";", compression="gzip")
+    assert any(f.endswith(".csv.gz") for f in os.listdir(out))
+    back = spark.read.options(header=True, sep=";").csv(out)
+    assert sorted((int(r.x), r.s) for r in back.collect()) == [(1, "a"), (2, "b")]
