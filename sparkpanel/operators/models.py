@@ -331,7 +331,12 @@ def compare(train: DataFrame, test: DataFrame, numeric: Sequence[str], categoric
     board = rows[0]
     for r in rows[1:]:
         board = board.unionByName(r)
-    return board.orderBy(F.desc_nulls_last("test_roc_auc"), F.desc("test_f1"), "model")
+    board = board.orderBy(F.desc_nulls_last("test_roc_auc"), F.desc("test_f1"), "model")
+    # one row per model: materialise the report, then release the inputs
+    out = train.sparkSession.createDataFrame(board.collect(), board.schema)
+    train.unpersist()
+    test.unpersist()
+    return out
 
 
 def run_train(train: DataFrame, test: DataFrame, y: str = "y", id_col: str = "id",
@@ -345,16 +350,20 @@ def run_train(train: DataFrame, test: DataFrame, y: str = "y", id_col: str = "id
     test = S.align_to_schema(train, test, keep=keep)
     feats = [c for c in train.columns if c not in keep]
     from pyspark import StorageLevel
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    train, test, dead = S.drop_all_null_features(train, test, feats)
+    cached = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train, test, dead = S.drop_all_null_features(cached, test, feats)
     feats = [c for c in feats if c not in dead]
     num, cat = S.feature_kinds(train, feats)
     fm = train_baseline(train, num, cat, y)
     thr = float(M.choose_threshold_max_f1(predict(fm, train), y, "score").first()["threshold"])
     out = evaluate(fm, train, thr, y, "train").unionByName(evaluate(fm, test, thr, y, "test"))
-    return out.withColumns({
+    out = out.withColumns({
         "missing_in_test": F.lit(",".join(diff["missing_in_test"])),
         "extra_in_test": F.lit(",".join(diff["extra_in_test"])),
         "dropped_all_null": F.lit(",".join(dead)),
         "n_features": F.lit(len(feats)),
     })
+    # two report rows: materialise, then release the cached training data
+    report = train.sparkSession.createDataFrame(out.collect(), out.schema)
+    cached.unpersist()
+    return report
