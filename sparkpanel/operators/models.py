@@ -311,9 +311,14 @@ def pick_on_train(fm: FittedModel, train: DataFrame, y: str = "y", objective: st
 def compare(train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
             models: Sequence[str] = MODEL_KEYS, y: str = "y", id_col: str = "id",
             tuning: TuningConfig | None = None, objective: str = "f1",
-            configs: dict[str, ModelConfig] | None = None) -> DataFrame:
+            configs: dict[str, ModelConfig] | None = None,
+            artifacts_dir: str | None = None) -> DataFrame:
     """Fit each model, pick its threshold on train, evaluate on
-    test; leaderboard sorted by test ROC AUC then F1 (descending)."""
+    test; leaderboard sorted by test ROC AUC then F1 (descending).
+
+    With ``artifacts_dir`` each fitted model is saved as
+    ``model_<key>_<run_id>`` and one row per model is appended to the
+    ``runs`` table there (R1), so ``registry.latest_per_model`` finds it."""
     from pyspark import StorageLevel
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     test = test.persist(StorageLevel.MEMORY_AND_DISK)
@@ -323,6 +328,19 @@ def compare(train: DataFrame, test: DataFrame, numeric: Sequence[str], categoric
         fm = fit(train, numeric, categorical, cfg, y, id_col, tuning)
         thr = pick_on_train(fm, train, y, objective)
         m = evaluate(fm, test, thr, y)
+        if artifacts_dir:
+            run_id = train.sparkSession.range(1).select(
+                F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")).first()[0]
+            path = f"{artifacts_dir.rstrip('/')}/model_{key}_{run_id}"
+            fm.model.write().overwrite().save(path)
+            m = m.withColumns({"run_id": F.lit(run_id), "model_path": F.lit(path),
+                               "features": F.array(*[F.lit(c) for c in fm.features])})
+            from .registry import record_run
+            record_run(f"{artifacts_dir.rstrip('/')}/runs",
+                       m.select(F.lit(key).alias("model"), "run_id", "model_path", "features", "threshold",
+                                F.col("roc_auc").alias("test_roc_auc"), F.col("f1").alias("test_f1"),
+                                F.col("precision").alias("test_precision"), F.col("recall").alias("test_recall"),
+                                F.current_timestamp().alias("run_ts")))
         rows.append(m.select(F.lit(key).alias("model"), "threshold",
                              F.col("roc_auc").alias("test_roc_auc"), F.col("f1").alias("test_f1"),
                              F.col("precision").alias("test_precision"), F.col("recall").alias("test_recall"),

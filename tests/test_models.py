@@ -102,3 +102,18 @@ def test_payload_scoring_equals_direct_scoring(spark, pairs):
     cols = SC.payload_to_columns(g, feats, {"a": T.DoubleType(), "b": T.DoubleType()}, keep=["ra"])
     via_json = {r.ra: r.score for r in MD.predict(fm, cols).collect()}
     assert via_json == direct
+
+
+def test_compare_records_runs(spark, pairs, tmpdir_path):
+    import os
+    from pyspark.ml import PipelineModel
+    from sparkpanel.operators import registry as RG
+    board = MD.compare(pairs, pairs, ["a", "b"], ["bolsa"], models=("dummy", "tree"), id_col="ra",
+                       configs={"tree": MD.ModelConfig("tree", dt_max_depth=3)}, artifacts_dir=tmpdir_path)
+    assert [r.model for r in board.collect()][0] == "tree"  # higher AUC than the constant model
+    runs = spark.read.parquet(os.path.join(tmpdir_path, "runs"))
+    latest = {r.model: r for r in RG.latest_per_model(runs).collect()}
+    assert set(latest) == {"dummy", "tree"}
+    reloaded = PipelineModel.load(latest["tree"].model_path)
+    assert reloaded.transform(pairs).count() == 60
+    assert latest["tree"].features == ["a", "b", "bolsa"]
