@@ -52,7 +52,14 @@ def start_monitor(spark: SparkSession, reference: DataFrame, source_dir: str, ch
                   exclude: Iterable[str] = D.DEFAULT_EXCLUDE, available_now: bool = True,
                   max_files_per_trigger: int | None = None):
     """Start the monitor over files arriving in ``source_dir`` (schema taken
-    from the reference table).  Returns the ``StreamingQuery``."""
+    from the reference table).  Returns the ``StreamingQuery``.
+
+    The reference is materialised once (``checkpoint`` into the session's
+    ``spark.checkpoint.dir``), so every micro-batch reads the stored rows
+    instead of re-running the reference's lineage."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    reference = reference.checkpoint(eager=True)
     reader = spark.readStream.schema(reference.schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
