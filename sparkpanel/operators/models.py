@@ -61,6 +61,17 @@ def _depth(d: int | None) -> int:
     return SPARK_MAX_DEPTH if d is None else min(int(d), SPARK_MAX_DEPTH)
 
 
+# ------------------------------------------------------------------ caching
+def _cache(df: DataFrame) -> tuple[DataFrame, bool]:
+    """Persist for the duration of a call unless the caller already did;
+    the flag says whether this call owns (and must release) the cache."""
+    from pyspark import StorageLevel
+    lvl = df.storageLevel
+    if lvl.useMemory or lvl.useDisk:
+        return df, False
+    return df.persist(StorageLevel.MEMORY_AND_DISK), True
+
+
 # ------------------------------------------------------------------ weights
 def class_counts(df: DataFrame, y: str = "y") -> dict[int, int]:
     rows = df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()  # <= 2 rows
@@ -248,12 +259,12 @@ def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], cf
     if cfg.name == "dummy":
         maj = majority(train, y).first()["majority"]
         return FittedModel("dummy", constant_model(1.0 if maj == 1 else 0.0), [*numeric, *categorical])
-    from pyspark import StorageLevel
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)  # read by every fitting job below
+    train, owned = _cache(train)  # read by every fitting job below
     try:
         return _fit_persisted(train, numeric, categorical, cfg, y, id_col, tuning)
     finally:
-        train.unpersist()
+        if owned:
+            train.unpersist()
 
 
 def _fit_persisted(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], cfg: ModelConfig,
@@ -275,8 +286,7 @@ def _fit_persisted(train: DataFrame, numeric: Sequence[str], categorical: Sequen
 def train_baseline(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                    y: str = "y") -> FittedModel:
     """M6: class-balanced logistic regression on the preprocessed features."""
-    from pyspark import StorageLevel
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train, owned = _cache(train)
     try:
         pre = FE.fit_preprocessor(train, numeric, categorical)
         counts = class_counts(train, y)
@@ -285,7 +295,8 @@ def train_baseline(train: DataFrame, numeric: Sequence[str], categorical: Sequen
                                sum_weights=float(sum(counts.values())))
         model = Pipeline(stages=[pre.model, est]).fit(data)
     finally:
-        train.unpersist()
+        if owned:
+            train.unpersist()
     return FittedModel("logreg", model, pre.selected, pre.numeric, pre.categorical)
 
 
@@ -319,9 +330,8 @@ def compare(train: DataFrame, test: DataFrame, numeric: Sequence[str], categoric
     With ``artifacts_dir`` each fitted model is saved as
     ``model_<key>_<run_id>`` and one row per model is appended to the
     ``runs`` table there (R1), so ``registry.latest_per_model`` finds it."""
-    from pyspark import StorageLevel
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    train, own_train = _cache(train)
+    test, own_test = _cache(test)
     rows = []
     for key in models:
         cfg = (configs or {}).get(key, ModelConfig(key))
@@ -352,8 +362,10 @@ def compare(train: DataFrame, test: DataFrame, numeric: Sequence[str], categoric
     board = board.orderBy(F.desc_nulls_last("test_roc_auc"), F.desc("test_f1"), "model")
     # one row per model: materialise the report, then release the inputs
     out = train.sparkSession.createDataFrame(board.collect(), board.schema)
-    train.unpersist()
-    test.unpersist()
+    if own_train:
+        train.unpersist()
+    if own_test:
+        test.unpersist()
     return out
 
 
@@ -367,8 +379,7 @@ def run_train(train: DataFrame, test: DataFrame, y: str = "y", id_col: str = "id
     diff = S.schema_diff(train, test, exclude=keep)
     test = S.align_to_schema(train, test, keep=keep)
     feats = [c for c in train.columns if c not in keep]
-    from pyspark import StorageLevel
-    cached = train.persist(StorageLevel.MEMORY_AND_DISK)
+    cached, owned = _cache(train)
     train, test, dead = S.drop_all_null_features(cached, test, feats)
     feats = [c for c in feats if c not in dead]
     num, cat = S.feature_kinds(train, feats)
@@ -383,5 +394,6 @@ def run_train(train: DataFrame, test: DataFrame, y: str = "y", id_col: str = "id
     })
     # two report rows: materialise, then release the cached training data
     report = train.sparkSession.createDataFrame(out.collect(), out.schema)
-    cached.unpersist()
+    if owned:
+        cached.unpersist()
     return report
