@@ -121,21 +121,26 @@ def numeric_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int =
         return out.select(*by, "feature", F.when(ok, F.coalesce("psi", F.lit(0.0))).otherwise(F.lit(0.0)).alias("score"),
                           F.col("n_ref").cast("long").alias("n_ref"), F.col("n_cur").cast("long").alias("n_cur"))
 
-    def binned(long_df: DataFrame, keys: list[str]) -> DataFrame:
-        b = long_df.where(v.isNotNull()).join(e_small, on=[*ref_by, "feature"], how="inner")
-        b = b.withColumn("bin", bin_of(F.col("v")))
-        return b.groupBy(*keys, "feature", "bin").agg(F.count(F.lit(1)).alias("c"))
-
-    rb = binned(rl, ref_by).withColumnRenamed("c", "c_ref")
-    cb = binned(cl, by).withColumnRenamed("c", "c_cur")
-    cur_tot = cl.groupBy(*by, "feature").agg(F.count(v).alias("n_cur"))
+    # Separate reference groups (e.g. one fixed reference period): each side
+    # is scanned once; both bin-count tables are bounded and materialised.
+    spark = ref.sparkSession
+    rb = (rl.where(v.isNotNull()).join(e_small, on=[*ref_by, "feature"], how="inner")
+          .withColumn("bin", bin_of(v)).groupBy(*ref_by, "feature", "bin")
+          .agg(F.count(F.lit(1)).alias("c_ref")))
+    rb = spark.createDataFrame(rb.collect(), rb.schema)
+    cb = (cl.join(e_small, on=[*ref_by, "feature"], how="left")
+          .withColumn("bin", F.when(v.isNotNull() & F.col("nb").isNotNull(), bin_of(v)))
+          .groupBy(*by, "feature", "bin")
+          .agg(F.count_if(v.isNotNull()).alias("c_cur")))
+    cb = spark.createDataFrame(cb.collect(), cb.schema)
+    cur_tot = cb.groupBy(*by, "feature").agg(F.sum("c_cur").alias("n_cur"))
     frame = (cur_tot.join(F.broadcast(edges.select(*ref_by, "feature", "nb", "n_ref")),
                           on=[*ref_by, "feature"], how="left"))
     cells = (frame.where(F.col("nb") >= 1)
              .select(*by, "feature", "n_ref", "n_cur",
                      F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bin")))
     cells = (cells.join(rb, on=[*ref_by, "feature", "bin"], how="left")
-             .join(cb, on=[*by, "feature", "bin"], how="left"))
+             .join(cb.where(F.col("bin").isNotNull()), on=[*by, "feature", "bin"], how="left"))
     terms = cells.select(*by, "feature", _psi_term(_prob(F.coalesce("c_ref", F.lit(0)), F.col("n_ref")),
                                                    _prob(F.coalesce("c_cur", F.lit(0)), F.col("n_cur"))).alias("t"))
     psi = terms.groupBy(*by, "feature").agg(F.sum("t").alias("psi"))
