@@ -117,3 +117,25 @@ def test_compare_records_runs(spark, pairs, tmpdir_path):
     reloaded = PipelineModel.load(latest["tree"].model_path)
     assert reloaded.transform(pairs).count() == 60
     assert latest["tree"].features == ["a", "b", "bolsa"]
+
+
+def test_forest_same_seed_same_scores(spark, pairs):
+    cfg = MD.ModelConfig("rf", rf_trees=10, rf_max_depth=4)
+    a = MD.predict(MD.fit(pairs, ["a", "b"], ["bolsa"], cfg), pairs).select("ra", "score").collect()
+    b = MD.predict(MD.fit(pairs, ["a", "b"], ["bolsa"], cfg), pairs).select("ra", "score").collect()
+    assert sorted(a) == sorted(b)
+
+
+def test_evaluation_threshold_override(spark):
+    from sparkpanel.operators import scoring as SC
+    df = spark.createDataFrame([(0.1, 0.2, 0), (0.9, 0.8, 1), (0.3, 0.7, 1), (0.6, 0.1, 0), (0.8, 0.9, 1),
+                                (0.2, 0.3, 0)], "f1 double, f2 double, y int")
+    fm = MD.fit(df.withColumn("id", F.monotonically_increasing_id()), ["f1", "f2"], [],
+                MD.ModelConfig("tree", dt_max_depth=2))
+    thr = SC.resolve_threshold(0.4, 0.9)
+    assert thr == 0.4
+    preds = MD.predict(fm, df, thr).select(F.col("y").alias("y_true"), F.col("score").alias("y_score"),
+                                            F.col("pred").alias("y_pred"))
+    assert preds.count() == 6 and preds.columns == ["y_true", "y_score", "y_pred"]
+    m = MD.evaluate(fm, df, thr).first()
+    assert all(0.0 <= x <= 1.0 for x in (m.precision, m.recall, m.f1, m.roc_auc, m.accuracy))
