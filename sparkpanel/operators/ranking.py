@@ -54,15 +54,17 @@ def with_ranges(df: DataFrame, keys: Sequence[str], order_col: str, n_ranges: in
     ps = [i / n for i in range(1, n)]
     v = F.col(order_col).cast("double")
     q = F.array_sort(F.array_distinct(F.percentile_approx(v, ps, 10000))).alias("_edges")
+    # range index = number of edges <= value, unrolled over the (at most
+    # n-1) edges so the expression stays in generated code
     if not keys:
         edges = df.agg(q).first()["_edges"] or []
-        lit = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
-        return df.withColumn(out, F.size(F.filter(lit, lambda e: e <= v)))
+        terms = [(F.lit(float(e)) <= v).cast("int") for e in edges]
+        return df.withColumn(out, F.coalesce(sum(terms[1:], terms[0]), F.lit(0)) if terms else F.lit(0))
     edges = df.groupBy(*keys).agg(q)
     edges = _local(spark, edges.collect(), edges.schema)
     j = df.join(F.broadcast(edges), on=keys, how="left")
-    return j.withColumn(out, F.size(F.filter(F.coalesce("_edges", F.array().cast("array<double>")),
-                                             lambda e: e <= v))).drop("_edges")
+    terms = [F.coalesce((F.try_element_at("_edges", F.lit(i)) <= v).cast("int"), F.lit(0)) for i in range(1, n)]
+    return j.withColumn(out, sum(terms[1:], terms[0])).drop("_edges")
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str, weights: Sequence[str],
