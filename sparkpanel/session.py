@@ -52,6 +52,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = spark.sparkContext.getCheckpointDir() if hasattr(
             spark.sparkContext, "getCheckpointDir") else None
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS / object storage); "
+                               "a machine-local folder is not usable on a cluster")
         current = tempfile.mkdtemp(prefix="sparkpanel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     try:
