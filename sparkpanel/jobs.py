@@ -1,9 +1,8 @@
 """End-to-end jobs composed from the operators (the reference's entry points).
 
-``build_dataset``: raw ``;`` CSV per period -> cleaned panel written
-partitioned by period (the interim layer, which also cuts the lineage) ->
-all consecutive temporal pairs written partitioned by ``year_t`` -> one-row
-stats report per pair.
+``build_dataset``: raw ``;`` CSV per period -> cleaned period tables (the
+interim layer, which also cuts the lineage) -> one pair table per
+consecutive period pair -> one-row stats report per pair.
 
 ``drift_job``: reference table vs current table -> per-feature PSI rows and
 a summary appended to history tables partitioned by ``run_ts``; returns the
@@ -27,30 +26,36 @@ from .sources import io
 def build_dataset(spark: SparkSession, raw: Mapping[int, str], out_dir: str, *, sep: str = ";",
                   encoding: str = "utf-8", id_col: str = "ra", target_col: str = "ian",
                   target_value=10, cfg: CleanConfig = CleanConfig(), fmt: str = "parquet") -> DataFrame:
-    """Clean every period, pair consecutive periods, write both layers and
-    return the stats report (also written as JSON under ``out_dir/stats``)."""
+    """Clean every period (each keeps its own schema, as the yearly files
+    differ), write it to ``interim/<period>``, pair each period with the next
+    one (J1 with the id checks), write ``pairs/pair_<t>_<t+1>`` and return the
+    stats report (also written as JSON under ``out_dir/stats``).  The loop is
+    over the handful of input periods; every step inside is a Spark job."""
     base = out_dir.rstrip("/")
-    panel = None
-    for year, path in sorted(raw.items()):
-        cleaned = clean_period(io.read_csv_strings(spark, path, sep=sep, encoding=encoding), int(year), cfg)
-        panel = cleaned if panel is None else panel.unionByName(cleaned, allowMissingColumns=True)
-    if panel is None:
+    years = sorted(int(y) for y in raw)
+    if not years:
         raise ValueError("no input periods")
-    io.write_table(panel, f"{base}/interim", partition_by=[cfg.period_col])
-    interim = io.read_parquet(spark, f"{base}/interim")
-    bad = (Q.id_quality(interim, id_col, by=[cfg.period_col])
-           .where((F.col("n_null_ids") > 0) | (F.col("n_duplicate_ids") > 0)).collect())
-    if bad:
-        raise ValueError(f"id column '{id_col}' has NULLs or duplicates: {[r.asDict() for r in bad]}")
-    if target_col not in interim.columns:
-        raise ValueError(f"column '{target_col}' not found in the cleaned periods")
-    pairs = P.all_pairs(interim, id_col=id_col, period_col=cfg.period_col,
-                        target=P.default_target(target_col, target_value))
-    if Q.check_pair_table(pairs).first()["n_bad_target"]:
-        raise ValueError("target outside {0, 1}")
-    io.write_table(pairs, f"{base}/pairs", fmt=fmt, partition_by=["year_t"])
-    written = io.read_parquet(spark, f"{base}/pairs") if fmt == "parquet" else pairs
-    stats = Q.basic_stats(written, "y", by=["year_t"])
+    interim = {}
+    for year in years:
+        cleaned = clean_period(io.read_csv_strings(spark, raw[year], sep=sep, encoding=encoding), year, cfg)
+        io.write_table(cleaned, f"{base}/interim/{year}")
+        interim[year] = io.read_parquet(spark, f"{base}/interim/{year}")   # lineage cut
+    stats = None
+    for t in years:
+        if t + 1 not in interim:
+            continue
+        pair = P.temporal_pair(interim[t], interim[t + 1], t, t + 1, id_col=id_col, target_col=target_col,
+                               target_value=target_value, drop_feature_cols=(cfg.period_col,))
+        if Q.check_pair_table(pair, period_col=cfg.period_col).first()["n_bad_target"]:
+            raise ValueError("target outside {0, 1}")
+        path = f"{base}/pairs/pair_{t}_{t + 1}"
+        io.write_table(pair, path, fmt=fmt)
+        written = io.read_parquet(spark, path) if fmt == "parquet" else pair
+        one = Q.basic_stats(written, "y").select(F.lit(t).alias("year_t"), F.lit(t + 1).alias("year_t1"), "*")
+        stats = one if stats is None else stats.unionByName(one)
+    if stats is None:
+        raise ValueError("no consecutive periods to pair")
+    stats = spark.createDataFrame(stats.collect(), stats.schema)  # one row per pair
     io.write_report(stats, f"{base}/stats")
     return stats
 

@@ -14,18 +14,21 @@ def _csv(path, header, rows):
 
 def test_build_dataset_end_to_end(spark, tmpdir_path):
     raw = {}
-    for year, ians in ((2022, (10, 5, 10)), (2023, (10, 9, 10)), (2024, (3, 10, 10))):
+    for year, ians in ((2022, None), (2023, (10, 9, 10)), (2024, (3, 10, 10))):
         p = os.path.join(tmpdir_path, f"raw_{year}.csv")
-        _csv(p, ["RA", "Feat", "IAN"], [(f"{i}", i + year, ian) for i, ian in enumerate(ians)])
+        if ians is None:  # the first year has no indicator column at all
+            _csv(p, ["RA", "Feat"], [(f"{i}", i + year) for i in range(3)])
+        else:
+            _csv(p, ["RA", "Feat", "IAN"], [(f"{i}", i + year, ian) for i, ian in enumerate(ians)])
         raw[year] = p
     out = os.path.join(tmpdir_path, "out")
     stats = {r.year_t: r for r in jobs.build_dataset(spark, raw, out).collect()}
     assert set(stats) == {2022, 2023} and all(r.n_rows == 3 for r in stats.values())
-    pairs = spark.read.parquet(os.path.join(out, "pairs"))
-    assert "ano" not in pairs.columns and {"ra", "y", "year_t1", "feat", "ian"} <= set(pairs.columns)
-    y22 = {r.ra: r.y for r in pairs.where(F.col("year_t") == 2022).collect()}
-    assert y22 == {"0": 0, "1": 1, "2": 0}
-    assert os.path.isdir(os.path.join(out, "interim", "ano=2024"))
+    p1 = spark.read.parquet(os.path.join(out, "pairs", "pair_2022_2023"))
+    assert "ano" not in p1.columns and "ian" not in p1.columns
+    assert {r.ra: r.y for r in p1.collect()} == {"0": 0, "1": 1, "2": 0}
+    p2 = spark.read.parquet(os.path.join(out, "pairs", "pair_2023_2024"))
+    assert "ian" in p2.columns and {r.ra: r.y for r in p2.collect()} == {"0": 1, "1": 0, "2": 0}
     assert spark.read.json(os.path.join(out, "stats")).count() == 2
 
 
