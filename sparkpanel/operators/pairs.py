@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import detect_id_column
 from ..functions.scalar import target_not_equal
-from .quality import assert_common_ids, assert_unique_ids
+from .quality import validate_pair_inputs
 
 # The reference target is 0 when the t+1 indicator equals 10.
 DEFAULT_TARGET_COL = "ian"
@@ -39,8 +39,8 @@ def temporal_pair(df_t: DataFrame, df_t1: DataFrame, year_t: int, year_t1: int,
                   validate: bool = True, min_common: int = 1) -> DataFrame:
     """``[id, year_t, year_t1, y, features of t...]`` for ids present in both.
 
-    ``validate`` runs the reference's checks (one aggregate per side): ids
-    non-null and unique per period, at least ``min_common`` shared ids.
+    ``validate`` runs the reference's checks in one job: ids non-null and
+    unique per period, at least ``min_common`` shared ids.
     """
     if id_col is None:
         id_col = detect_id_column(df_t.columns)
@@ -49,9 +49,7 @@ def temporal_pair(df_t: DataFrame, df_t1: DataFrame, year_t: int, year_t1: int,
     if target_col not in df_t1.columns:
         raise ValueError(f"column '{target_col}' not found in period {year_t1}")
     if validate:
-        assert_unique_ids(df_t, id_col, year_t)
-        assert_unique_ids(df_t1, id_col, year_t1)
-        assert_common_ids(df_t, df_t1, id_col, year_t, year_t1, min_common=min_common)
+        validate_pair_inputs(df_t, df_t1, id_col, year_t, year_t1, min_common=min_common)
     right = df_t1.select(F.col(id_col), target_not_equal(F.col(target_col), target_value).alias("y"))
     feats = _pair_columns(df_t, id_col, drop_feature_cols)
     return (df_t.join(right, on=id_col, how="inner")

@@ -89,6 +89,46 @@ def coverage_by_period(panel: DataFrame, id_col: str, period_col: str = "ano",
                     F.col("n").alias("n_t"), "n_t1", "n_common"))
 
 
+def pair_input_report(df_t: DataFrame, df_t1: DataFrame, id_col: str) -> dict:
+    """F4+F5 on both sides and F6 in ONE job: per id (as string) the rows on
+    each side (a keyed aggregate, hot ids combined map-side), then one
+    global aggregate of that.  Returns NULL/duplicate counts per side and the
+    distinct / common id counts."""
+    k = F.col(id_col).cast("string").alias("k")
+    both = (df_t.select(k, F.lit(0).alias("s"))
+            .unionByName(df_t1.select(k, F.lit(1).alias("s"))))
+    per = both.groupBy("k").agg(F.count_if(F.col("s") == 0).alias("c0"),
+                                F.count_if(F.col("s") == 1).alias("c1"))
+    known = F.col("k").isNotNull()
+    r = per.agg(
+        F.sum(F.when(~known, F.col("c0")).otherwise(0)).alias("null_t"),
+        F.sum(F.when(~known, F.col("c1")).otherwise(0)).alias("null_t1"),
+        F.sum(F.when(known & (F.col("c0") > 1), F.col("c0") - 1).otherwise(0)).alias("dup_t"),
+        F.sum(F.when(known & (F.col("c1") > 1), F.col("c1") - 1).otherwise(0)).alias("dup_t1"),
+        F.count_if(known & (F.col("c0") > 0)).alias("n_t"),
+        F.count_if(known & (F.col("c1") > 0)).alias("n_t1"),
+        F.count_if(known & (F.col("c0") > 0) & (F.col("c1") > 0)).alias("n_common")).first()
+    return {key: int(r[key] or 0) for key in r.asDict()}
+
+
+def validate_pair_inputs(df_t: DataFrame, df_t1: DataFrame, id_col: str, year_t=None, year_t1=None,
+                         min_common: int = 1) -> dict:
+    """The reference's three pair checks, in its order, from one job."""
+    for side, df, year in (("t", df_t, year_t), ("t1", df_t1, year_t1)):
+        if id_col not in df.columns:
+            raise ValueError(f"id column '{id_col}' does not exist (period {year})")
+    r = pair_input_report(df_t, df_t1, id_col)
+    for side, year in (("t", year_t), ("t1", year_t1)):
+        if r[f"null_{side}"]:
+            raise ValueError(f"id column '{id_col}' has {r[f'null_{side}']} NULLs (period {year})")
+        if r[f"dup_{side}"]:
+            raise ValueError(f"id column '{id_col}' has {r[f'dup_{side}']} duplicates (period {year})")
+    if r["n_common"] < min_common:
+        raise ValueError(f"not enough common ids between {year_t} and {year_t1}: "
+                         f"common={r['n_common']} (min_common={min_common})")
+    return r
+
+
 def basic_stats(df: DataFrame, y_col: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """A1+A2+A3+A4 in ONE aggregate: rows, columns, mean missing rate over
     all cells (every column counts, Q22), target counts incl. NULL, positive
