@@ -13,3 +13,13 @@ def test_catalog_consistency():
     assert len(q) >= 50
     for name in ("compare_models", "train_baseline", "batch_score", "evaluate_bundle"):
         assert name in q and name not in o
+
+
+def test_every_registered_query_runs_on_smallest_tables(spark):
+    q = E.queries()
+    for name, fn in q.items():
+        if name == "compare_models":  # dozens of sequential boosting jobs; covered by the oracle run
+            continue
+        df = fn(spark, "/root/testdata/sf0.001")
+        assert len(df.columns) > 0, name
+        df.write.format("noop").mode("overwrite").save()
