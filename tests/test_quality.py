@@ -42,3 +42,13 @@ def test_coverage_by_period_and_stats(spark):
     assert (r.n_y0, r.n_y1, r.n_y_null) == (1, 1, 1) and r.pos_rate == 0.5
     prof = {r.feature: (r.n_nonnull, r.all_null) for r in Q.null_profile(df).collect()}
     assert prof == {"y": (2, False), "f": (2, False)}
+
+
+def test_pair_input_report_one_job(spark):
+    a = spark.createDataFrame([("1",), ("1",), (None,), ("3",)], "ra string")
+    b = spark.createDataFrame([("3",), ("4",), ("4",), ("4",)], "ra string")
+    r = Q.pair_input_report(a, b, "ra")
+    assert (r["null_t"], r["dup_t"], r["null_t1"], r["dup_t1"]) == (1, 1, 0, 2)
+    assert (r["n_t"], r["n_t1"], r["n_common"]) == (2, 2, 1)
+    with pytest.raises(ValueError, match="NULLs"):
+        Q.validate_pair_inputs(a, b, "ra", 2022, 2023)
