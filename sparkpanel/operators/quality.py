@@ -46,16 +46,14 @@ def common_ids(df_t: DataFrame, df_t1: DataFrame, id_col: str) -> DataFrame:
 def coverage_report(df_t: DataFrame, df_t1: DataFrame, id_col: str) -> DataFrame:
     """One row ``(n_t, n_t1, n_common)`` of distinct string ids.
 
-    Implemented as one full-outer join of the two distinct-id sets, then one
-    aggregate; no per-side collect.
-    """
-    a = df_t.select(F.col(id_col).cast("string").alias("k")).where(F.col("k").isNotNull()).distinct() \
-        .withColumn("in_t", F.lit(1))
-    b = df_t1.select(F.col(id_col).cast("string").alias("k")).where(F.col("k").isNotNull()).distinct() \
-        .withColumn("in_t1", F.lit(1))
-    j = a.join(b, "k", "full_outer")
-    return j.agg(F.count("in_t").alias("n_t"), F.count("in_t1").alias("n_t1"),
-                 F.count_if(F.col("in_t").isNotNull() & F.col("in_t1").isNotNull()).alias("n_common"))
+    One keyed aggregate over both sides (rows per id and side, combined
+    map-side), then one global aggregate; no per-side collect."""
+    k = F.col(id_col).cast("string").alias("k")
+    both = (df_t.select(k, F.lit(0).alias("s")).unionByName(df_t1.select(k, F.lit(1).alias("s")))
+            .where(F.col("k").isNotNull()))
+    per = both.groupBy("k").agg(F.count_if(F.col("s") == 0).alias("c0"), F.count_if(F.col("s") == 1).alias("c1"))
+    return per.agg(F.count_if(F.col("c0") > 0).alias("n_t"), F.count_if(F.col("c1") > 0).alias("n_t1"),
+                   F.count_if((F.col("c0") > 0) & (F.col("c1") > 0)).alias("n_common"))
 
 
 def assert_common_ids(df_t: DataFrame, df_t1: DataFrame, id_col: str, year_t=None, year_t1=None,
