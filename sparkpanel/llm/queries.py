@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, shared, token_output, tokens
+from . import exact_dedup, importance, packing, rule_ledger, shared, token_output, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,3 +30,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.documents(spark, sf_dir), tokens.vocabulary(), end_id=1)
+
+
+@register("op4_rule_ledger", rule_ledger.SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ledger.apply_policy(rule_ledger.ledger(shared.documents(spark, sf_dir)))
+
+
+@register("op10_exact_dedup", exact_dedup.SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(shared.documents(spark, sf_dir))
+
+
+@register("op1_importance_resampling")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(shared.documents(spark, sf_dir), shared.table(spark, sf_dir, "labels"))
