@@ -38,18 +38,24 @@ _CLASS[SPACE] = 0
 _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
-def ngrams(s: Slice, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of every token and every pair of neighbouring tokens."""
+def runs(s: Slice, kinds: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of the maximal runs of one kind of sign, of the wanted kinds."""
     kind = _CLASS[s.data]
-    edge = np.zeros(len(kind) + 1, bool)
+    if not len(kind):
+        return (np.zeros(0, np.int64),) * 3
+    edge = np.ones(len(kind) + 1, bool)
+    edge[1:-1] = kind[1:] != kind[:-1]
     edge[s.offsets] = True
-    edge[1:-1] |= kind[1:] != kind[:-1]
     cuts = np.flatnonzero(edge)
-    cuts = cuts[:np.searchsorted(cuts, len(kind)) + 1]
     starts, ends = cuts[:-1], cuts[1:]
-    real = kind[starts] != 0 if len(starts) else np.zeros(0, bool)
-    starts, ends = starts[real], ends[real]
-    doc = np.searchsorted(s.offsets, starts, side="right") - 1
+    wanted = np.isin(kind[starts], list(kinds))
+    starts, ends = starts[wanted], ends[wanted]
+    return starts, ends, np.searchsorted(s.offsets, starts, side="right") - 1
+
+
+def ngrams(s: Slice, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text) of every token and every pair of neighbouring tokens."""
+    starts, ends, doc = runs(s, {1, 2})
     one = s.span_hash(starts, ends)
     near = np.flatnonzero(doc[1:] == doc[:-1])
     two = mix(one[near] * np.uint64(0xD6E8FEB86659FD93) + one[near + 1], 7)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, importance, packing, rule_ledger, shared, token_output, tokens
+from . import exact_dedup, importance, packing, rule_ledger, secret_scan, shared, token_output, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,3 +45,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_importance_resampling")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(shared.documents(spark, sf_dir), shared.table(spark, sf_dir, "labels"))
+
+
+@register("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.documents(spark, sf_dir)
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.learn(docs)))
+
+
+@register("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(toxicity.training_rows(docs, shared.table(spark, sf_dir, "labels"))))
