@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, importance, packing, rule_ledger, secret_scan, shared, token_output, tokens, toxicity
+from . import exact_dedup, importance, packing, pii, rule_ledger, secret_scan, shared, token_output, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +57,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(toxicity.training_rows(docs, shared.table(spark, sf_dir, "labels"))))
+
+
+@register("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(shared.documents(spark, sf_dir)))
