@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, importance, packing, pii, rule_ledger, secret_scan, shared, token_output, tokens, toxicity
+from . import exact_dedup, importance, mixing, packing, pii, rule_ledger, secret_scan, shared, token_output, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_pii")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(shared.documents(spark, sf_dir)))
+
+
+@register("op2_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(shared.documents(spark, sf_dir))
