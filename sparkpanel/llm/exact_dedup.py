@@ -31,8 +31,6 @@ PRIME = (1 << 61) - 1
 BASES = (1_498_236_401_274_837_229, 914_077_153_680_290_413)
 CHUNK = 1 << 16  # bytes, a multiple of 4
 BLOCK = 1 << 21  # bytes hashed at a time
-FILTER_BITS = 1 << 23  # 1 MB: which fingerprints occur twice; more of them make it less sharp, not wrong
-SALTS = 32
 KEY = ["fp1", "fp2", "n_bytes"]
 
 _M31, _M30, _P = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64(PRIME)
@@ -116,7 +114,7 @@ def fingerprints(column: pa.Array, bases: tuple[int, ...] = BASES, limit: int =
 
 
 def fingerprint_table(docs: DataFrame, limit: int = PRIME) -> DataFrame:
-    """doc_id, fp1, fp2, n_bytes and text_sha256 of every row."""
+    """doc_id, fp1, fp2, n_bytes, text_sha256 and text_hash of every row."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -127,26 +125,18 @@ def fingerprint_table(docs: DataFrame, limit: int = PRIME) -> DataFrame:
                     batch.column("doc_id").slice(at, 1024),
                     *[pa.array([f[k] for f in fps], pa.int64()) for k in range(2)],
                     pa.array(np.diff(offsets), pa.int64()),
-                    pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])])],
-                    names=["doc_id", "fp1", "fp2", "n_bytes", "text_sha256"])
+                    pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]),
+                    batch.column("text_hash").slice(at, 1024)],
+                    names=["doc_id", "fp1", "fp2", "n_bytes", "text_sha256", "text_hash"])
 
-    return shared.doc_text(docs).mapInArrow(run, "doc_id long, fp1 long, fp2 long, n_bytes long, text_sha256 string")
-
-
-def _filter(keys: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS over the fingerprints of ``keys``."""
-    bit = F.col("fp1").bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = (keys.select(F.shiftright(bit, 5).alias("word"), F.expr("shiftleft(1L, cast(fp1 & 31 as int))").alias("b"))
-             .groupBy("word").agg(F.bit_or("b").alias("bits")).toPandas())
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out
+    hashed = shared.doc_text(docs).withColumn("text_hash", shared.text_hash(F.col("text")))
+    return hashed.mapInArrow(run, "doc_id long, fp1 long, fp2 long, n_bytes long, text_sha256 string, text_hash long")
 
 
 def unequal_groups(docs: DataFrame, keys: DataFrame, limit: int = PRIME, by_sha: bool = False) -> DataFrame:
     """Keys of groups in which some chunk differs between rows."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_filter(keys))
+    bits = spark.sparkContext.broadcast(shared.bitmap(keys, "fp1"))
     key = [*KEY, "variant"]
 
     def run(batches):
@@ -155,9 +145,10 @@ def unequal_groups(docs: DataFrame, keys: DataFrame, limit: int = PRIME, by_sha:
                 text = batch.column("text").slice(at, 256)
                 data, offsets = raw_texts(text)
                 rows = []
-                for (a, b), (f1, f2) in zip(zip(offsets[:-1].tolist(), offsets[1:].tolist()),
-                                            fingerprints(text, limit=limit)):
-                    if bits.value[(f1 & (FILTER_BITS - 1)) >> 5] >> (f1 & 31) & 1:
+                found = fingerprints(text, limit=limit)
+                twice = shared.in_bitmap(bits.value, np.array([f[0] for f in found], np.int64))
+                for (a, b), (f1, f2), hit in zip(zip(offsets[:-1].tolist(), offsets[1:].tolist()), found, twice):
+                    if hit:
                         variant = hashlib.sha256(data[a:b]).hexdigest() if by_sha else ""
                         rows += [(f1, f2, b - a, variant, i, data[c:min(b, c + CHUNK)].tobytes())
                                  for i, c in enumerate(range(a, b, CHUNK))]
@@ -174,7 +165,7 @@ def unequal_groups(docs: DataFrame, keys: DataFrame, limit: int = PRIME, by_sha:
 
 
 def deduplicate(docs: DataFrame, limit: int = PRIME) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
+    """doc_id, keep_id, group_size, kept, text_sha256, text_hash of every row."""
     prints = shared.keep(fingerprint_table(docs, limit), "fingerprints")
     rows = prints.withColumn("row", F.monotonically_increasing_id()).withColumn("variant", F.lit(""))
     key = [*KEY, "variant"]
@@ -191,13 +182,11 @@ def deduplicate(docs: DataFrame, limit: int = PRIME) -> DataFrame:
         split = unequal_groups(docs, again, limit, by_sha=True).join(again.select(*key), key, "left_semi")
         if not split.isEmpty():
             raise RuntimeError("different texts share fingerprints and SHA-256")
-    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")  # a group may hold a third of all rows
-    groups = repeated(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = rows.withColumn("salt", salt).join(groups, [*key, "salt"], "left")
+    joined = shared.salted_join(rows, repeated(rows), key, F.col("row"))  # a group may hold a third of all rows
     alone = F.col("group_size").isNull()
     return joined.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("last.doc_id")).alias("keep_id"),
                          F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-                         (alone | (F.col("last.row") == F.col("row"))).alias("kept"), "text_sha256")
+                         (alone | (F.col("last.row") == F.col("row"))).alias("kept"), "text_sha256", "text_hash")
 
 
 SQL = """

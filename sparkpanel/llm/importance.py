@@ -22,8 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import selection, shared
 from .arrays import SPACE, Slice, mix, per_text, slices
@@ -95,8 +96,8 @@ def fit(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> np.ndarra
     return np.log(share[1]) - np.log(share[0])
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id, n_grams, log_weight (null without n-grams), in the documents' order."""
+def weigh(docs: DataFrame, ratio: np.ndarray, back: list[str]) -> DataFrame:
+    """The columns ``back`` of documents with __n_grams and __log_weight (null without n-grams)."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
     buckets = len(ratio)
 
@@ -106,10 +107,18 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 bucket, doc = ngrams(s, buckets)
                 n, total = per_text(doc, s.n), per_text(doc, s.n, held.value[bucket])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(s.first, s.n), pa.array(n, pa.int64()),
-                     pa.array(total, pa.float64(), mask=n == 0)], names=["doc_id", "n_grams", "log_weight"])
+                    [*[batch.column(c).slice(s.first, s.n) for c in back], pa.array(n, pa.int64()),
+                     pa.array(total, pa.float64(), mask=n == 0)], names=[*back, "__n_grams", "__log_weight"])
 
-    return shared.doc_text(docs).mapInArrow(run, "doc_id long, n_grams long, log_weight double")
+    schema = T.StructType([*[docs.schema[c] for c in back], T.StructField("__n_grams", T.LongType()),
+                           T.StructField("__log_weight", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
+def gumbel_key(seed: int) -> Column:
+    """A row's log weight with the Gumbel noise of its doc_id, weight and seed."""
+    u = shared.unit(F.col("doc_id").cast("long"), F.col("__log_weight"), F.col("__n_grams"), seed=seed)
+    return F.col("__log_weight") - F.log(-F.log(u))
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
@@ -126,17 +135,35 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     return float((w[at - 1] + w[at]) / 2) if at < len(w) else np.inf
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED,
-             sample_rows: int = SAMPLE) -> DataFrame:
-    """doc_id, n_grams, log_weight, gumbel_key, kept of every row; k documents are drawn (calibrated if not given)."""
-    sample = shared.keep(labelled_sample(labels, "quality", sample_rows), "quality_sample")
-    scored = weigh(docs, fit(docs, sample))
-    gumbel = -F.log(-F.log(shared.unit(F.col("doc_id"), F.col("log_weight"), F.col("n_grams"), seed=seed)))
-    keyed = shared.keep(scored.withColumn("gumbel_key", F.col("log_weight") + gumbel), "weights")
+def threshold(keyed: DataFrame, sample: DataFrame, k: int | None = None) -> float:
+    """The k-th largest key of a written table (k calibrated if not given)."""
     if k is None:
         seen = (keyed.join(F.broadcast(sample), "doc_id").filter("log_weight is not null")
-                .select("log_weight", "label").toPandas())  # at most sample_rows documents
+                .select("log_weight", "label").toPandas())  # at most the sample's documents
         cut = best_cut(seen["log_weight"].to_numpy(), seen["label"].to_numpy() == 1)
         k = keyed.filter(F.col("log_weight") >= F.lit(cut)).count()
-    least = selection.kth_largest(keyed, "gumbel_key", k)
+    return selection.kth_largest(keyed, "gumbel_key", k)
+
+
+def _resample(docs: DataFrame, labels: DataFrame, k: int | None, seed: int, sample_rows: int) -> tuple[DataFrame, np.ndarray, float]:
+    sample = shared.keep(labelled_sample(labels, "quality", sample_rows), "quality_sample")
+    ratio = fit(docs, sample)
+    scored = weigh(shared.doc_text(docs), ratio, ["doc_id"]).withColumn("gumbel_key", gumbel_key(seed))
+    keyed = shared.keep(scored.select("doc_id", F.col("__n_grams").alias("n_grams"),
+                                      F.col("__log_weight").alias("log_weight"), "gumbel_key"), "weights")
+    return keyed, ratio, threshold(keyed, sample, k)
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED,
+             sample_rows: int = SAMPLE) -> DataFrame:
+    """doc_id, n_grams, log_weight, gumbel_key, kept of every row; k documents are drawn (calibrated if not given)."""
+    keyed, _, least = _resample(docs, labels, k, seed, sample_rows)
     return keyed.withColumn("kept", F.coalesce(F.col("gumbel_key") >= F.lit(least), F.lit(False)))
+
+
+def drawn(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED,
+          sample_rows: int = SAMPLE) -> DataFrame:
+    """The documents that ``resample`` keeps, with the columns they came with (each row is weighed again: no join)."""
+    _, ratio, least = _resample(docs, labels, k, seed, sample_rows)
+    return (weigh(docs, ratio, docs.columns).filter(gumbel_key(seed) >= F.lit(least))
+            .drop("__n_grams", "__log_weight"))

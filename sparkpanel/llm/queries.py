@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, importance, mixing, packing, pii, rule_ledger, secret_scan, shared, token_output, tokens, toxicity
+from . import exact_dedup, importance, mixing, near_dedup, packing, pii, rule_ledger, secret_scan, shared, token_output, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,7 +39,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op10_exact_dedup", exact_dedup.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(shared.documents(spark, sf_dir))
+    return exact_dedup.deduplicate(shared.documents(spark, sf_dir)).drop("text_hash")
 
 
 @register("op1_importance_resampling")
@@ -67,3 +67,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_mixing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(shared.documents(spark, sf_dir))
+
+
+@register("op5_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(shared.documents(spark, sf_dir)).drop("text_hash")

@@ -52,3 +52,55 @@ def unit(*cols: Column, seed: int) -> Column:
     """A uniform number in (0, 1) that depends on the columns and the seed alone."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 12)
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, key: list[str], salt: Column, salts: int = 32) -> DataFrame:
+    """Left join of rows with one row a key, where a key may hold a third of all rows: each
+    group's row is copied ``salts`` times and each row meets one copy."""
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")
+    return rows.withColumn("_salt", own).join(copies, [*key, "_salt"], "left").drop("_salt")
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The documents whose decision is kept, with the columns they came with.
+
+    ``decisions`` has doc_id, text_hash (``text_hash`` of the text) and kept, one row a document.
+    Of documents equal in both, as many stay as decisions say.
+    """
+    own = (decisions.groupBy("doc_id", "text_hash")
+           .agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("stay")).filter("stay < n"))
+    own = keep(own.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "stay"), "dropped")
+    hashed = docs.withColumn("_hash", text_hash(F.col("text")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_text_hash"))
+    out = hashed.join(own, same, "left_anti").drop("_hash")
+    some = own.filter("stay > 0")
+    if not some.isEmpty():  # repeated rows: one of them stays
+        out = out.unionByName(hashed.join(some, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
+    return out
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+FILTER_BITS = 1 << 23
+
+
+def bitmap(keys: DataFrame, column: str):
+    """A bitmap of FILTER_BITS (1 MB) over a long column: more keys make it less sharp, not wrong."""
+    import numpy as np
+    bit = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = (keys.select(F.shiftright(bit, 5).alias("word"),
+                         F.expr(f"shiftleft(1L, cast({column} & 31 as int))").alias("bits"))
+             .groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas())
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def in_bitmap(bits, values):
+    """Which of the int64 values have their bit set."""
+    import numpy as np
+    at = values.astype(np.int64) & (FILTER_BITS - 1)
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) != 0
