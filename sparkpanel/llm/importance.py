@@ -4,11 +4,12 @@ Two generative models of hashed n-grams (single tokens and pairs of
 neighbours; a token is a run of letters and digits or a run of other signs)
 give each document the log ratio of its probability under the target text and
 under the raw text.  The raw model counts every document.  The target model
-counts the labelled good documents among a sample of ``SAMPLE`` labelled rows
-(the documented bound).  Adding Gumbel noise to the log ratios and keeping the
+counts the good documents in one half of a sample of ``SAMPLE`` labelled rows
+(the documented bound), smoothed towards the raw model by ``PRIOR`` counts a bucket, so that
+buckets rare in both weigh little.  Adding Gumbel noise to the log ratios and keeping the
 k largest draws k documents without replacement with probability proportional
 to their importance weight.  k is calibrated: the number of documents whose
-weight passes the threshold that separates the sample's labels best.
+weight passes the threshold that best separates the labels of the sample's other half.
 
 Null and empty texts hold no n-gram: log weight null, never drawn.  Equal rows
 tie and share their fate; documents tied with the k-th are all kept.  Without
@@ -31,7 +32,7 @@ from .arrays import SPACE, Slice, mix, per_text, slices
 
 BUCKETS = 1 << 17
 SAMPLE = 20_000
-SMOOTH = 0.5
+PRIOR = 16.0
 SEED = 20_24
 
 _CLASS = np.full(256, 2, np.uint8)  # 0 space, 1 letters, digits and bytes of non-ASCII characters, 2 other signs
@@ -65,14 +66,16 @@ def ngrams(s: Slice, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(labels: DataFrame, column: str, n: int = SAMPLE) -> DataFrame:
-    """At most n labelled doc_ids, chosen by a hash; of several labels of a document the largest counts."""
+    """doc_id, label and half (0 or 1) of at most n labelled documents, chosen by a hash; of
+    several labels of a document the largest counts."""
     own = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
            .dropna().groupBy("doc_id").agg(F.max("label").alias("label")))
-    return own.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(n)
+    half = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(2)).cast("int")
+    return own.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(n).withColumn("half", half)
 
 
 def fit(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log p_target - log p_raw of each bucket."""
+    """log p_target - log p_raw of each bucket; the good documents of half 0 are the target."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, buckets), np.int64)
         for batch in batches:
@@ -85,15 +88,16 @@ def fit(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(c[at], pa.int64()) for c in counts]],
                                          names=["bucket", "raw", "target"])
 
-    marked = shared.doc_text(docs).join(F.broadcast(sample), "doc_id", "left").select("text", "label")
+    target = sample.filter("half = 0").select("doc_id", "label")
+    marked = shared.doc_text(docs).join(F.broadcast(target), "doc_id", "left").select("text", "label")
     got = (marked.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket")
            .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas())
     counts = np.zeros((2, buckets))
     counts[0, got["bucket"]], counts[1, got["bucket"]] = got["raw"], got["target"]
     if not counts[1].any():
         return np.zeros(buckets)
-    share = (counts + SMOOTH) / (counts.sum(axis=1, keepdims=True) + SMOOTH * buckets)
-    return np.log(share[1]) - np.log(share[0])
+    expected = counts[0] / counts[0].sum() * counts[1].sum()
+    return np.log(counts[1] + PRIOR) - np.log(expected + PRIOR)
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, back: list[str]) -> DataFrame:
@@ -138,7 +142,7 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
 def threshold(keyed: DataFrame, sample: DataFrame, k: int | None = None) -> float:
     """The k-th largest key of a written table (k calibrated if not given)."""
     if k is None:
-        seen = (keyed.join(F.broadcast(sample), "doc_id").filter("log_weight is not null")
+        seen = (keyed.join(F.broadcast(sample.filter("half = 1")), "doc_id").filter("log_weight is not null")
                 .select("log_weight", "label").toPandas())  # at most the sample's documents
         cut = best_cut(seen["log_weight"].to_numpy(), seen["label"].to_numpy() == 1)
         k = keyed.filter(F.col("log_weight") >= F.lit(cut)).count()
