@@ -46,11 +46,11 @@ def build_dataset(spark: SparkSession, raw: Mapping[int, str], out_dir: str, *,
             continue
         pair = P.temporal_pair(interim[t], interim[t + 1], t, t + 1, id_col=id_col, target_col=target_col,
                                target_value=target_value, drop_feature_cols=(cfg.period_col,))
-        if Q.check_pair_table(pair, period_col=cfg.period_col).first()["n_bad_target"]:
-            raise ValueError("target outside {0, 1}")
-        path = f"{base}/pairs/pair_{t}_{t + 1}"
+        path = f"{base}/pairs/pair_{t}_{t + 1}" + (".csv" if fmt == "csv" else "")
         io.write_table(pair, path, fmt=fmt)
         written = io.read_parquet(spark, path) if fmt == "parquet" else pair
+        if Q.check_pair_table(written, period_col=cfg.period_col).first()["n_bad_target"]:
+            raise ValueError("target outside {0, 1}")
         one = Q.basic_stats(written, "y").select(F.lit(t).alias("year_t"), F.lit(t + 1).alias("year_t1"), "*")
         stats = one if stats is None else stats.unionByName(one)
     if stats is None:
@@ -79,3 +79,26 @@ def drift_job(spark: SparkSession, reference_path: str, current_path: str, outpu
     finally:
         table.unpersist()
     return status
+
+
+def evaluate_job(spark: SparkSession, dataset_path: str, runs_path: str, output_dir: str, *,
+                 model_key: str | None = None, threshold: float | None = None, y: str = "y") -> DataFrame:
+    """Score a pair table with the newest recorded run of a model, at its recorded threshold
+    unless one is given; write ``predictions`` and ``metrics`` and return the metrics row."""
+    from .operators import metrics as M
+    from .operators import models as MD
+    fm, recorded = MD.load_recorded(spark.read.parquet(runs_path), model_key)
+    at = recorded if threshold is None else float(threshold)
+    data = io.read_table(spark, dataset_path)
+    if y not in data.columns:
+        raise ValueError(f"dataset lacks target column '{y}'")
+    base = output_dir.rstrip("/")
+    scored = MD.predict(fm, data, at)
+    keys = [c for c in data.columns if c not in {*fm.features, y}]
+    io.write_table(scored.select(*keys, F.col(y).alias("y_true"), F.col("score").alias("y_score"),
+                                 F.col("pred").alias("y_pred")), f"{base}/predictions")
+    written = io.read_parquet(spark, f"{base}/predictions")
+    metrics = M.metrics_at(written, "y_true", "y_score", at).withColumn("model", F.lit(fm.key))
+    metrics = spark.createDataFrame(metrics.collect(), metrics.schema)  # one row
+    io.write_report(metrics, f"{base}/metrics")
+    return metrics

@@ -34,7 +34,7 @@ from .schema import common_columns, is_numeric_type, q
 # for drift, and the status thresholds.
 EPS = 1e-6
 NA = "__na__"
-DEFAULT_EXCLUDE = ("y", "year_t", "year_t1", "ano")
+DEFAULT_EXCLUDE = ("y", "year_t", "year_t1", "ano", "ra")
 WARN, ALERT = 0.10, 0.25
 
 
@@ -57,13 +57,23 @@ def _prob(c: Column, total: Column) -> Column:
     return F.when(total > 0, c.cast("double") / total.cast("double")).otherwise(F.lit(0.0))
 
 
+def normalize_probs(counts: DataFrame, count: str = "n", by: Sequence[str] = ("feature",), out: str = "p") -> DataFrame:
+    """Each count's share of its group's total; a group of zeros is uniform.  The totals come from
+    an aggregate joined back, so a large group is not gathered."""
+    total = counts.groupBy(*by).agg(F.sum(count).alias("_total"), F.count(F.lit(1)).alias("_cells"))
+    share = F.when(F.col("_total") > 0, F.col(count) / F.col("_total")).otherwise(1.0 / F.col("_cells"))
+    return counts.join(total, list(by)).withColumn(out, share.cast("double")).drop("_total", "_cells")
+
+
 def numeric_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int = 10,
                 by: Sequence[str] = (), ref_by: Sequence[str] | None = None,
-                quantiles: str = "exact", accuracy: int = 100000) -> DataFrame:
+                quantiles: str = "exact", accuracy: int = 100000, paired_only: bool = False) -> DataFrame:
     """D1 (+A19, J5, A20, J4, A22, A23) for many columns at once.
 
     Returns ``(by..., feature, score, n_ref, n_cur)``; score 0 when a side
-    is empty or the reference has fewer than two distinct edges.
+    is empty or the reference has fewer than two distinct edges.  Every
+    feature of every reference group is returned, or with ``paired_only``
+    those whose group has current rows.
     ``quantiles``: ``exact`` (default; distributed histogram, see
     ``ranking.exact_quantiles``), ``percentile`` (Spark's exact aggregate,
     which merges each group's value map in one task) or ``approx``."""
@@ -108,7 +118,11 @@ def numeric_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int =
         counts = counts.sparkSession.createDataFrame(counts.collect(), counts.schema)
         tot = counts.groupBy(*by, "feature").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"),
                                                  F.sum("rows_cur").alias("rows_cur"))
-        tot = tot.where(F.col("rows_cur") > 0).join(e_small.select(*by, "feature", "nb"), [*by, "feature"], "left")
+        if not by:  # a side without rows still has every feature
+            tot = _all_features(tot, cols, {"n_ref": 0, "n_cur": 0, "rows_cur": 0})
+        if paired_only:
+            tot = tot.where(F.col("rows_cur") > 0)
+        tot = tot.join(e_small.select(*by, "feature", "nb"), [*by, "feature"], "left")
         cells = (tot.where(F.col("nb") >= 1)
                  .select(*by, "feature", "n_ref", "n_cur",
                          F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bin"))
@@ -150,9 +164,17 @@ def numeric_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int =
                       F.coalesce("n_ref", F.lit(0)).cast("long").alias("n_ref"), F.col("n_cur").cast("long").alias("n_cur"))
 
 
+def _all_features(totals: DataFrame, cols: Sequence[str], empty: dict[str, int]) -> DataFrame:
+    """The totals with a row of zeros for every feature that has none."""
+    names = totals.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("feature"))
+    return names.join(totals, "feature", "left").fillna(empty)
+
+
 def categorical_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str],
-                    by: Sequence[str] = (), ref_by: Sequence[str] | None = None) -> DataFrame:
-    """D2 (+A21, J3, U2, T6): ``(by..., feature, score, n_ref, n_cur)``."""
+                    by: Sequence[str] = (), ref_by: Sequence[str] | None = None,
+                    paired_only: bool = False) -> DataFrame:
+    """D2 (+A21, J3, U2, T6): ``(by..., feature, score, n_ref, n_cur)``; a category that a side
+    lacks (any, if it has no rows) has probability EPS there.  Groups as in ``numeric_psi``."""
     by = list(by)
     ref_by = list(by if ref_by is None else ref_by)
     rl = _long(ref, ref_by, cols, False)
@@ -169,10 +191,12 @@ def categorical_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str],
             F.count_if(s1 & F.col("v").isNotNull()).alias("nn_cur"))
         tot = (counts.groupBy(*by, "feature")
                .agg(F.sum("c_ref").alias("t_ref"), F.sum("c_cur").alias("t_cur"),
-                    F.sum("nn_ref").alias("n_ref"), F.sum("nn_cur").alias("n_cur"))
-               .where(F.col("t_cur") > 0))
-        # bounded broadcast: #groups x #features rows
-        cells = counts.join(F.broadcast(tot.select(*by, "feature", "t_ref", "t_cur")), [*by, "feature"], "inner")
+                    F.sum("nn_ref").alias("n_ref"), F.sum("nn_cur").alias("n_cur")))
+        if not by:
+            tot = _all_features(tot, cols, {"t_ref": 0, "t_cur": 0, "n_ref": 0, "n_cur": 0})
+        if paired_only:
+            tot = tot.where(F.col("t_cur") > 0)
+        cells = counts.join(tot.select(*by, "feature", "t_ref", "t_cur"), [*by, "feature"], "inner")
         terms = cells.select(*by, "feature", _psi_term(_prob(F.col("c_ref"), F.col("t_ref")),
                                                        _prob(F.col("c_cur"), F.col("t_cur"))).alias("t"))
         psi = terms.groupBy(*by, "feature").agg(F.sum("t").alias("score"))
@@ -210,16 +234,16 @@ def split_kinds(ref: DataFrame, cur: DataFrame, exclude: Iterable[str] = DEFAULT
 def drift_table(ref: DataFrame, cur: DataFrame, warn: float = WARN, alert: float = ALERT,
                 exclude: Iterable[str] = DEFAULT_EXCLUDE, by: Sequence[str] = (),
                 ref_by: Sequence[str] | None = None, bins: int = 10,
-                quantiles: str = "exact") -> DataFrame:
+                quantiles: str = "exact", paired_only: bool = False) -> DataFrame:
     """``(by..., feature, kind, score, status, n_ref, n_cur, position)``."""
     ex = set(exclude) | set(by) | set(ref_by or [])
     cols, num, cat = split_kinds(ref, cur, ex)
     parts = []
     if num:
-        parts.append(numeric_psi(ref, cur, num, bins, by, ref_by, quantiles)
+        parts.append(numeric_psi(ref, cur, num, bins, by, ref_by, quantiles, paired_only=paired_only)
                      .withColumn("kind", F.lit("numeric_psi")))
     if cat:
-        parts.append(categorical_psi(ref, cur, cat, by, ref_by).withColumn("kind", F.lit("categorical_psi")))
+        parts.append(categorical_psi(ref, cur, cat, by, ref_by, paired_only).withColumn("kind", F.lit("categorical_psi")))
     if not parts:
         raise ValueError("no common columns to compare")
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -264,7 +288,7 @@ def drift_by_period(panel: DataFrame, period_col: str, warn: float = WARN, alert
         ref = panel.withColumn(period_col, F.col(period_col) + F.lit(step))
         # only periods that have a previous period (few distinct keys)
         cur = panel.join(ref.select(period_col).distinct(), on=period_col, how="left_semi")
-        return drift_table(ref, cur, warn, alert, ex, by=[period_col], quantiles=quantiles)
+        return drift_table(ref, cur, warn, alert, ex, by=[period_col], quantiles=quantiles, paired_only=True)
     ref = panel.where(F.col(period_col) == F.lit(reference)).drop(period_col)
     cur = panel.where(F.col(period_col) != F.lit(reference))
     return drift_table(ref, cur, warn, alert, ex, by=[period_col], ref_by=[], quantiles=quantiles)

@@ -75,9 +75,11 @@ def score_table(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[
 
 
 def _auc_expr() -> Column:
+    # pairs are counted in decimals: their number outgrows a long from a few billion rows a class
+    big = "decimal(38,0)"
     P, N = F.sum("pos"), F.sum("neg")
-    num = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5))
-    return F.when((P > 0) & (N > 0), num / (P * N))
+    num = F.sum((F.col("pos").cast("decimal(19,0)") * (2 * F.col("neg_below") + F.col("neg")).cast("decimal(19,0)")).cast(big))
+    return F.when((P > 0) & (N > 0), num.cast("double") / 2 / P.cast("double") / N.cast("double"))
 
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (),

@@ -16,9 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +50,16 @@ class ModelConfig:
     cat_iterations: int = 800
     cat_lr: float = 0.05
     cat_depth: int = 6
+    dummy_strategy: str = "majority"
 
 
 SPARK_MAX_DEPTH = 30  # Spark trees cap depth at 30; "unlimited" maps here
 
 
 def _depth(d: int | None) -> int:
-    return SPARK_MAX_DEPTH if d is None else min(int(d), SPARK_MAX_DEPTH)
+    if d is not None and int(d) > SPARK_MAX_DEPTH:
+        raise ValueError(f"Spark trees are at most {SPARK_MAX_DEPTH} deep; depth {d} was asked for")
+    return SPARK_MAX_DEPTH if d is None else int(d)
 
 
 # ------------------------------------------------------------------ caching
@@ -73,8 +74,13 @@ def _cache(df: DataFrame) -> tuple[DataFrame, bool]:
 
 
 # ------------------------------------------------------------------ weights
+MAX_CLASSES = 100  # more label values than this are an error
+
+
 def class_counts(df: DataFrame, y: str = "y") -> dict[int, int]:
-    rows = df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()  # <= 2 rows
+    rows = df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"column {y!r} is no class label: more than {MAX_CLASSES} values")
     return {int(r[y]): int(r["n"]) for r in rows if r[y] is not None}
 
 
@@ -140,16 +146,21 @@ def majority(df: DataFrame, y: str = "y") -> DataFrame:
 
 
 # ------------------------------------------------------------------ folds
+FOLD_ROWS = 50_000  # rows that one task ranks
+
+
 def stratified_folds(df: DataFrame, y: str = "y", id_col: str = "id", k: int = 5, seed: int = 42,
-                     n_ranges: int = 64, fold_col: str = "fold") -> DataFrame:
+                     n_ranges: int | None = None, fold_col: str = "fold") -> DataFrame:
     """M9 folds: within each class, rows ordered by ``xxhash64(id, seed)``
     (id breaks ties) are dealt round-robin into ``k`` folds, so fold sizes
     differ by at most one per class.
 
     The per-class rank is computed without a single-task window: the hash
     space is cut into ``n_ranges`` equal ranges (uniform because the hash
-    is), the rows before each range come from a prefix over the small
-    (class, range) count table, and ``row_number`` runs inside a range."""
+    is; by default one for each ``FOLD_ROWS`` rows), the rows before each range come from a
+    prefix over the small (class, range) count table, and ``row_number`` runs inside a range."""
+    if n_ranges is None:
+        n_ranges = 1 + df.count() // FOLD_ROWS
     h = F.xxhash64(F.col(id_col).cast("string"), F.lit(int(seed)))
     rng = F.least(F.floor((h.cast("double") / F.lit(9.223372036854775807e18) + 1.0) * (n_ranges / 2.0)),
                   F.lit(n_ranges - 1)).cast("int")
@@ -159,7 +170,7 @@ def stratified_folds(df: DataFrame, y: str = "y", id_col: str = "id", k: int = 5
     tot = tot.withColumn("_off", F.coalesce(F.sum("_n").over(wprev), F.lit(0))).drop("_n")
     win = Window.partitionBy(y, "_r").orderBy("_h", id_col)
     ranked = base.withColumn("_rn", F.row_number().over(win))
-    out = ranked.join(F.broadcast(tot), on=[y, "_r"], how="inner")  # bounded: 2 x n_ranges rows
+    out = ranked.join(tot, on=[y, "_r"], how="inner")
     return (out.withColumn(fold_col, F.pmod(F.col("_off") + F.col("_rn") - 1, F.lit(k)).cast("int"))
             .drop("_h", "_r", "_rn", "_off"))
 
@@ -194,6 +205,16 @@ def sample_space(space: dict[str, list], n_iter: int = 25, seed: int = 42) -> li
     return random.Random(seed).sample(grid, n_iter)
 
 
+# Axes of the search spaces without a counterpart in Spark's boosting: sampling them would only
+# fit equal candidates again.
+UNUSED_AXES = ("reg_lambda", "reg_alpha", "l2_leaf_reg")
+
+
+def usable_space(name: str) -> dict[str, list]:
+    """The axes of a model's search space that change its fit here."""
+    return {k: v for k, v in param_space(name).items() if k not in UNUSED_AXES}
+
+
 def _to_spark_params(est, name: str, point: dict, sum_w: float) -> dict:
     out = {}
     for k, v in point.items():
@@ -213,34 +234,75 @@ def _to_spark_params(est, name: str, point: dict, sum_w: float) -> dict:
             out[est.subsamplingRate] = v
         elif k == "colsample_bytree":
             out[est.featureSubsetStrategy] = str(v)
-        # reg_lambda / reg_alpha / l2_leaf_reg: no GBT counterpart (accepted)
     return out
 
 
+TUNING_METRICS = ("roc_auc", "f1", "precision", "recall")
+
+
 @dataclass
 class TuningConfig:
     n_splits: int = 5
     n_iter: int = 25
     seed: int = 42
     parallelism: int = 4
+    refit: str = "roc_auc"
+
+
+@dataclass
+class TuningResult:
+    """The refitted best model, its point and score, and one row a candidate (mean metrics over the folds)."""
+    best_model: PipelineModel
+    best_params: dict
+    best_score: float
+    candidates: DataFrame
+    n_fits: int
 
 
 def tune(train: DataFrame, pre_stages: list, cfg: ModelConfig, y: str = "y", id_col: str = "id",
-         tcfg: TuningConfig = TuningConfig()):
-    """M9: seeded random search, stratified k folds (``foldCol``), refit on
-    ROC AUC.  Candidates run ``parallelism`` at a time, each distributed."""
+         tcfg: TuningConfig = TuningConfig()) -> TuningResult:
+    """M9: seeded random search over stratified folds; every candidate gets the mean ROC AUC, F1,
+    precision and recall (at 0.5) of its folds, and the best by ``refit`` is fitted again on all rows.
+    Fits run ``parallelism`` at a time, each distributed."""
+    from concurrent.futures import ThreadPoolExecutor
+    import json
+    if tcfg.refit not in TUNING_METRICS:
+        raise ValueError(f"refit must be one of {TUNING_METRICS}")
     counts = class_counts(train, y)
     data = (stratified_folds(train, y, id_col, tcfg.n_splits, tcfg.seed)
             .withColumn("w_balanced", balanced_weight(counts, y)).withColumn("w_none", F.lit(1.0)))
-    sum_w = float(sum(counts.values()))
-    est = build_classifier(cfg, weight_col="w_none", sum_weights=sum_w)
-    points = sample_space(param_space(cfg.name), tcfg.n_iter, tcfg.seed)
-    grid = [_to_spark_params(est, cfg.name, p, sum_w) for p in points] or ParamGridBuilder().build()
-    pipe = Pipeline(stages=[*pre_stages, est])
-    ev = BinaryClassificationEvaluator(labelCol=y, rawPredictionCol="probability", metricName="areaUnderROC")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol="fold",
-                        parallelism=tcfg.parallelism, seed=tcfg.seed)
-    return cv.fit(data)
+    data, owned = _cache(data)
+    try:
+        sizes = {r["fold"]: r["n"] for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+        points = sample_space(usable_space(cfg.name), tcfg.n_iter, tcfg.seed)
+
+        def fitted(rows: DataFrame, point: dict, n: int) -> PipelineModel:
+            est = build_classifier(cfg, weight_col="w_none", sum_weights=float(n))
+            return Pipeline(stages=[*pre_stages, est]).fit(rows, _to_spark_params(est, cfg.name, point, float(n)))
+
+        def one(job: tuple[int, int]) -> tuple[int, dict]:
+            i, fold = job
+            model = fitted(data.where(F.col("fold") != fold), points[i], sum(sizes.values()) - sizes[fold])
+            row = M.metrics_at(score_with(model, data.where(F.col("fold") == fold), 0.5), y, "score", 0.5).first()
+            return i, {m: row[m] for m in TUNING_METRICS}
+
+        jobs = [(i, fold) for i in range(len(points)) for fold in sorted(sizes)]
+        with ThreadPoolExecutor(max(1, tcfg.parallelism)) as pool:
+            results = list(pool.map(one, jobs))
+        rows = []
+        for i, point in enumerate(points):
+            own = [r for j, r in results if j == i]
+            mean = {m: (sum(v) / len(v) if (v := [r[m] for r in own if r[m] is not None]) else None) for m in TUNING_METRICS}
+            rows.append((i, json.dumps(point, sort_keys=True), len(own), *[mean[m] for m in TUNING_METRICS]))
+        at = 3 + TUNING_METRICS.index(tcfg.refit)
+        best = max(rows, key=lambda r: (r[at] if r[at] is not None else float("-inf"), -r[0]))
+        model = fitted(data, points[best[0]], sum(sizes.values()))
+    finally:
+        if owned:
+            data.unpersist()
+    table = train.sparkSession.createDataFrame(
+        rows, "candidate int, params string, n_folds int, " + ", ".join(f"{m} double" for m in TUNING_METRICS))
+    return TuningResult(model, points[best[0]], best[at], table, len(jobs))
 
 
 # ------------------------------------------------------------------ fit
@@ -251,11 +313,16 @@ class FittedModel:
     features: list[str]
     numeric: list[str] = field(default_factory=list)
     categorical: list[str] = field(default_factory=list)
+    best_params: dict | None = None
+    best_score: float | None = None
 
 
 def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], cfg: ModelConfig,
         y: str = "y", id_col: str = "id", tuning: TuningConfig | None = None) -> FittedModel:
-    """Preprocessor + classifier; ``dummy`` = majority class."""
+    """Preprocessor + classifier; ``dummy`` = majority class, or the train prevalence with
+    ``dummy_strategy="prevalence"``."""
+    if cfg.name == "dummy" and cfg.dummy_strategy == "prevalence":
+        return FittedModel("dummy", constant_model(prevalence(train, y).first()["prevalence"]), [*numeric, *categorical])
     if cfg.name == "dummy":
         maj = majority(train, y).first()["majority"]
         return FittedModel("dummy", constant_model(1.0 if maj == 1 else 0.0), [*numeric, *categorical])
@@ -273,8 +340,9 @@ def _fit_persisted(train: DataFrame, numeric: Sequence[str], categorical: Sequen
     counts = class_counts(train, y)
     balanced = (cfg.name == "tree" and cfg.dt_balanced) or (cfg.name == "rf" and cfg.rf_balanced)
     if tuning is not None:
-        cvm = tune(train, [pre.model], cfg, y, id_col, tuning)
-        model = cvm.bestModel
+        tuned = tune(train, [pre.model], cfg, y, id_col, tuning)
+        return FittedModel(cfg.name, tuned.best_model, pre.selected, pre.numeric, pre.categorical,
+                           tuned.best_params, tuned.best_score)
     else:
         data = train.withColumn("w_balanced", balanced_weight(counts, y))
         est = build_classifier(cfg, weight_col="w_balanced" if balanced else None,
@@ -300,6 +368,20 @@ def train_baseline(train: DataFrame, numeric: Sequence[str], categorical: Sequen
     return FittedModel("logreg", model, pre.selected, pre.numeric, pre.categorical)
 
 
+def load_recorded(runs: DataFrame, model_key: str | None = None) -> tuple[FittedModel, float]:
+    """R2: the newest recorded run of a key (``None``: the default model) as a usable model with its
+    features, and the threshold recorded with it (Q12; 0.5 if none is)."""
+    from ..functions.scalar import canonical_model_key
+    from .registry import latest_per_model, resolve_model
+    canonical_model_key(model_key)
+    row = resolve_model(latest_per_model(runs), model_key).first()
+    if row is None:
+        raise LookupError(f"no recorded run of model {model_key or 'default'!r}")
+    got = row.asDict()
+    threshold = float(got["threshold"]) if got.get("threshold") is not None else 0.5
+    return FittedModel(row["model"], PipelineModel.load(row["model_path"]), list(got.get("features") or [])), threshold
+
+
 def predict(fm: FittedModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Score + label."""
     return score_with(fm.model, df, threshold)
@@ -323,7 +405,8 @@ def compare(train: DataFrame, test: DataFrame, numeric: Sequence[str], categoric
             models: Sequence[str] = MODEL_KEYS, y: str = "y", id_col: str = "id",
             tuning: TuningConfig | None = None, objective: str = "f1",
             configs: dict[str, ModelConfig] | None = None,
-            artifacts_dir: str | None = None) -> DataFrame:
+            artifacts_dir: str | None = None, min_precision: float | None = None,
+            min_recall: float | None = None) -> DataFrame:
     """Fit each model, pick its threshold on train, evaluate on
     test; leaderboard sorted by test ROC AUC then F1 (descending).
 
@@ -336,8 +419,10 @@ def compare(train: DataFrame, test: DataFrame, numeric: Sequence[str], categoric
     for key in models:
         cfg = (configs or {}).get(key, ModelConfig(key))
         fm = fit(train, numeric, categorical, cfg, y, id_col, tuning)
-        thr = pick_on_train(fm, train, y, objective)
+        thr = pick_on_train(fm, train, y, objective, min_precision, min_recall)
         m = evaluate(fm, test, thr, y)
+        seen = evaluate(fm, train, thr, y).first()
+        m = m.withColumns({f"train_{k}": F.lit(seen[k]).cast("double") for k in ("roc_auc", "f1", "precision", "recall")})
         if artifacts_dir:
             run_id = train.sparkSession.range(1).select(
                 F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")).first()[0]
@@ -350,18 +435,23 @@ def compare(train: DataFrame, test: DataFrame, numeric: Sequence[str], categoric
                        m.select(F.lit(key).alias("model"), "run_id", "model_path", "features", "threshold",
                                 F.col("roc_auc").alias("test_roc_auc"), F.col("f1").alias("test_f1"),
                                 F.col("precision").alias("test_precision"), F.col("recall").alias("test_recall"),
+                                "train_roc_auc", "train_f1", "train_precision", "train_recall",
                                 F.current_timestamp().alias("run_ts")))
         rows.append(m.select(F.lit(key).alias("model"), "threshold",
                              F.col("roc_auc").alias("test_roc_auc"), F.col("f1").alias("test_f1"),
                              F.col("precision").alias("test_precision"), F.col("recall").alias("test_recall"),
                              F.col("tp").alias("test_tp"), F.col("fp").alias("test_fp"),
-                             F.col("n").alias("test_n")))
+                             F.col("n").alias("test_n"), "train_roc_auc", "train_f1", "train_precision",
+                             "train_recall"))
     board = rows[0]
     for r in rows[1:]:
         board = board.unionByName(r)
     board = board.orderBy(F.desc_nulls_last("test_roc_auc"), F.desc("test_f1"), "model")
     # one row per model: materialise the report, then release the inputs
     out = train.sparkSession.createDataFrame(board.collect(), board.schema)
+    if artifacts_dir:  # the leaderboard file
+        from ..sources.io import write_table
+        write_table(out.coalesce(1), f"{artifacts_dir.rstrip('/')}/leaderboard", fmt="csv", sep=",")
     if own_train:
         train.unpersist()
     if own_test:

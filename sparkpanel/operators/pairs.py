@@ -50,26 +50,41 @@ def temporal_pair(df_t: DataFrame, df_t1: DataFrame, year_t: int, year_t1: int,
         raise ValueError(f"column '{target_col}' not found in period {year_t1}")
     if validate:
         validate_pair_inputs(df_t, df_t1, id_col, year_t, year_t1, min_common=min_common)
-    right = df_t1.select(F.col(id_col), target_not_equal(F.col(target_col), target_value).alias("y"))
+    # ids compare as text (Q7), so '007' and 7 are different ids
+    right = df_t1.select(F.col(id_col).cast("string").alias("_id_t1"),
+                         target_not_equal(F.col(target_col), target_value).alias("_y"))
     feats = _pair_columns(df_t, id_col, drop_feature_cols)
-    return (df_t.join(right, on=id_col, how="inner")
+    left = df_t.withColumn("_id_t", F.col(id_col).cast("string"))
+    return (left.join(right, F.col("_id_t") == F.col("_id_t1"), how="inner")
             .select(F.col(id_col), F.lit(int(year_t)).alias("year_t"),
-                    F.lit(int(year_t1)).alias("year_t1"), F.col("y"), *[F.col(c) for c in feats]))
+                    F.lit(int(year_t1)).alias("year_t1"), F.col("_y").alias("y"), *[F.col(c) for c in feats]))
+
+
+def assert_one_row_per_period(panel: DataFrame, id_col: str, period_col: str) -> None:
+    """Stop with an error if an (id, period) has several rows (ids as text; NULL ids never pair)."""
+    twice = (panel.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("id"), period_col)
+             .agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(5).collect())
+    if twice:
+        raise ValueError(f"several rows for one id and period: {[(r[0], r[1], r[2]) for r in twice]}")
 
 
 def all_pairs(panel: DataFrame, *, id_col: str, period_col: str = "ano",
               target: Callable[[DataFrame], Column] | None = None, step: int = 1,
-              drop_feature_cols: Sequence[str] = ()) -> DataFrame:
+              drop_feature_cols: Sequence[str] = (), validate: bool = True) -> DataFrame:
     """Every consecutive pair of a panel in ONE pass.
 
     ``lead()`` over ``PARTITION BY id ORDER BY period`` brings the next
     period's target onto each row; a row pairs only when that next period is
     exactly ``period + step``.  The panel is read once and shuffled once by
     id; each id holds at most #periods rows, so a hot id cannot skew it.
-    Assumes one row per (id, period) (check with ``quality.id_quality``).
+    Rows without an id pair with nothing.  ``validate`` stops with an error if an (id, period) has
+    several rows; skip it only for a panel that an aggregate by (id, period) has just made.
     """
     target = target or default_target()
-    w = Window.partitionBy(id_col).orderBy(period_col)
+    if validate:
+        assert_one_row_per_period(panel, id_col, period_col)
+    panel = panel.where(F.col(id_col).isNotNull())
+    w = Window.partitionBy(F.col(id_col).cast("string")).orderBy(period_col)
     feats = _pair_columns(panel, id_col, set(drop_feature_cols) | {period_col})
     nxt = panel.select(F.col(id_col), F.col(period_col), *[F.col(c) for c in feats],
                        F.lead(F.col(period_col)).over(w).alias("_next"),
@@ -84,7 +99,8 @@ def keep_common_ids(df_t: DataFrame, df_t1: DataFrame, id_col: str) -> DataFrame
     """rows of ``df_t`` whose id also occurs in ``df_t1`` (left-semi
     against the distinct ids, so repeated ids on the right are combined
     map-side before the shuffle)."""
-    return df_t.join(df_t1.select(id_col).distinct(), on=id_col, how="left_semi")
+    ids = df_t1.select(F.col(id_col).cast("string").alias("_id_t1")).distinct()
+    return df_t.join(ids, df_t[id_col].cast("string") == F.col("_id_t1"), how="left_semi")
 
 
 def target_summary(pairs: DataFrame, by: Sequence[str] = ("year_t", "year_t1")) -> DataFrame:

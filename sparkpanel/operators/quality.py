@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import no_nan
+
 
 def id_quality(df: DataFrame, id_col: str, by: Sequence[str] = ()) -> DataFrame:
     """rows, NULL ids, duplicate ids (rows beyond the first) per group.
@@ -133,7 +135,7 @@ def basic_stats(df: DataFrame, y_col: str = "y", by: Sequence[str] = ()) -> Data
     rate."""
     cols = df.columns
     n_cols = len(cols)
-    nulls = [F.count_if(F.col(f"`{c}`").isNull()) for c in cols]
+    nulls = [F.count_if(no_nan(F.col(f"`{f.name}`"), f.dataType).isNull()) for f in df.schema.fields]
     total_nulls = nulls[0]
     for e in nulls[1:]:
         total_nulls = total_nulls + e
@@ -153,8 +155,9 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """``(feature, n_rows, n_nonnull, n_null, all_null)`` per column,
     from ONE aggregate of ``count(c)`` over all columns, unpivoted."""
     cols = list(columns or df.columns)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
     agg = df.agg(F.count(F.lit(1)).alias("__n"),
-                 *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)])
+                 *[F.count(no_nan(F.col(f"`{c}`"), kinds[c])).alias(f"c{i}") for i, c in enumerate(cols)])
     stack = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', c{i}" for i, c in enumerate(cols))
     long = agg.selectExpr("__n", f"stack({len(cols)}, {stack}) AS (feature, n_nonnull)")
     return long.select("feature", F.col("__n").alias("n_rows"), "n_nonnull",

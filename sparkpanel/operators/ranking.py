@@ -14,25 +14,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-# A window over this many distinct values in one task is cheap; larger
-# groups are split into ranges.
+# Distinct values that one task ranks; the number of ranges of a group grows with its values.
 ROWS_PER_RANGE = 2_000_000
-
-
-# Ranges per group are found by scanning the group's (sorted) edge list, so
-# their number is capped; each range's window is a sort that spills to disk.
-MAX_RANGES = 64
+STRIDE = 64  # edges that one step of the search for a value's range looks at
 
 
 def _n_ranges(spark, n_ranges: int | None) -> int:
     if n_ranges is None:
         n_ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(int(n_ranges), MAX_RANGES))
+    return max(1, int(n_ranges))
+
+
+def add_range_index(df: DataFrame, edges: Column, n: int, v: Column, out: str) -> DataFrame:
+    """Add how many of the (at most n) ascending edges are <= v.  The search goes down in steps of
+    STRIDE edges, each unrolled, so it takes 64 comparisons for each power of 64."""
+    span = 1
+    while span * STRIDE < n:
+        span *= STRIDE
+    df = df.withColumn(out, F.lit(0))
+    while span >= 1:
+        terms = [F.coalesce((F.try_element_at(edges, F.col(out) + i * span) <= v).cast("int"), F.lit(0))
+                 for i in range(1, min(STRIDE, -(-n // span)) + 1)]
+        df = df.withColumn(out, F.col(out) + span * sum(terms[1:], terms[0]))
+        span //= STRIDE
+    return df
 
 
 def _local(spark, rows, schema) -> DataFrame:
@@ -53,18 +63,15 @@ def with_ranges(df: DataFrame, keys: Sequence[str], order_col: str, n_ranges: in
     keys = list(keys)
     ps = [i / n for i in range(1, n)]
     v = F.col(order_col).cast("double")
-    q = F.array_sort(F.array_distinct(F.percentile_approx(v, ps, 10000))).alias("_edges")
-    # range index = number of edges <= value, unrolled over the (at most
-    # n-1) edges so the expression stays in generated code
+    q = F.array_sort(F.array_distinct(F.percentile_approx(v, ps, max(10000, 10 * n)))).alias("_edges")
     if not keys:
         edges = df.agg(q).first()["_edges"] or []
-        terms = [(F.lit(float(e)) <= v).cast("int") for e in edges]
-        return df.withColumn(out, F.coalesce(sum(terms[1:], terms[0]), F.lit(0)) if terms else F.lit(0))
+        held = F.lit([float(e) for e in edges]) if edges else F.array().cast("array<double>")
+        return add_range_index(df, held, n - 1, v, out)
     edges = df.groupBy(*keys).agg(q)
     edges = _local(spark, edges.collect(), edges.schema)
-    j = df.join(F.broadcast(edges), on=keys, how="left")
-    terms = [F.coalesce((F.try_element_at("_edges", F.lit(i)) <= v).cast("int"), F.lit(0)) for i in range(1, n)]
-    return j.withColumn(out, sum(terms[1:], terms[0])).drop("_edges")
+    j = df.join(edges, on=keys, how="left")
+    return add_range_index(j, F.col("_edges"), n - 1, v, out).drop("_edges")
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str, weights: Sequence[str],
@@ -81,7 +88,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str, weights: Seq
                                       for w in weights])
     win = Window.partitionBy(*keys, "_rng").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     inside = r.select("*", *[F.coalesce(F.sum(w).over(win), F.lit(0)).alias(f"_i_{w}") for w in weights])
-    j = inside.join(F.broadcast(tot), on=[*keys, "_rng"], how="inner")
+    j = inside.join(tot, on=[*keys, "_rng"], how="inner")
     return j.select(*cols,
                     *[(F.col(f"_o_{w}") + F.col(f"_i_{w}")).alias(f"{w}{suffix}") for w in weights])
 
@@ -115,14 +122,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value_col: str, probs: S
             ranks_of[tuple(r[k] for k in keys)] = (n, sorted(rk))
         if n_ranges is None:
             biggest = max([int(r["_d"]) for r in stats] or [0])
-            n_ranges = min(_n_ranges(spark, None), max(1, -(-biggest // ROWS_PER_RANGE)))
+            n_ranges = max(1, -(-biggest // ROWS_PER_RANGE))
         ps = prefix_sums(hist, keys, "_v", ["_c"], n_ranges)
         lo, hi = F.col("_c_before"), F.col("_c_before") + F.col("_c")
         if keys:
             tschema = T.StructType([*[hist.schema[k] for k in keys],
                                     T.StructField("_ranks", T.ArrayType(T.LongType()))])
             targets = _local(spark, [(*k, rk) for k, (_, rk) in ranks_of.items()], tschema)
-            hit = ps.join(F.broadcast(targets), on=keys, how="inner")
+            hit = ps.join(targets, on=keys, how="inner")
             ranks = F.col("_ranks")
         else:
             hit = ps

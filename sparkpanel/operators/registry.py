@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import normalize_model_key, parse_model_from_path, parse_run_id
+from ..functions.scalar import canonical_model_key, normalize_model_key, parse_model_from_path, parse_run_id
 
 # Default leaderboard sort columns (first present wins) and
 # the pointer keys tried in order.
@@ -42,9 +42,13 @@ def canonical_models(runs: DataFrame, col: str = "model") -> DataFrame:
 
 def latest_per_model(runs: DataFrame, key: str = "model",
                      order: Sequence[str] = ("run_ts", "run_id")) -> DataFrame:
-    """R2: newest run per model (ties by the later ``order`` columns)."""
+    """R2: newest run per model (ties by the later ``order`` columns).  A hash aggregate finds the
+    greatest first ``order`` value of each model; only the rows that have it are compared whole."""
+    newest = runs.groupBy(F.col(key).alias("_key")).agg(F.max(order[0]).alias("_newest"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(order[0]).eqNullSafe(F.col("_newest"))
+    few = runs.join(newest, same, "left_semi")
     cols = [c for c in runs.columns if c != key]
-    picked = runs.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("r"))
+    picked = few.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("r"))
     return picked.select(key, *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
@@ -56,9 +60,13 @@ def resolve_model(latest: DataFrame, model_key: Column | str | None, key: str =
 
 
 def promote(runs: DataFrame, promotions: DataFrame, key: str = "model", on: str = "run_id") -> DataFrame:
-    """Effective pointer per model = the newest promotion if any, else
-    the newest run.  ``promotions`` has ``(on, promoted_at)``."""
-    p = runs.join(promotions, on=on, how="left")
+    """Per model, the run with the latest effective time: a run's promotion time, or its own time
+    if it was never promoted.  ``promotions`` has ``(key, on, promoted_at)``: run ids repeat between
+    models, so a promotion names both.  Of several promotions of a run the newest counts."""
+    if key not in promotions.columns:
+        raise ValueError(f"promotions must name the {key!r} beside {on!r}")
+    newest = promotions.groupBy(key, on).agg(F.max("promoted_at").alias("promoted_at"))
+    p = runs.join(newest, on=[key, on], how="left")
     eff = F.coalesce(F.col("promoted_at"), F.col("run_ts"))
     return latest_per_model(p.withColumn("_eff", eff), key, ("_eff", "run_id")).drop("_eff")
 
@@ -87,7 +95,7 @@ def leaderboard(board: DataFrame, top_n: int = 50, sort_by: str | None = None, o
         raise ValueError("order must be 'asc' or 'desc'")
     df = board
     if model_key is not None and key in df.columns:
-        df = df.where(normalize_model_key(F.col(key)) == normalize_model_key(F.lit(model_key)))
+        df = df.where(normalize_model_key(F.col(key)) == F.lit(canonical_model_key(model_key)))
     if sort_by is not None:
         if sort_by not in df.columns:
             raise ValueError(f"invalid sort_by {sort_by!r}; available: {df.columns}")

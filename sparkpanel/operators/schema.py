@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import dedupe_names, infer_id_columns, matching, normalize_colname, with_prefix
+from ..functions.scalar import no_nan
 
 
 def q(name: str):
@@ -203,7 +204,8 @@ def all_null_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     """One aggregate ``count(c)`` for every column (bounded result)."""
     if not cols:
         return []
-    row = df.agg(*[F.count(q(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    row = df.agg(*[F.count(no_nan(q(c), kinds[c])).alias(f"c{i}") for i, c in enumerate(cols)]).first()
     return [c for i, c in enumerate(cols) if row[f"c{i}"] == 0]
 
 

@@ -219,7 +219,7 @@ SELECT {t3('"RA"')} AS ra, ano,
        {t3(_PEDRA)} AS pedra,
        {t3('"Rec Av1"')} AS rec_av1, {t3('"Rec Av2"')} AS rec_av2,
        {t4('"Defasagem"')} AS defas, {t4('"Mat"')} AS matem, {t4('"IAN"')} AS ian,
-       {t3('"Gênero"')} AS genero, "Nº Av" AS no_av,
+       {t3('"Gênero"')} AS genero, {t4('"Nº Av"')} AS no_av,
        CAST(ano AS DOUBLE) - {t4('"Data de Nasc"')} AS idade,
        CAST(NULL AS DOUBLE) AS ipp,
        CAST(ano AS DOUBLE) - {t4('"Ano ingresso"')} AS tenure,

@@ -265,3 +265,19 @@ def feature_dictionary(spark, sf):
     ref, cur = _sides(spark, sf)
     t = D.drift_table(ref, cur).select("feature", "kind", F.round("score", R).alias("score"), "status")
     return S.describe_features(t, S.feature_dictionary(spark, LINE_DICTIONARY))
+
+
+@register("drift_empty_current", f"""
+WITH cats AS (SELECT 'o_orderpriority' AS feature, o_orderpriority AS c, COUNT(*) AS n FROM orders GROUP BY 2
+              UNION ALL SELECT 'o_orderstatus', o_orderstatus, COUNT(*) FROM orders GROUP BY 2),
+p AS (SELECT feature, CAST(n AS DOUBLE) / SUM(n) OVER (PARTITION BY feature) AS pr, CAST(1e-6 AS DOUBLE) AS pc FROM cats)
+SELECT feature, 'categorical_psi' AS kind,
+       round(SUM((pc - greatest(pr, 1e-6)) * ln(pc / greatest(pr, 1e-6))), {R}) AS score FROM p GROUP BY feature
+UNION ALL SELECT 'o_totalprice', 'numeric_psi', 0.0::DOUBLE
+""")
+def drift_empty_current(spark, sf):
+    """A current table without rows: every feature is reported; numeric scores are 0, and
+    every category counts as gone."""
+    o = table(spark, sf, "orders").select("o_totalprice", "o_orderpriority", "o_orderstatus")
+    t = D.drift_table(o, o.where("o_totalprice < 0"))
+    return t.select("feature", "kind", F.round("score", R).alias("score"))

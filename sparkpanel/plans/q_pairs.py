@@ -8,13 +8,32 @@ from ..functions.scalar import target_not_equal
 from ..operators import pairs as P
 from ..operators import quality as Q
 from .catalog import register
-from .tables import (PAIRS_SQL, PANEL_ID, PANEL_PERIOD, PANEL_TARGET_VALUE, orders_panel)
+from .tables import (PAIRS_SQL, PANEL_ID, PANEL_PERIOD, PANEL_TARGET_VALUE, orders_panel, table)
 
 
 def panel_pairs(spark, sf):
     panel = orders_panel(spark, sf)
     return P.all_pairs(panel, id_col=PANEL_ID, period_col=PANEL_PERIOD,
-                       target=lambda d: target_not_equal(F.col("n_orders"), PANEL_TARGET_VALUE))
+                       target=lambda d: target_not_equal(F.col("n_orders"), PANEL_TARGET_VALUE),
+                       validate=False)  # the panel is an aggregate by (id, period)
+
+
+@register("pair_dirty_ids", """
+WITH t AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN '0' || o_orderkey
+                       ELSE CAST(o_orderkey AS VARCHAR) END AS id, o_orderstatus AS status FROM orders),
+t1 AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey END AS id, length(o_orderpriority) AS ian FROM orders)
+SELECT t.id, CAST(2020 AS INTEGER) AS year_t, CAST(2021 AS INTEGER) AS year_t1,
+       CASE WHEN t1.ian IS NOT DISTINCT FROM 10 THEN 0 ELSE 1 END AS y, t.status
+FROM t JOIN t1 ON t.id = CAST(t1.id AS VARCHAR)
+""")
+def pair_dirty_ids(spark, sf):
+    """Ids of different types compare as text; NULL ids pair with nothing."""
+    o = table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    t = o.select(F.when(key % 7 == 0, None).when(key % 2 == 0, F.concat(F.lit("0"), key.cast("string")))
+                 .otherwise(key.cast("string")).alias("id"), F.col("o_orderstatus").alias("status"))
+    t1 = o.select(F.when(key % 5 != 0, key).alias("id"), F.length("o_orderpriority").alias("ian"))
+    return P.temporal_pair(t, t1, 2020, 2021, id_col="id", validate=False)
 
 
 @register("pair_all", "WITH " + PAIRS_SQL + " SELECT * FROM pairs")

@@ -110,3 +110,17 @@ def null_profile(spark, sf):
          .select("doc_id", "lang", "quality", "toxic",
                  F.nullif("source", F.lit("src0")).alias("source")))
     return Q.null_profile(d)
+
+
+@register("nan_profile", """
+SELECT 'l_quantity' AS feature, COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE l_quantity >= 10) AS n_nonnull,
+       COUNT(*) FILTER (WHERE l_quantity < 10 OR l_quantity IS NULL) AS n_null,
+       COUNT(*) FILTER (WHERE l_quantity >= 10) = 0 AS all_null FROM lineitem
+UNION ALL SELECT 'l_tax', COUNT(*), COUNT(*) - COUNT(*), COUNT(*), TRUE FROM lineitem
+""")
+def nan_profile(spark, sf):
+    """NaN counts as missing."""
+    li = table(spark, sf, "lineitem")
+    nan = F.lit(float("nan"))
+    return Q.null_profile(li.select(F.when(F.col("l_quantity") >= 10, F.col("l_quantity").cast("double")).otherwise(nan)
+                                    .alias("l_quantity"), nan.alias("l_tax")))

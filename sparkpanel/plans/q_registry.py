@@ -101,7 +101,7 @@ def promoted_latest(spark, sf):
     """Promotions override the newest run as the model's pointer."""
     r = runs(spark, sf)
     prom = (r.where(F.col("test_roc_auc") >= 0.95)
-            .select("event_id", (F.col("run_ts") + F.expr("INTERVAL 40 DAYS")).alias("promoted_at")))
+            .select("model", "event_id", (F.col("run_ts") + F.expr("INTERVAL 40 DAYS")).alias("promoted_at")))
     return RG.promote(r, prom, "model", on="event_id")
 
 

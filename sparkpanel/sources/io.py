@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import dedupe_names, normalize_colname
+from ..functions.scalar import no_nan
 
 # Tokens the reference's CSV reader treats as missing.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -45,14 +46,17 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_csv_strings(spark: SparkSession, path: str, sep: str = ";",
                      encoding: str = "utf-8", normalize_names: bool = True,
-                     na_tokens: Iterable[str] = NA_TOKENS) -> DataFrame:
+                     na_tokens: Iterable[str] = NA_TOKENS, multi_line: bool = True) -> DataFrame:
     """Header CSV read with every column as string (no inference, so
     ``007`` stays ``007``), names normalised (P2) and NA tokens -> NULL.
 
     The raw header row is read first (one row) and normalised/de-duplicated
     here, because Spark's own header handling renames duplicates
-    case-insensitively before normalisation could see them (Q10)."""
-    opts = dict(sep=sep, encoding=encoding, multiLine=False)
+    case-insensitively before normalisation could see them (Q10).
+
+    Quoted fields may hold line breaks and doubled quotes; such a file is read by one task, so a
+    very large file known to have no quoted line break should be read with ``multi_line=False``."""
+    opts = dict(sep=sep, encoding=encoding, multiLine=multi_line, quote='"', escape='"')
     head = _guard(lambda: spark.read.options(header=False, **opts).csv(path).first(), path)
     if head is None:
         raise SourceNotFound(f"empty input: {path}")
@@ -69,31 +73,28 @@ def read_csv_strings(spark: SparkSession, path: str, sep: str = ";",
 
 
 def read_table(spark: SparkSession, path: str, csv_sep: str = ",") -> DataFrame:
-    """Dispatch on suffix: ``.parquet`` / ``.csv`` / ``.csv.gz``; a
-    directory written by Spark is read as parquet."""
+    """Dispatch on suffix: ``.parquet``, a name without a suffix (a folder that Spark wrote) as
+    Parquet too, ``.csv`` / ``.csv.gz`` as text columns (no inference, Q8).  NaN becomes NULL."""
     low = path.lower().rstrip("/")
-    if low.endswith(".parquet"):
-        return read_parquet(spark, path)
-    if low.endswith(".csv") or low.endswith(".csv.gz"):
-        return _guard(lambda: spark.read.options(header=True, sep=csv_sep,
-                                                inferSchema=True).csv(path), path)
+    if low.endswith((".csv", ".csv.gz")):
+        return read_csv_strings(spark, path, sep=csv_sep, normalize_names=False)
+    if low.endswith(".parquet") or "." not in low.rsplit("/", 1)[-1]:
+        df = read_parquet(spark, path)
+        return df.select(*[no_nan(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
     raise ValueError(f"unsupported table format: {path}")
 
 
 def read_first_available(spark: SparkSession, directory: str, stem: str,
                          csv_sep: str = ";") -> DataFrame:
-    """Prefer ``<stem>.parquet``, else ``<stem>.csv.gz`` (``;``), else error."""
+    """Prefer ``<stem>.parquet``, then the folder ``<stem>`` that ``jobs.build_dataset`` writes, else
+    ``<stem>.csv.gz`` (``;``), else error."""
     base = directory.rstrip("/")
-    try:
-        return read_parquet(spark, f"{base}/{stem}.parquet")
-    except SourceNotFound:
-        pass
-    try:
-        return _guard(lambda: spark.read.options(header=True, sep=csv_sep,
-                                                inferSchema=True)
-                      .csv(f"{base}/{stem}.csv.gz"), f"{base}/{stem}.csv.gz")
-    except SourceNotFound as exc:
-        raise SourceNotFound(f"no {stem}.parquet or {stem}.csv.gz in {base}") from exc
+    for name in (f"{stem}.parquet", stem, f"{stem}.csv.gz"):
+        try:
+            return read_table(spark, f"{base}/{name}", csv_sep)
+        except SourceNotFound:
+            continue
+    raise SourceNotFound(f"no {stem}.parquet, {stem} or {stem}.csv.gz in {base}")
 
 
 def load_periods(spark: SparkSession, paths: Mapping[int, str], period_col: str = "ano",

@@ -3,11 +3,11 @@
 The reference runs its drift report once a day from a scheduler.  Here each
 newly arrived batch of the current table (files landing in a folder, one
 folder per period or day) is compared with a fixed reference table inside
-``foreachBatch``; the per-feature rows and the summary are appended to two
-history tables partitioned by ``run_ts``.  ``Trigger.AvailableNow`` gives the
-daily-batch behaviour (process what has arrived, then stop); the streaming
-checkpoint makes a restarted job resume exactly after the last committed
-batch, so a lost driver or executor does not duplicate or skip reports.
+``foreachBatch``; the per-feature rows and the summary go to two history
+tables partitioned by ``batch_id``.  ``Trigger.AvailableNow`` gives the
+daily-batch behaviour (process what has arrived, then stop).  Spark may run a
+batch again after a failure; a batch overwrites its own partition, so a
+repeated one leaves one report.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from ..operators import drift as D
 
 
-def _append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("run_ts").parquet(path)
+def _put(df: DataFrame, path: str) -> None:
+    """Write a batch's partition, or replace it if the batch runs again."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
 
 def report_batch(reference: DataFrame, batch: DataFrame, batch_id: int, features_path: str,
@@ -34,9 +35,9 @@ def report_batch(reference: DataFrame, batch: DataFrame, batch_id: int, features
     # the per-feature table feeds two writes; keep it for the batch only
     table = D.drift_table(reference, batch, warn, alert, exclude).persist()
     try:
-        _append(table.withColumns({"batch_id": F.lit(int(batch_id)), "run_ts": stamp}), features_path)
+        _put(table.withColumns({"batch_id": F.lit(int(batch_id)), "run_ts": stamp}), features_path)
         summary = D.drift_summary(table, warn, alert)
-        _append(summary.withColumns({"batch_id": F.lit(int(batch_id)), "run_ts": stamp}), summary_path)
+        _put(summary.withColumns({"batch_id": F.lit(int(batch_id)), "run_ts": stamp}), summary_path)
     finally:
         table.unpersist()
 
@@ -73,5 +74,7 @@ def start_monitor(spark: SparkSession, reference: DataFrame, source_dir: str, ch
 
 
 def latest_features(spark: SparkSession, features_path: str) -> DataFrame:
-    """S10 'latest' view: the rows of the newest report."""
-    return D.latest_report(spark.read.parquet(features_path), "run_ts")
+    """S10 'latest' view: the rows of the newest report (by stamp, then batch: stamps have seconds)."""
+    history = spark.read.parquet(features_path)
+    newest = history.agg(F.max(F.struct("run_ts", "batch_id")).alias("n")).select("n.run_ts", "n.batch_id")
+    return history.join(newest, ["run_ts", "batch_id"], "left_semi")

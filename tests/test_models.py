@@ -84,8 +84,27 @@ def test_preprocessor_persist_roundtrip(spark, pairs, tmpdir_path):
 def test_tuning_with_folds(spark, pairs):
     cfg = MD.ModelConfig("tree")
     pre = FE.fit_preprocessor(pairs, ["a", "b"], ["bolsa"])
-    cvm = MD.tune(pairs, [pre.model], cfg, "y", "ra", MD.TuningConfig(n_splits=3, n_iter=2, parallelism=2))
-    assert len(cvm.avgMetrics) == 2 and all(0.0 <= m <= 1.0 for m in cvm.avgMetrics)
+    tuned = MD.tune(pairs, [pre.model], cfg, "y", "ra", MD.TuningConfig(n_iter=2, parallelism=2))
+    rows = tuned.candidates.collect()
+    assert len(rows) == 2 and tuned.n_fits == 10 and all(r.n_folds == 5 for r in rows)
+    assert all(0.0 <= r[m] <= 1.0 for r in rows for m in MD.TUNING_METRICS)
+    assert tuned.best_score == max(r.roc_auc for r in rows)
+    assert MD.predict(MD.FittedModel("tree", tuned.best_model, []), pairs).count() == pairs.count()
+    with pytest.raises(ValueError):
+        MD.tune(pairs, [pre.model], cfg, "y", "ra", MD.TuningConfig(refit="speed"))
+
+
+def test_search_axes_all_change_the_fit():
+    for key in MD.MODEL_KEYS:
+        points = [tuple(sorted((k, str(v)) for k, v in p.items())) for p in MD.sample_space(MD.usable_space(key))]
+        assert len(set(points)) == len(points)
+    assert not set(MD.usable_space("cat")) & set(MD.UNUSED_AXES)
+
+
+def test_depth_beyond_sparks_limit_is_an_error():
+    assert MD._depth(None) == 30 and MD._depth(30) == 30
+    with pytest.raises(ValueError):
+        MD._depth(31)
 
 
 def test_payload_scoring_equals_direct_scoring(spark, pairs):
