@@ -94,26 +94,66 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def swaps(row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minus word, plus word, weight): each distinct swap of a group term and the number of texts it changes."""
+    """(minus word, plus word, weight): each distinct swap of a group term and the number of texts it
+    changes.  ``word`` holds every place of a group term, in text ``row``."""
     found: dict[tuple[int, int], float] = {}
     for group in GROUPS:
-        at = bucket_of(list(group))
-        for i, a in enumerate(at.tolist()):
-            n = np.count_nonzero(word == a)
-            for j, b in enumerate(at.tolist()):
-                if a == b or (j and not n) or not i and not n:
+        at = bucket_of(list(group)).tolist()
+        texts = {a: row[word == a] for a in at}
+        for i, a in enumerate(at):
+            for j, b in enumerate(at):
+                n = len(texts[a])
+                if a == b or (j and not n) or (not i and not n):
                     continue
-                both = len(np.intersect1d(row[word == a], row[word == b])) if n else 0
-                found[a, b] = found.get((a, b), 0.0) + max(1, n - both)
+                found[a, b] = found.get((a, b), 0.0) + max(1, n - len(np.intersect1d(texts[a], texts[b])))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     keys = np.array(list(found), np.int64)
     return keys[:, 0], keys[:, 1], np.array(list(found.values()), float)
 
 
-def log_ratio(word: np.ndarray, toxic: np.ndarray, smooth: float = 0.5) -> np.ndarray:
+class Texts:
+    """The sample's texts as one array of words (32 bits each); sums go over blocks of texts, so
+    beside it they take little memory."""
+
+    BLOCK = 1 << 19
+
+    def __init__(self, word: np.ndarray, ends: np.ndarray):
+        self.word, self.ends, self.n = word, ends, len(ends) - 1
+
+    def blocks(self):
+        i = 0
+        while i < self.n:
+            j = max(i + 1, int(np.searchsorted(self.ends, self.ends[i] + self.BLOCK, side="right")) - 1)
+            yield i, j, self.word[self.ends[i]:self.ends[j]], np.diff(self.ends[i:j + 1])
+            i = j
+
+    def by_text(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        for i, j, word, sizes in self.blocks():
+            out[i:j] = np.bincount(np.repeat(np.arange(j - i), sizes), weights=w[word], minlength=j - i)
+        return out
+
+    def by_word(self, value: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        for i, j, word, sizes in self.blocks():
+            out += np.bincount(word, weights=np.repeat(value[i:j], sizes), minlength=n)
+        return out
+
+    def only(self, keep: np.ndarray) -> Texts:
+        """The words that are kept, by their place among them."""
+        column = (np.cumsum(keep) - 1).astype(np.int32)
+        words, sizes = [], []
+        for i, j, word, size in self.blocks():
+            used = keep[word]
+            words.append(column[word[used]])
+            sizes.append(np.bincount(np.repeat(np.arange(j - i), size)[used], minlength=j - i))
+        return Texts(np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+
+
+def log_ratio(texts: Texts, toxic: np.ndarray, smooth: float = 0.5) -> np.ndarray:
     """Log ratio of each bucket's share among the words of toxic and of other texts."""
-    counts = [np.bincount(word[side], minlength=BUCKETS) + smooth for side in (toxic, ~toxic)]
+    counts = [texts.by_word(side.astype(float), BUCKETS) + smooth for side in (toxic, ~toxic)]
     return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
 
 
@@ -154,33 +194,35 @@ def minimise(loss, x: np.ndarray, steps: int = STEPS, memory: int = 8) -> np.nda
 
 def fit(rows: DataFrame, swap_penalty: float = SWAP_PENALTY) -> np.ndarray:
     """Word weights by bucket, then the intercept, from at most the sample's rows."""
-    got = rows.orderBy("doc_id", "label").toPandas()
-    y = got["label"].to_numpy(float) if len(got) else np.zeros(0)
+    got = rows.orderBy("doc_id", "label").toArrow().combine_chunks()
+    y = got["label"].to_numpy().astype(float) if got.num_rows else np.zeros(0)
     out = np.zeros(BUCKETS + 1)
     if y.min(initial=1) == y.max(initial=0):
         share = (y.sum() + 0.5) / (len(y) + 1)
         out[-1] = np.log(share / (1 - share))
         return out
-    word = np.concatenate([np.asarray(w, np.int64) for w in got["words"]])
-    row = np.repeat(np.arange(len(got)), got["words"].map(len).to_numpy())
-    minus, plus, weight = swaps(row, word)
-    keep = np.bincount(word, minlength=BUCKETS) >= LEAST_TEXTS
+    lists = got["words"].combine_chunks()
+    texts = Texts(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))]))
+    del got, lists
+    named = np.zeros(BUCKETS, bool)
+    named[np.concatenate([bucket_of(list(g)) for g in GROUPS])] = True
+    at = np.flatnonzero(named[texts.word])
+    minus, plus, weight = swaps(np.searchsorted(texts.ends, at, side="right") - 1, texts.word[at])
+    keep = texts.by_word(np.ones(texts.n), BUCKETS) >= LEAST_TEXTS
     keep[minus] = keep[plus] = True
-    column = np.cumsum(keep) - 1
-    scale = log_ratio(word, y[row] == 1)
+    scale = log_ratio(texts, y == 1)
     scale[minus] = scale[plus] = 1.0
     scale = scale[keep]
-    used = keep[word]
-    word, row, n = column[word[used]], row[used], int(keep.sum())
+    column, texts, n = np.cumsum(keep) - 1, texts.only(keep), int(keep.sum())
     minus, plus = column[minus], column[plus]
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         w = x[:-1] * scale
-        z = np.bincount(row, weights=w[word], minlength=len(y)) + x[-1]
+        z = texts.by_text(w) + x[-1]
         change = w[plus] - w[minus]
         value = np.sum(np.logaddexp(0, z) - y * z) + 0.5 * RIDGE * (x[:-1] @ x[:-1]) + 0.5 * swap_penalty * weight @ change**2
         err = 1 / (1 + np.exp(-z)) - y
-        grad = np.bincount(word, weights=err[row], minlength=n)
+        grad = texts.by_word(err, n)
         pull = swap_penalty * weight * change
         grad += np.bincount(plus, weights=pull, minlength=n) - np.bincount(minus, weights=pull, minlength=n)
         return value, np.concatenate([grad * scale + RIDGE * x[:-1], [err.sum()]])
