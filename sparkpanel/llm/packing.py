@@ -25,6 +25,7 @@ from . import shared, tokens
 from .token_output import encoded
 
 GROUP_PIECES = 4096
+MAX_WORDS = 800_000  # no texts are shuffled or sorted here, so the workers may remember more words
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -69,7 +70,7 @@ def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, keep_ids: bool = False) -> DataFrame:
     """The pieces of all documents (with their ids as little-endian bytes, if kept)."""
     def run(batches):
-        dtype = tokens.encoder(vocabulary).dtype
+        dtype = tokens.encoder(vocabulary, MAX_WORDS).dtype
         end = np.array([end_id], "<u4")
         for batch, first, found in encoded(batches, vocabulary):
             keys = batch.column("doc_id").slice(first, len(found))

@@ -45,6 +45,7 @@ class WordEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.max_words: int | None = None
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
@@ -74,7 +75,7 @@ class WordEncoder:
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """Ids of UTF-8 texts.  ASCII letters are lowered first, unless the word holds
         a combining mark or a special token's opening, where that could matter."""
-        if len(self.young) > MAX_WORDS:
+        if len(self.young) > (self.max_words or MAX_WORDS):
             self.old, self.young, self.pieces = self.young, {}, {}
         split = []
         for t in texts:
@@ -90,10 +91,12 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """This worker's encoder of a vocabulary file."""
+def encoder(path: str, max_words: int | None = None) -> WordEncoder:
+    """This worker's encoder of a vocabulary file (``max_words`` raises the words of a generation)."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    if max_words:
+        _encoders[path].max_words = max_words
     return _encoders[path]
 
 
