@@ -7,15 +7,17 @@ registers; a register keeps its first arrival, and a shingle stops once its
 next arrival is later than the latest first arrival.  Two documents agree in a
 register with their probability Jaccard similarity.  ``BANDS`` bands of
 ``ROWS`` registers put documents into buckets (a pair of similarity 0.8 shares
-none with probability 3e-6).
+none with probability 7e-6).
 
 Documents with the same words are one node.  Within a bucket no list of all pairs
-is made: nodes are first compared with the bucket's least node, then, in
-buckets that still hold several classes, with ever more randomly chosen nodes
-of other classes, until every pair of a bucket is compared or in one class.  A
-pair is compared by its registers (agreement far below 0.8 ends it) and then
-exactly on the texts; links have probability Jaccard of ``SIMILARITY`` or more.
-Classes are connected components, found by large-star and small-star steps.
+is made: nodes are first compared with the bucket's best connected node (by
+their registers, where agreement far below 0.8 ends it, then on the texts).
+Buckets that still hold several classes are cut into blocks of ``BLOCK``
+nodes; each two blocks meet in one task, which compares all nodes of different
+classes on their shingles and returns only links that join classes.  So every
+pair of every bucket is compared or in one class.  Links have probability
+Jaccard of ``SIMILARITY`` or more; classes are connected components, found by
+large-star and small-star steps.
 
 Documents without words (null, empty) are linked to none.  Rows with the same
 words are always in one class.  Null doc_ids count as the greatest.  An empty
@@ -37,8 +39,10 @@ from .arrays import Slice, mix, powers, slices, window_hash, _BASE, _INVERSE
 
 SHINGLE = 5
 SIMILARITY = 0.8
-ROWS, BANDS = 4, 24
+ROWS, BANDS = 5, 30
 REGISTERS = ROWS * BANDS
+FIRST_BANDS = 4  # the bands whose buckets are compared whole first
+BLOCK = 512  # nodes of a bucket that one task compares with as many others
 SLACK = 5  # standard deviations of the agreement that the register test leaves
 SIGNATURE = "row long, doc_id long, text_hash long, k1 long, k2 long, n_words long, registers binary"
 
@@ -148,10 +152,9 @@ def prob_jaccard(ha: np.ndarray, ca: np.ndarray, hb: np.ndarray, cb: np.ndarray)
     return float(total)
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b and whether their texts' similarity reaches SIMILARITY, of each pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k1", "k2"), "node")
-    wanted = shared.keep(wanted, "wanted")
+def node_texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text of the wanted nodes, from one pass over the documents."""
+    wanted = shared.keep(nodes.select("node", "k1", "k2").join(wanted.distinct(), "node", "left_semi"), "wanted")
     held = docs.sparkSession.sparkContext.broadcast(shared.bitmap(wanted, "k1"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,25 +173,111 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     texts = (shared.doc_text(docs).select("text").mapInArrow(find, "k1 long, k2 long, text string")
              .join(wanted, ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text")))
-    texts = shared.keep(texts, "texts")
+    return shared.keep(texts, "texts")
+
+
+def shingle_sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, counts) of each text's shingles."""
+    out = []
+    for s in slices(texts):
+        doc, h, count = shingles(s, s.word_hash())
+        cut = np.searchsorted(doc, np.arange(s.n + 1))
+        out += [(h[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+    return out
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts' similarity reaches SIMILARITY."""
+    texts = node_texts(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), nodes, docs)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = [[], []]
-                for side, column in zip(sets, ("ta", "tb")):
-                    for s in slices(part.column(column)):
-                        doc, h, count = shingles(s, s.word_hash())
-                        cut = np.searchsorted(doc, np.arange(s.n + 1))
-                        side += [(h[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:])]
-                links = [prob_jaccard(*x, *y) >= SIMILARITY for x, y in zip(*sets)]
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(links, pa.bool_())],
-                                                 names=["a", "b", "linked"])
+                sets = [shingle_sets(part.column(c)) for c in ("ta", "tb")]
+                linked = pa.array([prob_jaccard(*x, *y) >= SIMILARITY for x, y in zip(*sets)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(linked) for c in ("a", "b")], names=["a", "b"])
 
     both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"))
-    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, linked boolean")
+    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+
+
+def shared_mass(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """[i, j]: the share of text i's weight on shingles that text j has too.  A product of matrices
+    over the shingles of two texts or more, a few thousand columns at a time."""
+    n = len(sets)
+    doc = np.repeat(np.arange(n), [len(h) for h, _ in sets])
+    weight = np.concatenate([c / max(c.sum(), 1) for _, c in sets]).astype(np.float32)
+    _, column, times = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True, return_counts=True)
+    common = times[column] > 1
+    doc, weight, column = doc[common], weight[common], (np.cumsum(times > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    doc, weight, column = doc[order], weight[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [a, a + 4096])
+        mass, has = np.zeros((2, n, min(4096, int(column[-1]) + 1 - a)), np.float32)
+        mass[doc[lo:hi], column[lo:hi] - a] = weight[lo:hi]
+        has[doc[lo:hi], column[lo:hi] - a] = 1
+        out += mass @ has.T
+    return out
+
+
+def block_links(group: list[int], sets: list[tuple[np.ndarray, np.ndarray]], apart: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that join the texts' classes as far as similarity does; ``apart[i, j]`` says which
+    pairs are this block's.
+
+    With p and q the shares of two texts' weight on common shingles, 1 / (1/p + 1/q - 1) bounds their
+    probability Jaccard from above and equals it where no shingle repeats; only pairs
+    whose bound reaches SIMILARITY (less float slack) are compared exactly.
+    """
+    mass = shared_mass(sets)
+    with np.errstate(divide="ignore"):
+        bound = 1 / (1 / mass + 1 / mass.T - 1)
+    maybe = np.triu(apart & (mass > 0) & (bound >= SIMILARITY - 1e-3), 1)
+    parent = {g: g for g in group}
+
+    def top(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    links = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(maybe))):
+        a, b = top(group[i]), top(group[j])
+        if a != b and prob_jaccard(*sets[i], *sets[j]) >= SIMILARITY:
+            parent[a] = b
+            links.append((i, j))
+    return links
+
+
+def across(open_: DataFrame, nodes: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between different classes of a bucket: (bucket, node, class, n) rows.
+
+    A bucket is cut into parts of about ``block`` nodes, and each two parts meet in one task, which
+    holds at most about two parts of texts; it returns no more links than join its classes.
+    """
+    texts = node_texts(open_.select("node"), nodes, docs)
+    q = F.ceil(F.col("n") / block).cast("int")
+    mine = F.pmod(F.xxhash64("node"), q).cast("int")
+    met = (open_.withColumn("part", mine).withColumn("other", F.explode(F.sequence(F.lit(0), q - 1)))
+           .select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "class"))
+
+    def run(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        node, group, part = (table[c].to_pylist() for c in ("node", "class", "part"))
+        of, kind = np.array(part), np.array(group)
+        apart = kind[:, None] != kind[None, :]
+        if i != j:
+            apart &= of[:, None] != of[None, :]
+        found = block_links(group, shingle_sets(table["text"].combine_chunks()), apart)
+        return pa.table({"a": pa.array([node[x] for x, _ in found], pa.int64()),
+                         "b": pa.array([node[y] for _, y in found], pa.int64())})
+
+    return (met.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+            .select(*pair(F.col("a"), F.col("b"))).distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,7 +288,7 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = shared.keep(large.filter("u != v"), "large")
+        large = large.filter("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
@@ -216,53 +305,54 @@ def pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """k1, k2, class of the documents' distinct word sequences that are linked to others."""
-    first = rows.filter("n_words > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"))
-    nodes = shared.keep(rows.select(F.col("row").alias("node"), "k1", "k2", "registers")
-                        .join(first.select("node"), "node", "left_semi"), "nodes")
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """One row for each word sequence: its node (least row), k1, k2, registers and number of copies."""
+    return (rows.filter("n_words > 0").groupBy("k1", "k2")
+            .agg(F.min("row").alias("node"), F.min_by("registers", "row").alias("registers"), F.count(F.lit(1)).alias("copies")))
+
+
+def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """node, class of the linked nodes; None without links.
+
+    First each node of a bucket is compared with the bucket's best connected node.  Then, for some
+    bands and for all, the buckets that still hold several classes are compared whole.
+    """
+    own = F.col("node")
     bands = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "registers").select(
-        "node", F.xxhash64("band", F.substr("registers", F.col("band") * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bucket"))
-    many = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("rep")).filter("n > 1")
+        "node", "band", F.xxhash64("band", F.substr("registers", F.col("band") * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bucket"))
+    many = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = shared.keep(bands.join(many, "bucket"), "members")
-    pairs = members.filter("node != rep").select(*pair(F.col("node"), F.col("rep"))).distinct()
-    tried, reps, found = None, 1, None
-    while True:
-        close = shared.keep(agreeing(pairs, nodes), "close")
-        if not close.isEmpty():
-            seen = shared.keep(similar(close, nodes, docs), "seen")
-            tried = seen if tried is None else tried.unionByName(seen)
-            found = shared.keep(components(tried.filter("linked")), "classes")
-        if reps > 1:
-            members = members.filter(F.col("n") > reps)  # the others are exhausted
-        own = F.col("node")
-        labelled = (members.withColumn("class", own) if found is None else
-                    members.join(found, "node", "left").withColumn("class", F.coalesce("class", own)))
-        labelled = labelled.select("bucket", "node", "class", "n")
+    # the node with the most company in all its buckets is nearest to the middle of a group of copies
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    reps = (members.join(company, "node").groupBy("bucket")
+            .agg(F.max(F.struct(F.col("company"), (-own).alias("least"))).alias("r"))
+            .select("bucket", (-F.col("r.least")).alias("rep")))
+    pairs = members.join(reps, "bucket").filter("node != rep").select(*pair(own, F.col("rep"))).distinct()
+    links = shared.keep(similar(shared.keep(agreeing(pairs, nodes), "close"), nodes, docs), "links")
+    found = None if links.isEmpty() else shared.keep(components(links), "classes")
+    for upto in (FIRST_BANDS, BANDS):
+        labelled = members.filter(F.col("band") < upto).select("bucket", "node", "n")
+        labelled = (labelled.withColumn("class", own) if found is None else
+                    labelled.join(found, "node", "left").withColumn("class", F.coalesce("class", own)))
         mixed = labelled.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi")
         open_ = shared.keep(labelled.join(mixed.select("bucket"), "bucket", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        reps *= 4
-        members = open_.select("bucket", "node", "n")
-        chosen = open_.filter(shared.unit(own, F.col("bucket"), seed=reps) * F.col("n") < reps)
-        pairs = (open_.alias("x").join(chosen.alias("y"), "bucket").filter("x.class != y.class")
-                 .select(*pair(F.col("x.node"), F.col("y.node"))).distinct())
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    if found is None:
-        found = first.select("node", F.col("node").alias("class")).limit(0)
-    return nodes.select("node", "k1", "k2").join(found, "node").select("k1", "k2", "class")
+        new = shared.keep(across(open_, nodes, docs), "links")
+        if not new.isEmpty():
+            links = shared.keep(links.unionByName(new), "links")
+            found = shared.keep(components(links), "classes")
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the class's least doc_id), class_size, kept (one of each class), text_hash of every row."""
     rows = shared.keep(signatures(docs), "signatures")
-    found = shared.keep(classes(docs, rows), "found")
+    nodes = shared.keep(distinct_texts(rows), "nodes")
+    found = classes(docs, nodes)
     slim = rows.select("row", "doc_id", "text_hash", "k1", "k2", "n_words")
     # rows with the same words are one class even if linked to nothing; documents without words stand alone
-    first = slim.filter("n_words > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
-    named = (first.join(found, ["k1", "k2"], "left").filter("copies > 1 or class is not null")
+    named = nodes.select("node", "k1", "k2", "copies")
+    named = (named.withColumn("class", F.lit(None).cast("long")) if found is None else named.join(found, "node", "left"))
+    named = (named.filter("copies > 1 or class is not null")
              .select("k1", "k2", F.coalesce("class", "node").alias("class")))
     placed = shared.salted_join(slim, named, ["k1", "k2"], F.col("row"))
     placed = placed.withColumn("class", F.when(F.col("n_words") > 0, F.coalesce("class", "row")).otherwise(F.col("row")))

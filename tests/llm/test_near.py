@@ -14,7 +14,7 @@ def varied(rng, words, changes):
     out = list(words)
     for _ in range(changes):
         i = rng.randrange(len(out))
-        kind = rng.random()
+        kind = rng.random() if len(out) > 2 else 0
         if kind < 0.6:
             out[i] = f"n{rng.randrange(10**6)}"
         elif kind < 0.8:
