@@ -19,6 +19,7 @@ smoothed share of toxic labels (0.5 / 1 without any).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,15 +53,17 @@ GROUPS = (
 
 def words(s: Slice, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text) of the distinct words of each text (runs of letters and digits, ASCII in
-    lower case) and of the beginnings of its longer words."""
+    lower case) and of the beginnings of its longer words.  Group terms have no beginnings, so that
+    swapping the word swaps all that the score sees of it."""
     start, end, doc = importance.runs(s, {1})
     data = np.where((s.data >= 65) & (s.data <= 90), s.data + np.uint8(32), s.data)
-    pairs = []
-    for seed, first in enumerate((None, *BEGINNINGS), 11):
-        long = slice(None) if first is None else end - start > first
-        a, b, of = start[long], end[long], doc[long]
-        h = mix(s.span_hash(a, b if first is None else a + first, data), seed)
-        pairs.append(of * buckets + (h % np.uint64(buckets)).astype(np.int64))
+    whole = (mix(s.span_hash(start, end, data), 11) % np.uint64(buckets)).astype(np.int64)
+    pairs = [doc * buckets + whole]
+    free = ~term_mask(buckets)[whole]
+    for seed, first in enumerate(BEGINNINGS, 12):
+        long = free & (end - start > first)
+        h = mix(s.span_hash(start[long], start[long] + first, data), seed)
+        pairs.append(doc[long] * buckets + (h % np.uint64(buckets)).astype(np.int64))
     pairs = np.unique(np.concatenate(pairs))
     return pairs % buckets, pairs // buckets
 
@@ -71,6 +74,14 @@ def bucket_of(terms: list[str], buckets: int = BUCKETS) -> np.ndarray:
     return (mix(s.span_hash(start, end), 11) % np.uint64(buckets)).astype(np.int64)
 
 
+@functools.cache
+def term_mask(buckets: int = BUCKETS) -> np.ndarray:
+    """Which buckets hold a group term."""
+    out = np.zeros(buckets, bool)
+    out[np.concatenate([bucket_of(list(g), buckets) for g in GROUPS])] = True
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
@@ -197,16 +208,14 @@ def fit(rows: DataFrame, swap_penalty: float = SWAP_PENALTY) -> np.ndarray:
     got = rows.orderBy("doc_id", "label").toArrow().combine_chunks()
     y = got["label"].to_numpy().astype(float) if got.num_rows else np.zeros(0)
     out = np.zeros(BUCKETS + 1)
-    if y.min(initial=1) == y.max(initial=0):
+    if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
         out[-1] = np.log(share / (1 - share))
         return out
     lists = got["words"].combine_chunks()
     texts = Texts(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))]))
     del got, lists
-    named = np.zeros(BUCKETS, bool)
-    named[np.concatenate([bucket_of(list(g)) for g in GROUPS])] = True
-    at = np.flatnonzero(named[texts.word])
+    at = np.flatnonzero(term_mask()[texts.word])
     minus, plus, weight = swaps(np.searchsorted(texts.ends, at, side="right") - 1, texts.word[at])
     keep = texts.by_word(np.ones(texts.n), BUCKETS) >= LEAST_TEXTS
     keep[minus] = keep[plus] = True

@@ -129,10 +129,10 @@ def test_swaps_hold_down_group_mentions(spark):
     rows = toxicity.training_rows(docs, labels)
     neutral = small(spark, [f"w{i} w{i + 5} my {g} friend w{i + 9}" for i in range(40) for g in ("muslim", "christian")])
     plain, regular = toxicity.fit(rows, swap_penalty=0.0), toxicity.fit(rows)
-    before, after = (toxicity.score(neutral, w).toPandas().sort_values("doc_id").score.to_numpy() for w in (plain, regular))
+    scores = (toxicity.score(neutral, w).toPandas().sort_values("doc_id").score.to_numpy() for w in (plain, regular))
+    before, after = (np.log(x / (1 - x)) for x in scores)
     gap = [abs(x[::2] - x[1::2]).mean() for x in (before, after)]
-    assert gap[1] < 0.2 * gap[0]
-    assert after.mean() < before[::2].mean()
+    assert gap[0] > 0.2 and gap[1] < 0.2 * gap[0]
     hits = toxicity.score(docs, regular).toPandas().set_index("doc_id").join(labels.toPandas().set_index("doc_id"))
     assert (hits.predicted == hits.toxic).mean() > 0.97
 
