@@ -94,8 +94,8 @@ def numeric_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int =
                  .agg(F.array_sort(F.array_distinct(qexpr)).alias("e"), F.count(v).alias("n_ref")))
     edges = edges.select(*ref_by, "feature", "n_ref", (F.size("e") - 1).alias("nb"),
                          F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))).alias("inner"))
-    # bounded: #reference groups x #features rows, one small array each
-    e_small = F.broadcast(edges.select(*ref_by, "feature", "inner", "nb"))
+    # #reference groups x #features rows, one small array each; Spark broadcasts it while it is small
+    e_small = edges.select(*ref_by, "feature", "inner", "nb")
 
     def bin_of(col: Column) -> Column:
         # right-closed bin = number of inner edges below the value; at most
@@ -148,7 +148,7 @@ def numeric_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int =
           .agg(F.count_if(v.isNotNull()).alias("c_cur")))
     cb = spark.createDataFrame(cb.collect(), cb.schema)
     cur_tot = cb.groupBy(*by, "feature").agg(F.sum("c_cur").alias("n_cur"))
-    frame = (cur_tot.join(F.broadcast(edges.select(*ref_by, "feature", "nb", "n_ref")),
+    frame = (cur_tot.join(edges.select(*ref_by, "feature", "nb", "n_ref"),
                           on=[*ref_by, "feature"], how="left"))
     cells = (frame.where(F.col("nb") >= 1)
              .select(*by, "feature", "n_ref", "n_cur",

@@ -257,10 +257,10 @@ def drop_non_features(df: DataFrame, cols: Iterable[str] = NON_FEATURE_COLS) ->
 
 def feature_dictionary(spark, rows: Sequence[tuple[str, str, bool]]) -> DataFrame:
     """A small dimension table ``(feature, description, derived)``; join
-    it with ``F.broadcast`` (its size is the number of known features)."""
+    it with ``describe_features`` (Spark broadcasts it while it is small)."""
     return spark.createDataFrame(list(rows), "feature string, description string, derived boolean")
 
 
 def describe_features(features: DataFrame, dictionary: DataFrame, col: str = "feature") -> DataFrame:
     """Enrich a feature list with the dictionary (bounded broadcast)."""
-    return features.join(F.broadcast(dictionary), on=col, how="left")
+    return features.join(dictionary, on=col, how="left")
