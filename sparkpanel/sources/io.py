@@ -72,12 +72,28 @@ def read_csv_strings(spark: SparkSession, path: str, sep: str = ";",
                        .otherwise(F.col(f"`{n}`")).alias(n) for n in names])
 
 
+def lossless_types(df: DataFrame) -> DataFrame:
+    """Text columns whose every value is a plainly written number become long or double (one
+    aggregate over all columns); ``007`` or a number too long for a long keeps its column text (Q8)."""
+    cols = [f"`{c}`" for c in df.columns]
+    whole, real = "^-?(0|[1-9][0-9]{0,17})$", r"^-?(0|[1-9][0-9]{0,14})(\.[0-9]{1,15})?$"
+    seen = df.agg(*[e for i, c in enumerate(cols) for e in (
+        F.count(c).alias(f"n{i}"), F.count_if(F.col(c).rlike(whole)).alias(f"w{i}"),
+        F.count_if(F.col(c).rlike(real)).alias(f"r{i}"))]).first()
+
+    def kind(i: int) -> str:
+        n = seen[f"n{i}"]
+        return "string" if not n else "long" if seen[f"w{i}"] == n else "double" if seen[f"r{i}"] == n else "string"
+
+    return df.select(*[F.col(c).cast(kind(i)).alias(name) for i, (c, name) in enumerate(zip(cols, df.columns))])
+
+
 def read_table(spark: SparkSession, path: str, csv_sep: str = ",") -> DataFrame:
     """Dispatch on suffix: ``.parquet``, a name without a suffix (a folder that Spark wrote) as
-    Parquet too, ``.csv`` / ``.csv.gz`` as text columns (no inference, Q8).  NaN becomes NULL."""
+    Parquet too, ``.csv`` / ``.csv.gz`` with the types that lose nothing.  NaN becomes NULL."""
     low = path.lower().rstrip("/")
     if low.endswith((".csv", ".csv.gz")):
-        return read_csv_strings(spark, path, sep=csv_sep, normalize_names=False)
+        return lossless_types(read_csv_strings(spark, path, sep=csv_sep, normalize_names=False))
     if low.endswith(".parquet") or "." not in low.rsplit("/", 1)[-1]:
         df = read_parquet(spark, path)
         return df.select(*[no_nan(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])

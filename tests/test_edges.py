@@ -111,6 +111,15 @@ def test_quoted_csv(spark, tmpdir_path):
     assert [tuple(r) for r in rows] == [("007", "1,5", "linha um\nlinha dois"), ("8", "2", 'diz "oi" ; sim')]
 
 
+def test_csv_types_lose_nothing(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "t.csv")
+    with open(path, "w") as f:
+        f.write("id,n,x,s\n007,1,1.5,a\n8,-20,2,\n")
+    df = io.read_table(spark, path)
+    assert [t for _, t in df.dtypes] == ["string", "bigint", "double", "string"]
+    assert [tuple(r) for r in df.collect()] == [("007", 1, 1.5, "a"), ("8", -20, 2.0, None)]
+
+
 def test_jobs_read_each_others_output(spark, tmpdir_path):
     raw = {}
     for year in (2021, 2022):
