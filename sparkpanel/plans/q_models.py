@@ -75,11 +75,32 @@ def train_baseline(spark, sf):
 @register("compare_models")
 def compare_models(spark, sf):
     """The models that fit in minutes at their default settings, threshold by F1 on train, test
-    metrics, leaderboard (the 500 to 800 trees of rf, xgb and cat are left to the caller)."""
+    metrics, leaderboard (``compare_rf``, ``compare_xgb`` and ``compare_cat`` give the rows of the others)."""
     train, test = train_test(spark, sf)
     return MD.compare(train, test, NUMERIC, CATEGORICAL, models=("dummy", "logreg", "tree"))
 
 
+@register("compare_rf")
+def compare_rf(spark, sf):
+    """The leaderboard row of the random forest at the default 500 trees."""
+    train, test = train_test(spark, sf)
+    return MD.compare(train, test, NUMERIC, CATEGORICAL, models=("rf",))
+
+
+@register("compare_xgb")
+def compare_xgb(spark, sf):
+    """The leaderboard row of ``xgb`` at the default 500 rounds, fitted one after another."""
+    train, test = train_test(spark, sf)
+    return MD.compare(train, test, NUMERIC, CATEGORICAL, models=("xgb",))
+
+
+@register("compare_cat")
+def compare_cat(spark, sf):
+    """The leaderboard row of ``cat`` at the default 800 rounds, fitted one after another."""
+    train, test = train_test(spark, sf)
+    return MD.compare(train, test, NUMERIC, CATEGORICAL, models=("cat",))
+
+
 _COUNTS = """, c AS (SELECT COUNT(*) FILTER (WHERE year_t = 1997) AS n, COUNT(*) FILTER (WHERE year_t = 1997 AND y = 1) AS p,
        COUNT(*) FILTER (WHERE year_t = 1998) AS tn, COUNT(*) FILTER (WHERE year_t = 1998 AND y = 1) AS tp FROM pairs)"""
 
