@@ -4,7 +4,7 @@ A regular expression proposes spans of each kind.  ``split`` by the same
 expression gives the gaps between the matches, so a running sum of lengths
 gives every offset without a Python pass.  Validators confirm spans: parts of
 an address, Luhn's digit sum for cards, the remainder modulo 97 for account
-numbers (IBAN), digit counts for phones.  A span's score starts from its kind,
+numbers (IBAN, as long as their country has them), digit counts for phones.  A span's score starts from its kind,
 rises with a valid checksum and with words of its kind within ``CONTEXT`` code
 points, and falls where words of harmless numbers stand there.  Base kinds
 (email, ip, card, phone) always stay; added kinds stay from ``THRESHOLD`` up.
@@ -32,12 +32,23 @@ ADDED = ("iban", "ssn")
 KINDS = (*BASE, *ADDED)
 
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: Signs of an account number by the country it begins with (the IBAN registry and the countries that use its form).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG YE",
+    25: "AO CV GW LY MZ PT ST", 26: "IR IS TR", 27: "BF BI CF CG CM DJ FR GA GQ GR IT KM MC MG ML MR SM SN TD TG",
+    28: "AL AZ BJ BY CI CY DO GT HN HU LB MA NE NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC",
+    32: "LC", 33: "RU"}
+_KNOWN = "|".join(c for codes in IBAN_LENGTHS.values() for c in codes.split())
+_ACCOUNTS = "|".join([rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()]
+                     + [rf"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"])
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    # consumes its first four signs only: a number that begins within a wrong one is proposed too
+    "iban": rf"(?<![A-Za-z0-9])(?=((?:{_ACCOUNTS})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: What every match of a kind holds: texts without it are not searched.
@@ -54,16 +65,17 @@ UP, DOWN = 0.15, 0.2
 
 
 def matches(text: Column, kind: str) -> Column:
-    """Array of (start, match) of a kind's pattern, leftmost and non-overlapping."""
+    """Array of (start, match) of a kind's pattern, leftmost and non-overlapping (account numbers: from each start)."""
     pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    found = F.regexp_extract_all(text, pattern, F.lit(1 if kind == "iban" else 0))
     gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda g: F.length(g).cast("long"))
     empty = F.lit(None).cast("array<struct<start:bigint,match:string>>")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,match:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         here = acc["at"] + x["gap"]
-        return F.struct((here + F.length(x["match"])).alias("at"),
+        used = F.lit(4) if kind == "iban" else F.length(x["match"])
+        return F.struct((here + used).alias("at"),
                         F.concat(acc["out"], F.array(F.struct(here.alias("start"), x["match"].alias("match")))).alias("out"))
 
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"))
