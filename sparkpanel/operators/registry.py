@@ -84,6 +84,40 @@ def resolve_pointer(ptr: DataFrame, base_dir: Column | str, keys: Sequence[str]
                             "path_model": parse_model_from_path(first)})
 
 
+def _plain_path(path: Column) -> Column:
+    """A path without ``.``, ``..`` and repeated or closing slashes."""
+    none = F.array().cast("array<string>")
+    parts = F.aggregate(F.split(path, "/"), none, lambda out, x: F.when(x.isin("", "."), out).when(
+        x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.array_append(out, x)))
+    return F.concat(F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
+
+
+def resolve_existing(ptr: DataFrame, base_dir: Column | str, existing: DataFrame, cwd: str,
+                     keys: Sequence[str] = POINTER_KEYS, out: str = "resolved_path") -> DataFrame:
+    """The first candidate that exists.  Candidates are the non-blank keys in order, a relative one
+    first against ``cwd`` and then against the pointer's folder; ``existing`` has one column of absolute
+    paths.  Pointers without one get NULL.  Run id and model are those of the path found (T20)."""
+    present = [k for k in keys if k in ptr.columns]
+    base = F.col(base_dir) if isinstance(base_dir, str) else base_dir
+    base = F.when(base.startswith("/"), base).otherwise(F.concat(F.lit(f"{cwd}/"), base))
+    tried = []
+    for k in present:
+        raw = F.nullif(F.trim(F.col(k)), F.lit(""))
+        tried += [F.when(raw.startswith("/"), raw).otherwise(F.concat(F.lit(f"{cwd}/"), raw)),
+                  F.when(~raw.startswith("/"), F.concat(base, F.lit("/"), raw))]
+    numbered = ptr.withColumn("_ptr", F.monotonically_increasing_id())
+    paths = F.transform(F.array(*tried), _plain_path) if tried else F.array().cast("array<string>")
+    # one pass: each candidate carries its pointer's row, so the ids are not joined back
+    row = F.struct(*[F.col(c) for c in ptr.columns])
+    every = numbered.select("_ptr", row.alias("_row"), F.posexplode_outer(paths).alias("_at", "_path"))
+    there = existing.select(_plain_path(F.col(existing.columns[0])).alias("_path")).distinct() \
+        .withColumn("_there", F.lit(True))
+    found = every.join(there, "_path", "left").groupBy("_ptr").agg(
+        F.first("_row").alias("_row"), F.min_by("_path", F.when(F.col("_there"), F.col("_at"))).alias(out))
+    return found.select(*[F.col(f"_row.{c}").alias(c) for c in ptr.columns], out,
+                        parse_run_id(F.col(out)).alias("path_run_id"), parse_model_from_path(F.col(out)).alias("path_model"))
+
+
 def leaderboard(board: DataFrame, top_n: int = 50, sort_by: str | None = None, order: str = "desc",
                 model_key: str | None = None, key: str = "model",
                 tie_break: Sequence[str] = ()) -> DataFrame:
@@ -119,10 +153,14 @@ def best_run(board: DataFrame, metrics: Sequence[str] = ("test_roc_auc", "test_f
 
 
 def model_info(latest: DataFrame, key: str = "model") -> DataFrame:
-    """Path, threshold (T18 fallback 0.5) and metadata keys per model."""
+    """Path, threshold (T18 fallback 0.5) and metadata keys per model; with the expected features and
+    their number (M19) where the runs table records ``features``."""
     meta = sorted(c for c in latest.columns if c != key)
     thr = F.coalesce(F.col("threshold").cast("string").try_cast("double"), F.lit(0.5)) \
         if "threshold" in latest.columns else F.lit(0.5)
     path = F.coalesce(F.col("model_path"), F.lit("unknown")) if "model_path" in latest.columns else F.lit("unknown")
-    return latest.select(key, path.alias("model_path"), thr.alias("threshold"),
-                         F.array(*[F.lit(m) for m in meta]).alias("meta_keys"))
+    out = [path.alias("model_path"), thr.alias("threshold")]
+    if "features" in latest.columns:
+        feats = F.coalesce(F.col("features"), F.array().cast("array<string>"))
+        out += [F.size(feats).alias("n_features"), feats.alias("features")]
+    return latest.select(key, *out, F.array(*[F.lit(m) for m in meta]).alias("meta_keys"))
