@@ -25,19 +25,22 @@ from .sources import io
 
 def build_dataset(spark: SparkSession, raw: Mapping[int, str], out_dir: str, *, sep: str = ";",
                   encoding: str = "utf-8", id_col: str = "ra", target_col: str = "ian",
-                  target_value=10, cfg: CleanConfig = CleanConfig(), fmt: str = "parquet") -> DataFrame:
+                  target_value=10, cfg: CleanConfig = CleanConfig(), fmt: str = "parquet",
+                  multi_line: bool = True) -> DataFrame:
     """Clean every period (each keeps its own schema, as the yearly files
     differ), write it to ``interim/<period>``, pair each period with the next
     one (J1 with the id checks), write ``pairs/pair_<t>_<t+1>`` and return the
     stats report (also written as JSON under ``out_dir/stats``).  The loop is
-    over the handful of input periods; every step inside is a Spark job."""
+    over the handful of input periods; every step inside is a Spark job.
+    ``multi_line=False`` reads files without quoted line breaks in splits."""
     base = out_dir.rstrip("/")
     years = sorted(int(y) for y in raw)
     if not years:
         raise ValueError("no input periods")
     interim = {}
     for year in years:
-        cleaned = clean_period(io.read_csv_strings(spark, raw[year], sep=sep, encoding=encoding), year, cfg)
+        cleaned = clean_period(io.read_csv_strings(spark, raw[year], sep=sep, encoding=encoding,
+                                                   multi_line=multi_line), year, cfg)
         io.write_table(cleaned, f"{base}/interim/{year}")
         interim[year] = io.read_parquet(spark, f"{base}/interim/{year}")   # lineage cut
     stats = None
@@ -62,11 +65,11 @@ def build_dataset(spark: SparkSession, raw: Mapping[int, str], out_dir: str, *,
 
 def drift_job(spark: SparkSession, reference_path: str, current_path: str, output_dir: str, *,
               warn: float = D.WARN, alert: float = D.ALERT,
-              exclude: Iterable[str] = D.DEFAULT_EXCLUDE) -> str:
+              exclude: Iterable[str] = D.DEFAULT_EXCLUDE, multi_line: bool = True) -> str:
     """Compare two tables, append the feature rows and the summary to
     history tables (S10) and return ``ok`` / ``warn`` / ``alert``."""
-    ref = io.read_table(spark, reference_path)
-    cur = io.read_table(spark, current_path)
+    ref = io.read_table(spark, reference_path, multi_line=multi_line)
+    cur = io.read_table(spark, current_path, multi_line=multi_line)
     base = output_dir.rstrip("/")
     run_ts = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")).first()[0]
     table = D.drift_table(ref, cur, warn, alert, exclude).persist()
@@ -82,14 +85,15 @@ def drift_job(spark: SparkSession, reference_path: str, current_path: str, outpu
 
 
 def evaluate_job(spark: SparkSession, dataset_path: str, runs_path: str, output_dir: str, *,
-                 model_key: str | None = None, threshold: float | None = None, y: str = "y") -> DataFrame:
+                 model_key: str | None = None, threshold: float | None = None, y: str = "y",
+                 multi_line: bool = True) -> DataFrame:
     """Score a pair table with the newest recorded run of a model, at its recorded threshold
     unless one is given; write ``predictions`` and ``metrics`` and return the metrics row."""
     from .operators import metrics as M
     from .operators import models as MD
     fm, recorded = MD.load_recorded(spark.read.parquet(runs_path), model_key)
     at = recorded if threshold is None else float(threshold)
-    data = io.read_table(spark, dataset_path)
+    data = io.read_table(spark, dataset_path, multi_line=multi_line)
     if y not in data.columns:
         raise ValueError(f"dataset lacks target column '{y}'")
     base = output_dir.rstrip("/")

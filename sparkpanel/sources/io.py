@@ -88,12 +88,14 @@ def lossless_types(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast(kind(i)).alias(name) for i, (c, name) in enumerate(zip(cols, df.columns))])
 
 
-def read_table(spark: SparkSession, path: str, csv_sep: str = ",") -> DataFrame:
+def read_table(spark: SparkSession, path: str, csv_sep: str = ",", multi_line: bool = True) -> DataFrame:
     """Dispatch on suffix: ``.parquet``, a name without a suffix (a folder that Spark wrote) as
-    Parquet too, ``.csv`` / ``.csv.gz`` with the types that lose nothing.  NaN becomes NULL."""
+    Parquet too, ``.csv`` / ``.csv.gz`` with the types that lose nothing.  NaN becomes NULL.
+    ``multi_line`` as in ``read_csv_strings``."""
     low = path.lower().rstrip("/")
     if low.endswith((".csv", ".csv.gz")):
-        return lossless_types(read_csv_strings(spark, path, sep=csv_sep, normalize_names=False))
+        return lossless_types(read_csv_strings(spark, path, sep=csv_sep, normalize_names=False,
+                                               multi_line=multi_line))
     if low.endswith(".parquet") or "." not in low.rsplit("/", 1)[-1]:
         df = read_parquet(spark, path)
         return df.select(*[no_nan(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
@@ -101,23 +103,23 @@ def read_table(spark: SparkSession, path: str, csv_sep: str = ",") -> DataFrame:
 
 
 def read_first_available(spark: SparkSession, directory: str, stem: str,
-                         csv_sep: str = ";") -> DataFrame:
+                         csv_sep: str = ";", multi_line: bool = True) -> DataFrame:
     """Prefer ``<stem>.parquet``, then the folder ``<stem>`` that ``jobs.build_dataset`` writes, else
     ``<stem>.csv.gz`` (``;``), else error."""
     base = directory.rstrip("/")
     for name in (f"{stem}.parquet", stem, f"{stem}.csv.gz"):
         try:
-            return read_table(spark, f"{base}/{name}", csv_sep)
+            return read_table(spark, f"{base}/{name}", csv_sep, multi_line)
         except SourceNotFound:
             continue
     raise SourceNotFound(f"no {stem}.parquet, {stem} or {stem}.csv.gz in {base}")
 
 
 def load_periods(spark: SparkSession, paths: Mapping[int, str], period_col: str = "ano",
-                 reader=None) -> DataFrame:
+                 reader=None, multi_line: bool = True) -> DataFrame:
     """S3: one panel DataFrame from one table per period (union by name,
     missing columns as NULL)."""
-    reader = reader or (lambda p: read_table(spark, p))
+    reader = reader or (lambda p: read_table(spark, p, multi_line=multi_line))
     out = None
     for period, p in sorted(paths.items()):
         df = reader(p).withColumn(period_col, F.lit(int(period)))
@@ -151,6 +153,7 @@ def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.coalesce(1).write.mode(mode).json(path)
 
 
-def load_train_test(spark: SparkSession, train_path: str, test_path: str) -> tuple[DataFrame, DataFrame]:
+def load_train_test(spark: SparkSession, train_path: str, test_path: str,
+                    multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Both pair tables (split into X/y with ``schema.split_xy``)."""
-    return read_table(spark, train_path), read_table(spark, test_path)
+    return read_table(spark, train_path, multi_line=multi_line), read_table(spark, test_path, multi_line=multi_line)
