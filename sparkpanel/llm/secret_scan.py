@@ -7,7 +7,7 @@ probabilistic automaton is inferred: a prefix tree over character kinds whose
 states are merged while their end and transition frequencies agree under the
 Hoeffding bound (ALERGIA).  Every run of credential characters in every text
 is then scored by its likelihood under the best automaton against a first-order
-model of ordinary runs; runs above ``LOG_ODDS`` that touch no base span are
+model of all distinct ordinary runs; runs above ``LOG_ODDS`` that touch no base span are
 added as ``format`` spans.  Base spans always stay.
 
 Offsets are code points, end exclusive.  Null texts count as empty: no spans
@@ -31,7 +31,7 @@ from . import shared
 from .arrays import Slice, slices
 
 KINDS = ("assign", "access", "hex", "format")
-SAMPLE = 400  # distinct labelled values of each format, and 10 times as many ordinary runs
+SAMPLE = 400  # distinct labelled values of each format
 LONGEST = 128  # longer values label nothing (all are scored)
 SHORTEST = 12
 ALPHA = 0.05
@@ -170,13 +170,33 @@ def infer(values: list[bytes], alpha: float = ALPHA) -> Automaton:
     return Automaton(moves, stops)
 
 
-def ordinary(values: list[bytes]) -> np.ndarray:
-    """Log probabilities of each kind after each kind (row -1: at the start), with their characters' share."""
+def transitions(values: pa.Array) -> np.ndarray:
+    """How often each kind follows each kind (last row: at the start), row by row."""
     n = len(SIZES)
-    counts = np.full((n + 1, n), 0.5)
-    for v in values:
-        kinds = _KIND[np.frombuffer(v, np.uint8)]
-        np.add.at(counts, (np.concatenate([[n], kinds[:-1]]), kinds), 1)
+    counts = np.zeros((n + 1) * n, np.int64)
+    for s in slices(values):
+        kinds = _KIND[s.data].astype(np.int64)
+        before = np.concatenate([[n], kinds[:-1]]) if len(kinds) else kinds
+        before[s.offsets[:-1][s.offsets[:-1] < s.offsets[1:]]] = n
+        counts += np.bincount(before * n + kinds, minlength=len(counts))
+    return counts
+
+
+def ordinary(found: DataFrame) -> np.ndarray:
+    """Log probabilities of each kind after each kind (row -1: at the start), with their characters' share,
+    over all distinct values."""
+    n = len(SIZES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n + 1) * n, np.int64)
+        for batch in batches:
+            total += transitions(batch.column("value"))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "n"])
+
+    counts = np.full((n + 1) * n, 0.5)
+    for r in found.select("value").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        counts[r["at"]] += r["n"]
+    counts = counts.reshape(n + 1, n)
     return np.log(counts / counts.sum(axis=1, keepdims=True)) - np.array(_LOG_SIZE)
 
 
@@ -221,9 +241,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Formats:
     found = shared.keep(shared.doc_text(docs).select("text").mapInArrow(run, "kind string, value string").distinct(),
                         "credentials")
     values = {kind: [r["value"].encode() for r in found.filter(F.col("kind") == kind)
-                     .orderBy(F.xxhash64("value"), "value").limit(sample * (10 if kind == "plain" else 1)).collect()]
-              for kind in ("assign", "access", "plain")}
-    return Formats({k: infer(v) for k, v in values.items() if v and k != "plain"}, ordinary(values["plain"]))
+                     .orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
+              for kind in ("assign", "access")}
+    return Formats({k: infer(v) for k, v in values.items() if v}, ordinary(found.filter(F.col("kind") == "plain")))
 
 
 def scan(docs: DataFrame, formats: Formats, log_odds: float = LOG_ODDS) -> DataFrame:
