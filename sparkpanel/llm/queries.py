@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, importance, mixing, near_dedup, packing, pii, rule_ledger, secret_scan, shared, token_output, tokens, toxicity
+from . import (alignment, exact_dedup, importance, mining, mixing, near_dedup, packing, pii, rule_ledger, secret_scan, sharding,
+               shared, token_output, tokens, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +73,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(shared.documents(spark, sf_dir)).drop("text_hash")
+
+
+@register("op11_feistel_shards")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(shared.documents(spark, sf_dir))
+
+
+@register("op12_hard_negatives", mining.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.hard_negatives(shared.table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.summary(shared.documents(spark, sf_dir), tokens.vocabulary("byte_bpe_50k.json"),
+                             tokens.vocabulary("piece_bpe_32k.model"))
