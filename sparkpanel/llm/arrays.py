@@ -23,13 +23,15 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**i mod 2**64 for i < n (kept and doubled as needed)."""
+    """base**i mod 2**64 for i < n; those of a slice are kept, a longer text's are its own."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 4096, 2 * len(have) if have is not None else 0)
+        size = max(n, SLICE_BYTES + 4096)
         steps = np.full(size, base & (2**64 - 1), np.uint64)
         steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        if size == SLICE_BYTES + 4096:
+            _powers[base] = have
     return have
 
 

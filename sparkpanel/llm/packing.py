@@ -7,8 +7,10 @@ number, so copies of one document spread out), and each group is packed on its
 own: longest piece first, into the first sequence with room.  A tournament
 tree over the free space of the sequences finds that sequence in log time.
 
-Null and empty texts are documents of the end id alone.  Repeated rows are
-separate documents.  An empty table gives no pieces.
+Null, empty and blank texts are documents of the end id alone; null doc_ids are kept.  Repeated rows are
+separate documents.  Pieces of equal length (ties) go in the order of their hash.  A very long text
+becomes many pieces of several groups.  An empty table gives no pieces.  Only doc_id and text are
+read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from . import shared, tokens
 from .token_output import encoded
 
 GROUP_PIECES = 4096
-MAX_WORDS = 800_000  # no texts are shuffled or sorted here, so the workers may remember more words
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -70,7 +71,7 @@ def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, keep_ids: bool = False) -> DataFrame:
     """The pieces of all documents (with their ids as little-endian bytes, if kept)."""
     def run(batches):
-        dtype = tokens.encoder(vocabulary, MAX_WORDS).dtype
+        dtype = tokens.encoder(vocabulary).dtype
         end = np.array([end_id], "<u4")
         for batch, first, found in encoded(batches, vocabulary):
             keys = batch.column("doc_id").slice(first, len(found))

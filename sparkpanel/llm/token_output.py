@@ -11,8 +11,9 @@ document and no 64-bit table.  Shards follow ascending doc_id (null first,
 equal doc_ids by text): a range shuffle and a sort within partitions, each
 partition cut into shards of ``SHARD_IDS`` ids (one document is never cut).
 
-Null text counts as empty: its document holds the end id alone.  An empty
-table gives an empty folder.  Repeated rows are separate documents.
+Null, empty and blank texts hold the end id alone.  An empty
+table gives an empty folder.  Repeated rows are separate documents.  A very long text is encoded at
+once and may be a shard of its own.  Only doc_id and text are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .arrays import raw_texts
 
 SHARD_IDS = 4_000_000
 SAMPLE = 64
+STRETCH = 64  # samples that one step of select_many reads
 ENCODE_BYTES = 1 << 20
 
 SHARDS = ("part int, shard int, ids_before long, n_docs int, n_ids long, id_bytes int, doc_ids array<long>, "
@@ -75,6 +77,23 @@ class EliasFano:
         at = byte * 8 + (word & -word).bit_length() - 1
         return (at - i) << self.low_bits | int(self._low(np.array([i]))[0])
 
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """Values at ascending places ``i``: each from the sampled place before it, as ``select`` does, a few
+        samples' stretch of the unary part at a time."""
+        i = np.asarray(i, np.int64)
+        places, high = np.frombuffer(self.places, "<u4").astype(np.int64), np.frombuffer(self.high, np.uint8)
+        sample, out, at = i // SAMPLE, np.zeros(len(i), np.int64), 0
+        while at < len(i):
+            first = sample[at]
+            to = int(np.searchsorted(sample, first + STRETCH, side="left"))
+            begin = places[first]
+            end = places[first + STRETCH] + 1 if first + STRETCH < len(places) else len(high) * 8
+            bits = np.unpackbits(high[begin >> 3:(end + 7) >> 3], bitorder="little")[begin & 7:]
+            ones = np.flatnonzero(bits) + begin
+            out[at:to] = ones[i[at:to] - first * SAMPLE]
+            at = to
+        return (out - i) << self.low_bits | self._low(i)
+
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
         i = np.arange(self.n)
@@ -84,14 +103,17 @@ class EliasFano:
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, int, list[bytes]]]:
     """(batch, first row, ids of some rows) over all rows, about ENCODE_BYTES of text at a time."""
     enc = tokens.encoder(path)
-    for batch in batches:
-        data, offsets = raw_texts(batch.column("text"))
-        i = 0
-        while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + ENCODE_BYTES, side="right")) - 1)
-            j = min(j, batch.num_rows)
-            yield batch, i, enc.encode_many([data[a:b].tobytes() for a, b in zip(offsets[i:j], offsets[i + 1:j + 1])])
-            i = j
+    try:
+        for batch in batches:
+            data, offsets = raw_texts(batch.column("text"))
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + ENCODE_BYTES, side="right")) - 1)
+                j = min(j, batch.num_rows)
+                yield batch, i, enc.encode_many([data[a:b].tobytes() for a, b in zip(offsets[i:j], offsets[i + 1:j + 1])])
+                i = j
+    finally:
+        enc.forget()  # workers outlive tasks
 
 
 def _shard(part: int, shard: int, before: int, ids: list[bytes], doc_ids: list, width: int) -> pa.RecordBatch:
@@ -143,7 +165,8 @@ def read_ids(spark: SparkSession, out: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                ends = EliasFano(r["n_docs"] + 1, r["low_bits"], r["low"], r["high"], r["places"]).all()
+                ends = EliasFano(r["n_docs"] + 1, r["low_bits"], r["low"], r["high"], r["places"])
+                ends = ends.select_many(np.arange(r["n_docs"] + 1))
                 w, ids, at = r["id_bytes"], memoryview(r["ids"]), r["part_start"] + r["ids_before"]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(r["doc_ids"], pa.int64()), pa.array(at + ends[:-1], pa.int64()),

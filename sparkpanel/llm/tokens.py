@@ -1,8 +1,9 @@
 """Token ids of the ``tokenizers`` library, fast enough for whole corpora.
 
 The vocabulary file used here drops white space and never joins across it, so
-a text's ids are its words' ids one after another.  Each Python worker keeps
-the ids of words that it has met (two generations, so memory is bounded).  A
+a text's ids are its words' ids one after another.  A task keeps the ids of
+words that it has met, in two generations of at most ``CACHE_BYTES / 2`` each,
+and frees them when it ends.  A
 new word of plain letters, digits and punctuation is cut into the vocabulary's
 pieces, and the library's BPE model gives the ids of each new piece; any other
 new word goes through the library whole.  Equality with encoding each whole
@@ -13,11 +14,12 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
-MAX_WORDS = 400_000  # in each of two generations
+CACHE_BYTES = 64 << 20  # of remembered words and pieces: keys, values and their share of the dictionaries
+ENTRY_BYTES = 150  # of a remembered word besides its letters and ids
 _PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
@@ -45,17 +47,18 @@ class WordEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.max_words: int | None = None
+        self.used = 0  # bytes of the young generation
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
             tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
             got = self.pieces[piece] = np.array([t.id for t in tokens], self.dtype).tobytes()
+            self.used += ENTRY_BYTES + len(piece) + len(got)
         return got
 
     def _learn(self, words: set[bytes]) -> None:
-        young, old, piece, whole = self.young, self.old, self._piece, []
+        young, old, piece, whole, before = self.young, self.old, self._piece, [], len(self.young)
         for w in words:
             if w in young:
                 continue
@@ -71,12 +74,18 @@ class WordEncoder:
             for (w, _), e in zip(whole, self.library.encode_batch_fast([s for _, s in whole],
                                                                        add_special_tokens=False)):
                 young[w] = np.array(e.ids, self.dtype).tobytes()
+        for w in islice(reversed(young), len(young) - before):  # the words just added
+            self.used += ENTRY_BYTES + len(w) + len(young[w])
+
+    def forget(self) -> None:
+        """Free the remembered words."""
+        self.young, self.old, self.pieces, self.used = {}, {}, {}, 0
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """Ids of UTF-8 texts.  ASCII letters are lowered first, unless the word holds
         a combining mark or a special token's opening, where that could matter."""
-        if len(self.young) > (self.max_words or MAX_WORDS):
-            self.old, self.young, self.pieces = self.young, {}, {}
+        if self.used > CACHE_BYTES // 2:
+            self.old, self.young, self.pieces, self.used = self.young, {}, {}, 0
         split = []
         for t in texts:
             if b"<|" in t or b"\xcc" in t or b"\xcd" in t:
@@ -91,12 +100,10 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str, max_words: int | None = None) -> WordEncoder:
-    """This worker's encoder of a vocabulary file (``max_words`` raises the words of a generation)."""
+def encoder(path: str) -> WordEncoder:
+    """This worker's encoder of a vocabulary file."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
-    if max_words:
-        _encoders[path].max_words = max_words
     return _encoders[path]
 
 

@@ -25,7 +25,7 @@ def test_word_ids_equal_whole_text_ids(texts):
 
 
 def test_generations_of_words_keep_results(monkeypatch):
-    monkeypatch.setattr(tokens, "MAX_WORDS", 3)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 1000)
     enc = tokens.WordEncoder(PATH)
     texts = [f"alpha beta w{i} gamma{i % 4}." for i in range(30)]
     for t in texts * 2:
@@ -39,6 +39,8 @@ def test_elias_fano(sizes):
     ef = EliasFano.of(ends)
     assert ef.all().tolist() == ends.tolist()
     assert [ef.select(i) for i in range(len(ends))] == ends.tolist()
+    assert ef.select_many(np.arange(len(ends))).tolist() == ends.tolist()
+    assert ef.select_many(np.arange(0, len(ends), 7)).tolist() == ends[::7].tolist()
     n = len(ends)
     assert len(ef.high) * 8 <= 3 * n + 16 and len(ef.low) * 8 <= n * max(1, np.log2(max(2, ends[-1] / n))) + 8
 
@@ -123,3 +125,25 @@ def test_packing(spark, hard, none):
 
 def hard_distinct(hard):
     return {(r.doc_id, r.text) for r in hard.select("doc_id", "text").collect()}
+
+
+def test_word_memory_is_bounded_and_freed(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 200_000)
+    enc = tokens.WordEncoder(PATH)
+    for i in range(60):
+        enc.encode_many([" ".join(f"word{i}x{j}" for j in range(200)).encode()])
+        held = sum(tokens.ENTRY_BYTES + len(k) + len(v) for d in (enc.young, enc.old, enc.pieces) for k, v in d.items())
+        assert held <= 200_000 + 200 * 400
+    enc.forget()
+    assert not enc.young and not enc.old and not enc.pieces
+
+
+def test_tasks_free_their_words(spark, hard):
+    def left(batches):
+        import pyarrow as pa
+        for _ in token_output.encoded(batches, PATH):
+            pass
+        e = tokens.encoder(PATH)
+        yield pa.RecordBatch.from_pydict({"n": [len(e.young) + len(e.old) + len(e.pieces)]})
+
+    assert {r.n for r in shared.doc_text(hard).mapInArrow(left, "n long").collect()} == {0}
