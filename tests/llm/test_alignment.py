@@ -3,6 +3,8 @@ from collections import Counter, defaultdict
 
 import pytest
 import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sparkpanel.llm import alignment, queries, tokens
@@ -122,13 +124,21 @@ def test_long_texts_are_cut_where_neither_side_joins(libraries):
 
 def test_a_large_group_costs_its_distinct_pairs():
     a, b = alignment.sides(A, B)
-    batch = alignment.Batch(["z" * 999 + " and more words", "plain words"], a, b)
-    whole = Counter({(int(t), int(p)): int(n) for t, p, n in zip(*batch.pairs())})
+    found = alignment.Stretches(["z" * 999 + "'s", "plain", "plain words"], a, b)
+    whole = Counter({(int(t), int(p)): int(n) for t, p, n in zip(*found.pairs())})
     cut = Counter()
-    for t, p, n in batch.linked(most=5):
+    for t, p, n in found.linked(most=5):
         for x in zip(t.tolist(), p.tolist(), n.tolist()):
             cut[x[:2]] += x[2]
-    assert whole == cut and sum(whole.values()) == int((batch.size_a * batch.size_b).sum())
+    assert whole == cut and sum(whole.values()) == int((found.size_a * found.size_b).sum()) == int(found.links.sum())
+
+
+def test_texts_in_pieces_have_the_same_pairs():
+    a, b = alignment.sides(A, B)
+    batch = alignment.Batch([f"some words and wordpieces {i % 3} again and again" for i in range(9)] + ["", "x"], a, b)
+    whole = [(i, p.tolist(), n.tolist()) for i, p, n in batch.pairs()]
+    assert whole == [(i, p.tolist(), n.tolist()) for i, p, n in batch.pairs(most=3)]
+    assert [sum(n) for _, _, n in whole] == batch.total(batch.stretches.links).tolist()
 
 
 def test_empty_table(none):
@@ -143,3 +153,12 @@ def test_query_over_whole_table(libraries, spark):
     want = brute(libraries, [r["text"] for r in docs])
     df = queries.QUERIES["op13_token_alignment"](spark, "/root/testdata/sf0.001")
     assert got(df) == Counter((r["doc_id"], *w) for r, w in zip(docs, want))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aAbB'sStdlvrem \n\t.,!?<|>endoftx0123éÉßöŽłñ×÷  \u0085 İ日"),
+                                           st.characters(blacklist_categories=("Cs",))), max_size=30), max_size=4))
+def test_quick_ids_equal_the_librarys(texts):
+    a, _ = alignment.sides(A, B)
+    assert a.quick is not None
+    assert a.ids(texts) == [e.ids for e in a.library.encode_batch([" " + t for t in texts], add_special_tokens=False)]
