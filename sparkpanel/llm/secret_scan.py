@@ -2,16 +2,20 @@
 
 Base patterns find assigned values, access ids and long hex runs.  Their
 values label credentials of two formats (``assign``, ``access``); from at most
-``SAMPLE`` distinct values of each (chosen by hash, the documented bound) a
-probabilistic automaton is inferred: a prefix tree over character kinds whose
+``SAMPLE`` distinct values of at most ``LONGEST`` signs of each (chosen by hash, the
+documented bound) a probabilistic automaton is inferred: a prefix tree over character kinds whose
 states are merged while their end and transition frequencies agree under the
 Hoeffding bound (ALERGIA).  Every run of credential characters in every text
 is then scored by its likelihood under the best automaton against a first-order
 model of all distinct ordinary runs; runs above ``LOG_ODDS`` that touch no base span are
 added as ``format`` spans.  Base spans always stay.
 
-Offsets are code points, end exclusive.  Null texts count as empty: no spans
-and the SHA-256 of the empty string.  Without labelled values nothing is added.
+Offsets are code points, end exclusive.  Null, empty and blank texts have no
+spans and the SHA-256 of the empty string; null doc_ids are kept; a very long
+text is scanned in one slice of its own, in time near-linear in its length.  Ties: spans of one start go by kind as
+listed; of values and merges with equal numbers the lesser comes first.  Repeated
+rows get equal rows, and their values count once.  An empty table gives no rows; without labelled values nothing is added.
+Only doc_id and text are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -19,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ from .arrays import Slice, slices
 
 KINDS = ("assign", "access", "hex", "format")
 SAMPLE = 400  # distinct labelled values of each format
-LONGEST = 128  # longer values label nothing (all are scored)
+LONGEST = 128  # signs of a value in that sample (all values are found and scored)
 SHORTEST = 12
 ALPHA = 0.05
 LOG_ODDS = 12.0
@@ -82,6 +85,16 @@ def base_spans(s: Slice) -> list[tuple[int, str, int, int, bytes]]:
     return out + [(i, "hex", a, b, b"") for i, a, b in zip(doc.tolist(), start.tolist(), end.tolist())]
 
 
+def untouched(base: list[tuple[int, str, int, int, bytes]], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which runs share no byte with a base span: of the spans that begin before a run's end, the furthest
+    end must not lie beyond its start.  Sorted once, so a text full of both costs no pairs."""
+    if not base or not len(start):
+        return np.ones(len(start), bool)
+    spans = np.array(sorted((a, b) for _, _, a, b, _ in base), np.int64)
+    furthest = np.concatenate([[-1], np.maximum.accumulate(spans[:, 1])])
+    return furthest[np.searchsorted(spans[:, 0], end, side="left")] <= start
+
+
 class Automaton:
     """States as {kind: (next state, log probability)} and log probabilities of ending."""
 
@@ -226,14 +239,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Formats:
             for s in slices(batch.column("text")):
                 base = base_spans(s)
                 found = {(kind, v.decode()) for _, kind, _, _, v in base if v and len(v) <= LONGEST}
-                near = defaultdict(list)
-                for i, _, a, b, _ in base:
-                    near[i].append((a, b))
                 start, end = runs(s, _RUN, SHORTEST)
-                for i, a, b in zip((np.searchsorted(s.offsets, start, side="right") - 1).tolist(),
-                                   start.tolist(), end.tolist()):
-                    if b - a <= LONGEST and not any(a < y and x < b for x, y in near[i]):
-                        found.add(("plain", s.data[a:b].tobytes().decode()))
+                free = untouched(base, start, end)
+                buffer = s.data.tobytes()
+                found.update(("plain", buffer[a:b].decode()) for a, b in zip(start[free].tolist(), end[free].tolist()))
                 kinds, values = zip(*sorted(found)) if found else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())],
                                                  names=["kind", "value"])
@@ -258,17 +267,13 @@ def scan(docs: DataFrame, formats: Formats, log_odds: float = LOG_ODDS) -> DataF
         for batch in batches:
             for s in slices(batch.column("text")):
                 base = base_spans(s)
-                taken = defaultdict(list)
-                found = []
-                for i, kind, a, b, _ in base:
-                    taken[i].append((a, b))
-                    found.append((i, kind, a, b, None))
+                found = [(i, kind, a, b, None) for i, kind, a, b, _ in base]
                 if model.automata:
                     start, end = runs(s, _RUN, SHORTEST)
+                    free = untouched(base, start, end)
+                    start, end = start[free], end[free]
                     doc = np.searchsorted(s.offsets, start, side="right") - 1
                     for i, a, b in zip(doc.tolist(), start.tolist(), end.tolist()):
-                        if any(a < y and x < b for x, y in taken[i]):
-                            continue
                         odds = model.log_odds(s.data[a:b].tobytes())
                         if odds >= log_odds:
                             found.append((i, "format", a, b, odds))
