@@ -14,7 +14,9 @@ weight passes the threshold that best separates the labels of the sample's other
 Null and empty texts hold no n-gram: log weight null, never drawn.  Equal rows
 tie and share their fate; documents tied with the k-th are all kept.  Without
 good labels the target is the raw text, so all weights are 0 and all non-empty
-documents stay.  Labels that are null don't count.
+documents stay.  Labels that are null don't count, null doc_ids are weighed like others.  A very long
+text is a slice of its own.  An empty table gives no rows.  ``resample`` reads doc_id and
+text alone, and ``drawn`` carries the columns inside one struct, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -169,5 +171,5 @@ def drawn(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int =
           sample_rows: int = SAMPLE) -> DataFrame:
     """The documents that ``resample`` keeps, with the columns they came with (each row is weighed again: no join)."""
     _, ratio, least = _resample(docs, labels, k, seed, sample_rows)
-    return (weigh(docs, ratio, docs.columns).filter(gumbel_key(seed) >= F.lit(least))
-            .drop("__n_grams", "__log_weight"))
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return weigh(packed, ratio, ["doc_id", "row"]).filter(gumbel_key(seed) >= F.lit(least)).select("row.*")

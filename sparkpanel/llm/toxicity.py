@@ -12,9 +12,11 @@ The model is fitted on at most ``SAMPLE`` labelled rows (chosen by hash, the
 documented bound) whose crc32(doc_id) mod 5 is not 0; rows with remainder 0
 are held out.  Inputs of a score are the text's words alone.
 
-Null and empty texts have no words and get the score of the intercept.  A null
+Null, empty and blank texts have no words and get the score of the intercept.  A null
 doc_id counts as held out.  Without labels of both kinds every score is the
-smoothed share of toxic labels (0.5 / 1 without any).
+smoothed share of toxic labels (0.5 / 1 without any).  Repeated rows are training rows of their own and get equal
+scores; ties of the sample go by hash, then doc_id.  A very long text is a slice of its own.  An empty table
+gives no rows.  Only doc_id, text and the label are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkpanel.operators.blocks import summed
+
 from . import importance, shared
 from .arrays import Slice, mix, per_text, slices
 
@@ -37,6 +42,8 @@ LEAST_TEXTS = 3  # a word of fewer training texts has no weight
 RIDGE = 0.3
 SWAP_PENALTY = 5.0
 STEPS = 60
+BLOCK_WORDS = 1 << 19
+FIT_TASKS = 3  # of one step of the fit; its rows are bounded
 
 #: Terms that name groups of people, by kind of group; the first is neutral.
 GROUPS = (
@@ -104,19 +111,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
             .mapInArrow(run, "doc_id long, label int, words array<int>"))
 
 
-def swaps(row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def swaps(together: np.ndarray, at: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(minus word, plus word, weight): each distinct swap of a group term and the number of texts it
-    changes.  ``word`` holds every place of a group term, in text ``row``."""
+    changes.  ``together`` counts the texts that hold two terms (or one, on its diagonal), by their place in ``at``."""
     found: dict[tuple[int, int], float] = {}
     for group in GROUPS:
-        at = bucket_of(list(group)).tolist()
-        texts = {a: row[word == a] for a in at}
-        for i, a in enumerate(at):
-            for j, b in enumerate(at):
-                n = len(texts[a])
+        own = bucket_of(list(group)).tolist()
+        for i, a in enumerate(own):
+            for j, b in enumerate(own):
+                n = int(together[at[a], at[a]])
                 if a == b or (j and not n) or (not i and not n):
                     continue
-                found[a, b] = found.get((a, b), 0.0) + max(1, n - len(np.intersect1d(texts[a], texts[b])))
+                found[a, b] = found.get((a, b), 0.0) + max(1, n - int(together[at[a], at[b]]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     keys = np.array(list(found), np.int64)
@@ -124,48 +130,46 @@ def swaps(row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 class Texts:
-    """The sample's texts as one array of words (32 bits each); sums go over blocks of texts, so
-    beside it they take little memory."""
-
-    BLOCK = 1 << 19
-
-    def __init__(self, word: np.ndarray, ends: np.ndarray):
-        self.word, self.ends, self.n = word, ends, len(ends) - 1
+    """Some training texts: their words one after another, where each text ends, and its label."""
 
-    def blocks(self):
-        i = 0
-        while i < self.n:
-            j = max(i + 1, int(np.searchsorted(self.ends, self.ends[i] + self.BLOCK, side="right")) - 1)
-            yield i, j, self.word[self.ends[i]:self.ends[j]], np.diff(self.ends[i:j + 1])
-            i = j
+    def __init__(self, word: np.ndarray, sizes: np.ndarray, y: np.ndarray):
+        self.word, self.sizes, self.y, self.n = word, sizes, y, len(y)
+        self.text = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
 
     def by_text(self, w: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n)
-        for i, j, word, sizes in self.blocks():
-            out[i:j] = np.bincount(np.repeat(np.arange(j - i), sizes), weights=w[word], minlength=j - i)
-        return out
+        return np.bincount(self.text, weights=w[self.word], minlength=self.n)
 
     def by_word(self, value: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(n)
-        for i, j, word, sizes in self.blocks():
-            out += np.bincount(word, weights=np.repeat(value[i:j], sizes), minlength=n)
-        return out
+        return np.bincount(self.word, weights=value[self.text], minlength=n)
 
-    def only(self, keep: np.ndarray) -> Texts:
+    def only(self, keep: np.ndarray, column: np.ndarray) -> Texts:
         """The words that are kept, by their place among them."""
-        column = (np.cumsum(keep) - 1).astype(np.int32)
-        words, sizes = [], []
-        for i, j, word, size in self.blocks():
-            used = keep[word]
-            words.append(column[word[used]])
-            sizes.append(np.bincount(np.repeat(np.arange(j - i), size)[used], minlength=j - i))
-        return Texts(np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+        used = keep[self.word]
+        return Texts(column[self.word[used]], np.bincount(self.text[used], minlength=self.n), self.y)
 
 
-def log_ratio(texts: Texts, toxic: np.ndarray, smooth: float = 0.5) -> np.ndarray:
-    """Log ratio of each bucket's share among the words of toxic and of other texts."""
-    counts = [texts.by_word(side.astype(float), BUCKETS) + smooth for side in (toxic, ~toxic)]
-    return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
+def text_blocks(rows: DataFrame) -> RDD:
+    """The training rows as persisted blocks of about ``BLOCK_WORDS`` words in a few partitions; their order
+    follows from the rows alone."""
+    ordered = rows.repartition(F.pmod(F.xxhash64("doc_id", "label"), F.lit(64))).sortWithinPartitions("doc_id", "label")
+    kept = shared.keep(ordered, "training")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("words").value_lengths().to_numpy(zero_copy_only=False).astype("<i4")
+            i, ends = 0, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            while i < batch.num_rows:
+                j = min(batch.num_rows, max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK_WORDS, side="right")) - 1))
+                part = batch.slice(i, j - i)
+                word = part.column("words").flatten().to_numpy(zero_copy_only=False).astype("<i4")
+                y = part.column("label").to_numpy(zero_copy_only=False).astype("<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (word, sizes[i:j], y)],
+                                                 names=["word", "sizes", "y"])
+                i = j
+
+    blocks = kept.select("label", "words").mapInArrow(run, "word binary, sizes binary, y binary")
+    rdd = blocks.rdd.map(lambda r: Texts(np.frombuffer(r["word"], "<i4"), np.frombuffer(r["sizes"], "<i4"), np.frombuffer(r["y"], "<f8")))
+    return rdd.coalesce(max(1, min(FIT_TASKS, rdd.getNumPartitions()))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def minimise(loss, x: np.ndarray, steps: int = STEPS, memory: int = 8) -> np.ndarray:
@@ -204,41 +208,65 @@ def minimise(loss, x: np.ndarray, steps: int = STEPS, memory: int = 8) -> np.nda
 
 
 def fit(rows: DataFrame, swap_penalty: float = SWAP_PENALTY) -> np.ndarray:
-    """Word weights by bucket, then the intercept, from at most the sample's rows."""
-    got = rows.orderBy("doc_id", "label").toArrow().combine_chunks()
-    y = got["label"].to_numpy().astype(float) if got.num_rows else np.zeros(0)
-    out = np.zeros(BUCKETS + 1)
-    if not len(y) or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        out[-1] = np.log(share / (1 - share))
-        return out
-    lists = got["words"].combine_chunks()
-    texts = Texts(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))]))
-    del got, lists
-    at = np.flatnonzero(term_mask()[texts.word])
-    minus, plus, weight = swaps(np.searchsorted(texts.ends, at, side="right") - 1, texts.word[at])
-    keep = texts.by_word(np.ones(texts.n), BUCKETS) >= LEAST_TEXTS
-    keep[minus] = keep[plus] = True
-    scale = log_ratio(texts, y == 1)
-    scale[minus] = scale[plus] = 1.0
-    scale = scale[keep]
-    column, texts, n = np.cumsum(keep) - 1, texts.only(keep), int(keep.sum())
-    minus, plus = column[minus], column[plus]
-
-    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        w = x[:-1] * scale
-        z = texts.by_text(w) + x[-1]
-        change = w[plus] - w[minus]
-        value = np.sum(np.logaddexp(0, z) - y * z) + 0.5 * RIDGE * (x[:-1] @ x[:-1]) + 0.5 * swap_penalty * weight @ change**2
-        err = 1 / (1 + np.exp(-z)) - y
-        grad = texts.by_word(err, n)
-        pull = swap_penalty * weight * change
-        grad += np.bincount(plus, weights=pull, minlength=n) - np.bincount(minus, weights=pull, minlength=n)
-        return value, np.concatenate([grad * scale + RIDGE * x[:-1], [err.sum()]])
-
-    start = np.zeros(n + 1)
-    start[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    best = minimise(loss, start)
+    """Word weights by bucket, then the intercept, from at most the sample's rows.
+
+    The rows stay in Spark: the driver holds the weights and, for each step, sums of their size."""
+    spark = rows.sparkSession
+    rdd = text_blocks(rows)
+    terms = np.unique(np.concatenate([bucket_of(list(g)) for g in GROUPS]))
+    at = {int(t): i for i, t in enumerate(terms)}
+
+    def count(b: Texts) -> tuple[np.ndarray, ...]:
+        used = np.isin(b.word, terms)
+        has = np.zeros((b.n, len(terms)))
+        has[b.text[used], np.searchsorted(terms, b.word[used])] = 1
+        return (np.array([b.n - b.y.sum(), b.y.sum()]), b.by_word(1.0 - b.y, BUCKETS), b.by_word(b.y, BUCKETS), has.T @ has)
+
+    try:
+        found = summed(rdd, count)
+        out = np.zeros(BUCKETS + 1)
+        if found is None or not found[0].all():
+            n = np.zeros(2) if found is None else found[0]
+            share = (n[1] + 0.5) / (n.sum() + 1)
+            out[-1] = np.log(share / (1 - share))
+            return out
+        (others, toxic), clean_words, toxic_words, together = found
+        minus, plus, weight = swaps(together, at)
+        keep = clean_words + toxic_words >= LEAST_TEXTS
+        keep[minus] = keep[plus] = True
+        smooth = [c + 0.5 for c in (toxic_words, clean_words)]
+        scale = np.log(smooth[0] / smooth[0].sum()) - np.log(smooth[1] / smooth[1].sum())
+        scale[minus] = scale[plus] = 1.0
+        scale, column, n = scale[keep], np.cumsum(keep) - 1, int(keep.sum())
+        minus, plus = column[minus], column[plus]
+        places = spark.sparkContext.broadcast((keep, column.astype(np.int32)))
+        whole, rdd = rdd, rdd.map(lambda b: b.only(*places.value)).persist(StorageLevel.MEMORY_AND_DISK)
+        rdd.count()
+        whole.unpersist()
+
+        def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+            w = x[:-1] * scale
+            held = spark.sparkContext.broadcast((w, x[-1]))
+
+            def part(b: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                own, intercept = held.value
+                z = b.by_text(own) + intercept
+                err = 1 / (1 + np.exp(-z)) - b.y
+                return np.array([np.sum(np.logaddexp(0, z) - b.y * z)]), b.by_word(err, n), np.array([err.sum()])
+
+            value, grad, err = summed(rdd, part)
+            held.unpersist()
+            change = w[plus] - w[minus]
+            total = value[0] + 0.5 * RIDGE * (x[:-1] @ x[:-1]) + 0.5 * swap_penalty * weight @ change**2
+            pull = swap_penalty * weight * change
+            grad = grad + np.bincount(plus, weights=pull, minlength=n) - np.bincount(minus, weights=pull, minlength=n)
+            return float(total), np.concatenate([grad * scale + RIDGE * x[:-1], err])
+
+        start = np.zeros(n + 1)
+        start[-1] = np.log((toxic + 0.5) / (others + 0.5))
+        best = minimise(loss, start)
+    finally:
+        rdd.unpersist()
     out[:-1][keep], out[-1] = best[:-1] * scale, best[-1]
     return out
 

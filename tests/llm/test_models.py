@@ -146,3 +146,63 @@ def test_toxicity_edges(spark, hard, none, labels):
     assert toxicity.score(none, weights).collect() == []
     bare = toxicity.fit(toxicity.training_rows(hard, labels.limit(0)))
     assert {r.score for r in toxicity.score(hard, bare).collect()} == {0.5}
+
+
+def plain_words(texts):
+    """Distinct buckets of each text, one text at a time."""
+    import pyarrow as pa
+    from sparkpanel.llm.arrays import slices
+    return [sorted(toxicity.words(next(slices(pa.array([t]))))[0].tolist()) for t in texts]
+
+
+def plain_objective(words, y, x, scale, minus, plus, weight):
+    """Loss and gradient of the regularised classifier by loops."""
+    loss = 0.5 * toxicity.RIDGE * sum(v * v for v in x[:-1])
+    grad = [toxicity.RIDGE * v for v in x[:-1]] + [0.0]
+    for own, label in zip(words, y):
+        z = sum(x[k] * scale[k] for k in own) + x[-1]
+        loss += (np.log1p(np.exp(-abs(z))) + max(z, 0) - label * z)
+        err = 1 / (1 + np.exp(-z)) - label
+        for k in own:
+            grad[k] += err * scale[k]
+        grad[-1] += err
+    for a, b, n in zip(minus, plus, weight):
+        change = x[b] * scale[b] - x[a] * scale[a]
+        loss += 0.5 * toxicity.SWAP_PENALTY * n * change ** 2
+        grad[b] += toxicity.SWAP_PENALTY * n * change * scale[b]
+        grad[a] -= toxicity.SWAP_PENALTY * n * change * scale[a]
+    return loss, np.array(grad)
+
+
+def test_toxicity_against_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BUCKETS", 1 << 18)
+    docs, labels = toxic_corpus(spark, 120)
+    rows = toxicity.training_rows(docs, labels)
+    weights = toxicity.fit(rows)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    train = [(text[r.doc_id], r.label) for r in rows.select("doc_id", "label").collect()]
+    words, y = plain_words([t for t, _ in train]), [k for _, k in train]
+    counts = np.zeros((2, toxicity.BUCKETS))
+    for own, k in zip(words, y):
+        counts[k][own] += 1
+    terms = {g: [int(toxicity.bucket_of([t])[0]) for t in g] for g in toxicity.GROUPS}
+    pairs = {}
+    for g, own in terms.items():
+        for i, a in enumerate(own):
+            for j, b in enumerate(own):
+                has = [set(w) for w in words if a in w]
+                if a != b and (has or j == 0) and (has or i == 0):
+                    pairs[a, b] = pairs.get((a, b), 0) + max(1, sum(b not in w for w in has))
+    keep = counts.sum(axis=0) >= toxicity.LEAST_TEXTS
+    scale = np.log((counts[1] + 0.5) / (counts[1] + 0.5).sum()) - np.log((counts[0] + 0.5) / (counts[0] + 0.5).sum())
+    for a, b in pairs:
+        keep[[a, b]], scale[[a, b]] = True, 1.0
+    scale = np.where(keep, scale, 0.0)
+    x = np.append(np.divide(weights[:-1], scale, out=np.zeros(toxicity.BUCKETS), where=scale != 0), weights[-1])
+    minus, plus, weight = [a for a, _ in pairs], [b for _, b in pairs], list(pairs.values())
+    best, grad = plain_objective(words, y, x, scale, minus, plus, weight)
+    start, steep = plain_objective(words, y, np.append(np.zeros(toxicity.BUCKETS), 0.0), scale, minus, plus, weight)
+    assert best < start and np.abs(grad).max() < 0.05 * np.abs(steep).max()
+    for r in toxicity.score(docs, weights).collect():
+        z = sum(weights[k] for k in plain_words([text[r.doc_id]])[0]) + weights[-1]
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
