@@ -14,8 +14,10 @@ documents first, then for smaller ones, which also take up what the larger ones
 left, so the words taken come within about one small document of the target.
 
 Null texts have size 0: no words, one copy, whatever their source.  A source
-without words has target 0.  Equal rows get equal copies, so results of
-reruns agree.  An empty table gives an empty result.
+without words has target 0.  Null doc_ids are rows like others.  Equal rows get equal copies, so results of
+reruns agree; ties in luck share their fate.  A very long text only adds its word count.
+An empty table gives an empty result.  ``repeat`` carries the columns inside one struct, so extra
+columns can't clash.
 """
 
 from __future__ import annotations

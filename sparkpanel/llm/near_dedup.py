@@ -19,9 +19,10 @@ pair of every bucket is compared or in one class.  Links have probability
 Jaccard of ``SIMILARITY`` or more; classes are connected components, found by
 large-star and small-star steps.
 
-Documents without words (null, empty) are linked to none.  Rows with the same
-words are always in one class.  Null doc_ids count as the greatest.  An empty
-table gives an empty result.
+Documents without words (null, empty, blank) are linked to none.  Rows with the same
+words are always in one class, repeated rows among them; ties for the least doc_id go to the first row read.
+Null doc_ids count as the greatest.  A very long text is a slice of its own.  An empty
+table gives an empty result.  Only doc_id and text are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ ROWS, BANDS = 5, 30
 REGISTERS = ROWS * BANDS
 FIRST_BANDS = 4  # the bands whose buckets are compared whole first
 BLOCK = 512  # nodes of a bucket that one task compares with as many others
+BLOCK_BYTES = 1 << 25  # of text in such a part, on average (one longer text is a part's least)
 SLACK = 5  # standard deviations of the agreement that the register test leaves
 SIGNATURE = "row long, doc_id long, text_hash long, k1 long, k2 long, n_words long, registers binary"
 
@@ -256,11 +258,15 @@ def block_links(group: list[int], sets: list[tuple[np.ndarray, np.ndarray]], apa
 def across(open_: DataFrame, nodes: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between different classes of a bucket: (bucket, node, class, n) rows.
 
-    A bucket is cut into parts of about ``block`` nodes, and each two parts meet in one task, which
-    holds at most about two parts of texts; it returns no more links than join its classes.
+    A bucket is cut into parts of about ``block`` nodes and ``BLOCK_BYTES`` of text, whichever are fewer, and
+    each two parts meet in one task, which holds at most about two parts of texts; it returns no more
+    links than join its classes.
     """
     texts = node_texts(open_.select("node"), nodes, docs)
-    q = F.ceil(F.col("n") / block).cast("int")
+    sizes = texts.select("node", F.octet_length("text").alias("bytes"))
+    weight = open_.join(sizes, "node").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+    open_ = open_.join(weight, "bucket")
+    q = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     mine = F.pmod(F.xxhash64("node"), q).cast("int")
     met = (open_.withColumn("part", mine).withColumn("other", F.explode(F.sequence(F.lit(0), q - 1)))
            .select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "class"))

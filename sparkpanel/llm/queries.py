@@ -35,7 +35,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op4_rule_ledger", rule_ledger.SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_ledger.apply_policy(rule_ledger.ledger(shared.documents(spark, sf_dir)))
+    return rule_ledger.with_blame(rule_ledger.ledger(shared.documents(spark, sf_dir)))
 
 
 @register("op10_exact_dedup", exact_dedup.SQL)

@@ -5,8 +5,10 @@ the measurements and a bitmask of the rules that it fails.  Policies are named,
 versioned masks over the same bits: applying one, or asking what a rule alone
 costs, is bitwise arithmetic on the ledger and reads no text again.
 
-Null texts count as empty.  An empty text fails ``few_words`` (and nothing
-else), an empty table gives an empty ledger, repeated rows get equal rows.
+Null texts count as empty.  An empty or blank text fails ``few_words`` (and nothing
+else), an empty table gives an empty ledger, repeated rows get equal rows; there is nothing to tie.
+A very long text is a slice of its own.  Null doc_ids are kept.  Only doc_id and text are
+read, so extra columns can't clash.
 Windows and lines are compared by 64-bit hashes within one text.
 """
 
@@ -119,6 +121,16 @@ def apply_policy(led: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
             .withColumn("policy", F.lit(policy)))
 
 
+def with_blame(led: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
+    """``apply_policy`` with ``only_rule``: the one rule whose removal from the policy would keep the
+    document (null if it is kept, or fails several)."""
+    out = apply_policy(led, policy)
+    bits = F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy]) | mask(BASE)))
+    names = F.array(*[F.lit(r) for r in RULES])
+    single = F.bit_count(bits) == 1
+    return out.withColumn("only_rule", F.when(single, F.element_at(names, (F.round(F.log2(bits.cast("double"))) + 1).cast("int"))))
+
+
 def ablations(led: DataFrame) -> DataFrame:
     """policy, rule, n_failed (documents failing the rule), n_only (rejected by it alone: what
     leaving it out would give back), n_rejected (by the whole policy).
@@ -160,5 +172,7 @@ b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_wo
                      + 4 * (10 * n_symbols > n_words)::INT + 8 * (2 * n_dup_lines > n_lines)::INT
                      + 16 * (n_upper > n_lower)::INT + 32 * (5 * n_exclaim > n_words)::INT
                      + 64 * (word_chars > 20 * n_words)::INT AS BIGINT) AS fail_bits FROM m)
-SELECT *, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 127) = 0 AS kept, 'prose.v2' AS policy FROM b
+SELECT *, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 127) = 0 AS kept, 'prose.v2' AS policy,
+       CASE fail_bits & 127 WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines'
+                            WHEN 16 THEN 'shouting' WHEN 32 THEN 'exclamation' WHEN 64 THEN 'word_length' END AS only_rule FROM b
 """

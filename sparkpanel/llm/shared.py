@@ -68,15 +68,27 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     ``decisions`` has doc_id, text_hash (``text_hash`` of the text) and kept, one row a document.
     Of documents equal in both, as many stay as decisions say.
     """
-    own = (decisions.groupBy("doc_id", "text_hash")
-           .agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("stay")).filter("stay < n"))
-    own = keep(own.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "stay"), "dropped")
-    hashed = docs.withColumn("_hash", text_hash(F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_text_hash"))
-    out = hashed.join(own, same, "left_anti").drop("_hash")
-    some = own.filter("stay > 0")
+    number, text, mine, stay, n = unused(docs, "doc_number", "hash_of_text", "own_hash", "n_stay", "n_rows")
+    own = (decisions.groupBy(F.col("doc_id").alias(number), F.col("text_hash").alias(text))
+           .agg(F.count(F.lit(1)).alias(n), F.count_if("kept").alias(stay)).filter(F.col(stay) < F.col(n)))
+    own = keep(own.select(number, text, stay), "dropped")
+    hashed = docs.withColumn(mine, text_hash(F.col("text")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(number)) & (F.col(mine) == F.col(text))
+    out = hashed.join(own, same, "left_anti").drop(mine)
+    some = own.filter(F.col(stay) > 0)
     if not some.isEmpty():  # repeated rows: one of them stays
-        out = out.unionByName(hashed.join(some, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
+        out = out.unionByName(hashed.join(some, same, "left_semi").dropDuplicates(["doc_id", mine]).drop(mine))
+    return out
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as make it no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 

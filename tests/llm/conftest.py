@@ -4,7 +4,8 @@ import pytest
 
 #: Columns of every operator's inside, as extra columns of the input.
 CLASHING = ("kept", "size", "row", "key", "class", "n_words", "spans", "score", "start", "length", "label", "rate",
-            "fp1", "variant", "node", "bucket", "text_hash", "log_weight", "part", "group", "__n")
+            "fp1", "variant", "node", "bucket", "text_hash", "log_weight", "part", "group", "__n", "_hash", "stay",
+            "_doc_id", "_text_hash", "__n_grams", "__log_weight", "doc_number", "own_hash", "n_stay", "n_rows", "number")
 
 SOME = "the quick brown fox jumps over the lazy dog while seven small birds sing in the old oak tree near the river bank"
 
