@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .arrays import raw_texts
+from .arrays import give_back, raw_texts
 from .selection import kth_largest
 
 BATCH_BYTES = 1 << 21
@@ -370,6 +370,7 @@ def batches_of(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> I
             texts = [data[x:y].tobytes().decode() for x, y in zip(offsets[i:j], offsets[i + 1:j + 1])]
             yield batch.column("doc_id").slice(i, j - i), Batch(texts, a, b)
             i = j
+        give_back()
 
 
 def groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:

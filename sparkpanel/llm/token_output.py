@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared, tokens
-from .arrays import raw_texts
+from .arrays import give_back, raw_texts
 
 SHARD_IDS = 4_000_000
 SAMPLE = 64
@@ -114,6 +114,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.R
                 i = j
     finally:
         enc.forget()  # workers outlive tasks
+        give_back()
 
 
 def _shard(part: int, shard: int, before: int, ids: list[bytes], doc_ids: list, width: int) -> pa.RecordBatch:
