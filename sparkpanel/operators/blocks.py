@@ -34,8 +34,8 @@ def packed(df: DataFrame, features: Column, numbers: Sequence[tuple[str, Column]
     """One row a block: n, the feature matrix (as float64, or what ``encode`` makes of it) and the number
     columns as raw bytes, and the rows' keys."""
     cols = [vector_to_array(features).alias("x"), *[c.cast("double").alias(n) for n, c in numbers]]
-    names = [n for n, _ in numbers]
-    if key is not None:
+    names, keyed = [n for n, _ in numbers], key is not None
+    if keyed:
         cols.append(key.cast("long").alias("key"))
     schema = "n long, x binary, " + "".join(f"{n} binary, " for n in names) + "key binary"
 
@@ -46,7 +46,7 @@ def packed(df: DataFrame, features: Column, numbers: Sequence[tuple[str, Column]
             out = [pa.array([batch.num_rows], pa.int64()), pa.array([x.tobytes()], pa.binary())]
             for n in names:
                 out.append(pa.array([batch.column(n).to_numpy(zero_copy_only=False).astype("<f8").tobytes()], pa.binary()))
-            keys = batch.column("key").to_numpy(zero_copy_only=False).astype("<i8").tobytes() if key is not None else b""
+            keys = batch.column("key").to_numpy(zero_copy_only=False).astype("<i8").tobytes() if keyed else b""
             yield pa.RecordBatch.from_arrays([*out, pa.array([keys], pa.binary())], names=["n", "x", *names, "key"])
 
     return df.select(*cols).mapInArrow(run, schema)

@@ -1,26 +1,28 @@
 """Models on ``pyspark.ml``.
 
-Every fit is a distributed ``pyspark.ml`` job; the driver only loops over
-the (at most six) model keys and holds one-row metric reports.  xgboost and
-catboost are not available here, so ``xgb`` and ``cat`` map to
-``GBTClassifier`` with the same parameter meanings (trees, learning rate,
-depth, row subsampling); leaf L1/L2 penalties have no Spark counterpart.
+``tree`` and ``rf`` are fitted by ``pyspark.ml``, ``logreg`` by exact Newton
+steps (``logistic``), ``xgb`` by second-order histogram boosting and ``cat`` by
+symmetric trees on ordered target statistics (``boosting``, ``encoding``).  The
+driver loops over the (at most six) model keys and holds sums of a model's size
+and one-row metric reports.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
-from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import boosting as B
+from . import encoding as E
 from . import features as FE
+from . import logistic as L
 from . import metrics as M
 from .scoring import score as score_with
 
@@ -33,7 +35,6 @@ class ModelConfig:
     name: str
     seed: int = 42
     lr_max_iter: int = 2000
-    lr_tol: float = 1e-4
     lr_c: float = 1.0
     dt_max_depth: int | None = None
     dt_min_leaf: int = 1
@@ -47,9 +48,12 @@ class ModelConfig:
     xgb_depth: int = 4
     xgb_subsample: float = 0.9
     xgb_colsample: float = 0.9
+    xgb_reg_lambda: float = 1.0
+    xgb_reg_alpha: float = 0.0
     cat_iterations: int = 800
     cat_lr: float = 0.05
     cat_depth: int = 6
+    cat_l2_leaf_reg: float = 3.0
     dummy_strategy: str = "majority"
 
 
@@ -94,36 +98,80 @@ def balanced_weight(counts: dict[int, int], y: str = "y") -> Column:
 
 
 # ------------------------------------------------------------------ factory
+FOREST_MEMORY_MB = 1024  # node statistics of one pass over the rows; more means fewer passes for a forest
+
+
 def build_classifier(cfg: ModelConfig, features_col: str = "features", label: str = "y",
-                     weight_col: str | None = None, sum_weights: float | None = None):
-    """M7: a Spark ML estimator for a model key (not for ``dummy``)."""
-    common = dict(featuresCol=features_col, labelCol=label)
-    if cfg.name == "logreg":
-        # liblinear's C=1: loss sum + 0.5||w||^2  ->  mean loss + (1/sum_w)/2 ||w||^2
-        reg = 1.0 / (cfg.lr_c * (sum_weights or 1.0))
-        est = LogisticRegression(maxIter=cfg.lr_max_iter, regParam=reg, elasticNetParam=0.0,
-                                 standardization=False, tol=cfg.lr_tol, **common)
-    elif cfg.name == "tree":
-        est = DecisionTreeClassifier(maxDepth=_depth(cfg.dt_max_depth), minInstancesPerNode=cfg.dt_min_leaf,
-                                     seed=cfg.seed, **common)
+                     weight_col: str | None = None):
+    """M7: the ``pyspark.ml`` estimator of ``tree`` and ``rf``."""
+    common = dict(featuresCol=features_col, labelCol=label, seed=cfg.seed)
+    if cfg.name == "tree":
+        est = DecisionTreeClassifier(maxDepth=_depth(cfg.dt_max_depth), minInstancesPerNode=cfg.dt_min_leaf, **common)
     elif cfg.name == "rf":
         est = RandomForestClassifier(numTrees=cfg.rf_trees, maxDepth=_depth(cfg.rf_max_depth),
                                      minInstancesPerNode=cfg.rf_min_leaf, featureSubsetStrategy="sqrt",
-                                     seed=cfg.seed, **common)
-    elif cfg.name == "xgb":
-        est = GBTClassifier(maxIter=cfg.xgb_trees, stepSize=cfg.xgb_lr, maxDepth=cfg.xgb_depth,
-                            subsamplingRate=cfg.xgb_subsample, featureSubsetStrategy=str(cfg.xgb_colsample),
-                            seed=cfg.seed, **common)
-    elif cfg.name == "cat":
-        est = GBTClassifier(maxIter=cfg.cat_iterations, stepSize=cfg.cat_lr, maxDepth=cfg.cat_depth,
-                            seed=cfg.seed, **common)
+                                     maxMemoryInMB=FOREST_MEMORY_MB, **common)
     else:
-        raise ValueError(f"unsupported model: {cfg.name}")
-    if weight_col and hasattr(est, "setWeightCol"):
+        raise ValueError(f"{cfg.name} is not a pyspark.ml estimator")
+    if weight_col:
         est.setWeightCol(weight_col)
     return est
 
 
+def boost_params(cfg: ModelConfig) -> B.BoostParams:
+    """M7: the settings of ``xgb`` and ``cat``."""
+    if cfg.name == "xgb":
+        return B.BoostParams(cfg.xgb_trees, cfg.xgb_lr, cfg.xgb_depth, cfg.xgb_subsample, cfg.xgb_colsample,
+                             cfg.xgb_reg_lambda, cfg.xgb_reg_alpha, seed=cfg.seed)
+    if cfg.name == "cat":
+        return B.BoostParams(cfg.cat_iterations, cfg.cat_lr, cfg.cat_depth, reg_lambda=cfg.cat_l2_leaf_reg,
+                             min_child_weight=0.0, symmetric=True, seed=cfg.seed)
+    raise ValueError(f"{cfg.name} is not a boosted model")
+
+
+def cat_stages(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str, id_col: str, seed: int,
+               path: str | None = None) -> tuple[DataFrame, list, list[str], list[str]]:
+    """The features of ``cat``: imputed numbers and target statistics of the categories.  Gives the rows to
+    fit on (each row's statistics from the rows before it), the stages that score other rows (statistics of
+    all rows), and the features in use."""
+    fills = FE.fit_constants(train, numeric, categorical)
+    num = [c for c in numeric if fills.get(c) is not None]
+    cat = [c for c in categorical if fills.get(c) is not None]
+    impute = FE.impute_stage(num, cat, fills)
+    inputs = [f"{c}{FE.IMP}" for c in [*num, *cat]]
+    whole = impute.transform(train)
+    names = [f"{c}{FE.IMP}" for c in cat]
+    assemble = VectorAssembler(inputCols=[f"{c}{E.SUFFIX}" if c in names else c for c in inputs], outputCol="features",
+                               handleInvalid="keep")
+    if not names:
+        return assemble.transform(whole), [impute, assemble], num, cat
+    key = id_col if id_col in train.columns else None
+    if key is None:
+        whole, key = whole.withColumn("_own", F.xxhash64(*[q_name(c) for c in inputs])), "_own"
+    ordered = E.ordered_target_stats(whole, names, y, key, seed)
+    return assemble.transform(ordered), [impute, E.statistics_stage(whole, names, y, path=path), assemble], num, cat
+
+
+def q_name(c: str) -> Column:
+    return F.col(f"`{c}`")
+
+
+def fit_stage(data: DataFrame, cfg: ModelConfig, y: str, id_col: str | None = None, weight: Column | None = None):
+    """The fitted last stage of a model on rows with a ``features`` vector."""
+    if cfg.name in ("xgb", "cat"):
+        key = F.xxhash64(q_name(id_col).cast("string")) if id_col in data.columns else None
+        return B.fit(data, "features", y, boost_params(cfg), weight, key)
+    if cfg.name == "logreg":
+        rdd = L.row_blocks(data, "features", y, weight=weight)
+        try:
+            return L.as_model(data.sparkSession, L.solve(rdd, [L.Fit(cfg.lr_c)], max_iter=cfg.lr_max_iter)[0], label=y)
+        finally:
+            rdd.unpersist()
+    if weight is not None:
+        data = data.withColumn("w_fit", weight)
+    return build_classifier(cfg, label=y, weight_col=None if weight is None else "w_fit").fit(data)
+
+
 def constant_model(p: float, score_col: str = "score") -> PipelineModel:
     """A11/A12 baselines as a persistable transformer emitting a constant."""
     stage = SQLTransformer(statement=f"SELECT *, CAST({float(p)!r} AS DOUBLE) AS `{score_col}` FROM __THIS__")
@@ -135,14 +183,14 @@ def _empty_frame():
     return SparkSession.getActiveSession().range(0)
 
 
-def prevalence(df: DataFrame, y: str = "y") -> DataFrame:
-    """Train prevalence (mean target)."""
-    return df.agg(F.avg(F.col(y).cast("double")).alias("prevalence"))
+def prevalence(df: DataFrame, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
+    """Train prevalence (mean target), of each group."""
+    return df.groupBy(*by).agg(F.avg(F.col(y).cast("double")).alias("prevalence"))
 
 
-def majority(df: DataFrame, y: str = "y") -> DataFrame:
-    """Majority class (lowest on ties)."""
-    return df.agg(F.mode(F.col(y), True).alias("majority"))
+def majority(df: DataFrame, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
+    """Majority class (lowest on ties), of each group."""
+    return df.groupBy(*by).agg(F.mode(F.col(y), True).alias("majority"))
 
 
 # ------------------------------------------------------------------ folds
@@ -150,8 +198,8 @@ FOLD_ROWS = 50_000  # rows that one task ranks
 
 
 def stratified_folds(df: DataFrame, y: str = "y", id_col: str = "id", k: int = 5, seed: int = 42,
-                     n_ranges: int | None = None, fold_col: str = "fold") -> DataFrame:
-    """M9 folds: within each class, rows ordered by ``xxhash64(id, seed)``
+                     n_ranges: int | None = None, fold_col: str = "fold", by: Sequence[str] = ()) -> DataFrame:
+    """M9 folds: within each class (of each group ``by``), rows ordered by ``xxhash64(id, seed)``
     (id breaks ties) are dealt round-robin into ``k`` folds, so fold sizes
     differ by at most one per class.
 
@@ -165,12 +213,13 @@ def stratified_folds(df: DataFrame, y: str = "y", id_col: str = "id", k: int = 5
     rng = F.least(F.floor((h.cast("double") / F.lit(9.223372036854775807e18) + 1.0) * (n_ranges / 2.0)),
                   F.lit(n_ranges - 1)).cast("int")
     base = df.withColumn("_h", h).withColumn("_r", rng)
-    tot = base.groupBy(y, "_r").agg(F.count(F.lit(1)).alias("_n"))
-    wprev = Window.partitionBy(y).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    classes = [*by, y]
+    tot = base.groupBy(*classes, "_r").agg(F.count(F.lit(1)).alias("_n"))
+    wprev = Window.partitionBy(*classes).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_off", F.coalesce(F.sum("_n").over(wprev), F.lit(0))).drop("_n")
-    win = Window.partitionBy(y, "_r").orderBy("_h", id_col)
+    win = Window.partitionBy(*classes, "_r").orderBy("_h", id_col)
     ranked = base.withColumn("_rn", F.row_number().over(win))
-    out = ranked.join(tot, on=[y, "_r"], how="inner")
+    out = ranked.join(tot, on=[*classes, "_r"], how="inner")
     return (out.withColumn(fold_col, F.pmod(F.col("_off") + F.col("_rn") - 1, F.lit(k)).cast("int"))
             .drop("_h", "_r", "_rn", "_off"))
 
@@ -205,36 +254,17 @@ def sample_space(space: dict[str, list], n_iter: int = 25, seed: int = 42) -> li
     return random.Random(seed).sample(grid, n_iter)
 
 
-# Axes of the search spaces without a counterpart in Spark's boosting: sampling them would only
-# fit equal candidates again.
-UNUSED_AXES = ("reg_lambda", "reg_alpha", "l2_leaf_reg")
-
-
-def usable_space(name: str) -> dict[str, list]:
-    """The axes of a model's search space that change its fit here."""
-    return {k: v for k, v in param_space(name).items() if k not in UNUSED_AXES}
-
-
-def _to_spark_params(est, name: str, point: dict, sum_w: float) -> dict:
-    out = {}
-    for k, v in point.items():
-        if k == "C":
-            out[est.regParam] = 1.0 / (v * sum_w)
-        elif k in ("max_depth", "depth"):
-            out[est.maxDepth] = _depth(v)
-        elif k == "min_samples_leaf":
-            out[est.minInstancesPerNode] = v
-        elif k == "class_weight":
-            out[est.weightCol] = "w_balanced" if v == "balanced" else "w_none"
-        elif k in ("n_estimators", "iterations"):
-            out[est.numTrees if name == "rf" else est.maxIter] = v
-        elif k == "learning_rate":
-            out[est.stepSize] = v
-        elif k == "subsample":
-            out[est.subsamplingRate] = v
-        elif k == "colsample_bytree":
-            out[est.featureSubsetStrategy] = str(v)
-    return out
+def at_point(cfg: ModelConfig, point: dict) -> tuple[ModelConfig, bool]:
+    """The settings with a search point's values, and whether its classes are balanced."""
+    names = {"logreg": {"C": "lr_c"},
+             "tree": {"max_depth": "dt_max_depth", "min_samples_leaf": "dt_min_leaf"},
+             "rf": {"n_estimators": "rf_trees", "max_depth": "rf_max_depth", "min_samples_leaf": "rf_min_leaf"},
+             "xgb": {"n_estimators": "xgb_trees", "learning_rate": "xgb_lr", "max_depth": "xgb_depth",
+                     "subsample": "xgb_subsample", "colsample_bytree": "xgb_colsample", "reg_lambda": "xgb_reg_lambda",
+                     "reg_alpha": "xgb_reg_alpha"},
+             "cat": {"iterations": "cat_iterations", "learning_rate": "cat_lr", "depth": "cat_depth",
+                     "l2_leaf_reg": "cat_l2_leaf_reg"}}[cfg.name]
+    return replace(cfg, **{names[k]: v for k, v in point.items() if k != "class_weight"}), point.get("class_weight") == "balanced"
 
 
 TUNING_METRICS = ("roc_auc", "f1", "precision", "recall")
@@ -260,49 +290,110 @@ class TuningResult:
 
 
 def tune(train: DataFrame, pre_stages: list, cfg: ModelConfig, y: str = "y", id_col: str = "id",
-         tcfg: TuningConfig = TuningConfig()) -> TuningResult:
+         tcfg: TuningConfig = TuningConfig(),
+         prepare: Callable[[DataFrame], tuple[DataFrame, list]] | None = None) -> TuningResult:
     """M9: seeded random search over stratified folds; every candidate gets the mean ROC AUC, F1,
     precision and recall (at 0.5) of its folds, and the best by ``refit`` is fitted again on all rows.
-    Fits run ``parallelism`` at a time, each distributed."""
-    from concurrent.futures import ThreadPoolExecutor
-    import json
+
+    ``logreg`` fits all candidates and folds together (one pass a Newton step); other models
+    fit ``parallelism`` at a time, each distributed.  The class weights of a fit are those of its rows.
+    ``prepare`` (rows to fit on, and stages for other rows) is applied to each fit's own rows, for features
+    that use the target."""
     if tcfg.refit not in TUNING_METRICS:
         raise ValueError(f"refit must be one of {TUNING_METRICS}")
-    counts = class_counts(train, y)
-    data = (stratified_folds(train, y, id_col, tcfg.n_splits, tcfg.seed)
-            .withColumn("w_balanced", balanced_weight(counts, y)).withColumn("w_none", F.lit(1.0)))
+    points = sample_space(param_space(cfg.name), tcfg.n_iter, tcfg.seed)
+    data = stratified_folds(train, y, id_col, tcfg.n_splits, tcfg.seed)
+    for stage in pre_stages:
+        data = stage.transform(data)
     data, owned = _cache(data)
     try:
-        sizes = {r["fold"]: r["n"] for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-        points = sample_space(usable_space(cfg.name), tcfg.n_iter, tcfg.seed)
-
-        def fitted(rows: DataFrame, point: dict, n: int) -> PipelineModel:
-            est = build_classifier(cfg, weight_col="w_none", sum_weights=float(n))
-            return Pipeline(stages=[*pre_stages, est]).fit(rows, _to_spark_params(est, cfg.name, point, float(n)))
-
-        def one(job: tuple[int, int]) -> tuple[int, dict]:
-            i, fold = job
-            model = fitted(data.where(F.col("fold") != fold), points[i], sum(sizes.values()) - sizes[fold])
-            row = M.metrics_at(score_with(model, data.where(F.col("fold") == fold), 0.5), y, "score", 0.5).first()
-            return i, {m: row[m] for m in TUNING_METRICS}
-
-        jobs = [(i, fold) for i in range(len(points)) for fold in sorted(sizes)]
-        with ThreadPoolExecutor(max(1, tcfg.parallelism)) as pool:
-            results = list(pool.map(one, jobs))
-        rows = []
-        for i, point in enumerate(points):
-            own = [r for j, r in results if j == i]
-            mean = {m: (sum(v) / len(v) if (v := [r[m] for r in own if r[m] is not None]) else None) for m in TUNING_METRICS}
-            rows.append((i, json.dumps(point, sort_keys=True), len(own), *[mean[m] for m in TUNING_METRICS]))
+        if cfg.name == "logreg":
+            per_fold, refit, n_fits = _tune_together(data, cfg, points, y)
+        else:
+            per_fold, refit, n_fits = _tune_apart(data, cfg, points, y, id_col, tcfg, prepare)
+        rows = _mean_rows(per_fold, points)
         at = 3 + TUNING_METRICS.index(tcfg.refit)
         best = max(rows, key=lambda r: (r[at] if r[at] is not None else float("-inf"), -r[0]))
-        model = fitted(data, points[best[0]], sum(sizes.values()))
+        model = PipelineModel(stages=[*pre_stages, refit(best[0])])
     finally:
         if owned:
             data.unpersist()
     table = train.sparkSession.createDataFrame(
         rows, "candidate int, params string, n_folds int, " + ", ".join(f"{m} double" for m in TUNING_METRICS))
-    return TuningResult(model, points[best[0]], best[at], table, len(jobs))
+    return TuningResult(model, points[best[0]], best[at], table, n_fits)
+
+
+def _mean_rows(per_fold: dict[int, list[dict]], points: list[dict]) -> list[tuple]:
+    """candidate, params, folds and the mean of each metric over the folds that have it."""
+    import json
+    rows = []
+    for i, point in enumerate(points):
+        own = per_fold.get(i, [])
+        mean = {m: (sum(v) / len(v) if (v := [r[m] for r in own if r[m] is not None]) else None) for m in TUNING_METRICS}
+        rows.append((i, json.dumps(point, sort_keys=True), len(own), *[mean[m] for m in TUNING_METRICS]))
+    return rows
+
+
+def _tune_together(data: DataFrame, cfg: ModelConfig, points: list[dict], y: str):
+    """All logistic candidates and folds as one weight matrix; all held-out metrics in one grouped job."""
+    rdd = L.row_blocks(data, "features", y, fold="fold")
+    sizes = L.class_sizes(rdd)
+    folds = sorted(int(f) for f in sizes)
+
+    def made(point: dict, without: int | None) -> L.Fit:
+        own, even = at_point(cfg, point)
+        return L.Fit(own.lr_c, L.balanced(sizes, without) if even else (1.0, 1.0), without)
+
+    jobs = [(i, fold) for fold in folds for i in range(len(points))]
+    try:
+        found = L.solve(rdd, [made(points[i], fold) for i, fold in jobs], max_iter=cfg.lr_max_iter)
+        again = L.solve(rdd, [made(p, None) for p in points], max_iter=cfg.lr_max_iter)
+    finally:
+        rdd.unpersist()
+    held_out = None
+    for n, fold in enumerate(folds):
+        own = L.scores(data.filter(F.col("fold") == fold), "features", found[n * len(points):(n + 1) * len(points)])
+        held_out = own if held_out is None else held_out.unionByName(own)
+    per_fold: dict[int, list[dict]] = {}
+    if held_out is not None:
+        long = held_out.select("fold", F.col(y).alias("y"), F.posexplode("scores").alias("candidate", "score"))
+        for r in M.metrics_at(long, "y", "score", 0.5, by=("candidate", "fold")).collect():  # one row a fit
+            per_fold.setdefault(r["candidate"], []).append({m: r[m] for m in TUNING_METRICS})
+    return per_fold, lambda i: L.as_model(data.sparkSession, again[i], label=y), len(jobs)
+
+
+def _tune_apart(data: DataFrame, cfg: ModelConfig, points: list[dict], y: str, id_col: str, tcfg: TuningConfig, prepare):
+    """Every candidate and fold as a fit of its own."""
+    from concurrent.futures import ThreadPoolExecutor
+    sizes = {(r["fold"], r[y]): r["n"] for r in data.groupBy("fold", y).agg(F.count(F.lit(1)).alias("n")).collect()}
+    folds = sorted({fold for fold, _ in sizes})
+    ready = {}
+    for fold in [*folds, None]:
+        rows = data if fold is None else data.where(F.col("fold") != fold)
+        ready[fold] = (rows, []) if prepare is None else prepare(rows)
+
+    def fitted(i: int, without: int | None):
+        own, even = at_point(cfg, points[i])
+        counts: dict[int, int] = {}
+        for (fold, label), n in sizes.items():
+            if fold != without and label is not None:
+                counts[int(label)] = counts.get(int(label), 0) + n
+        rows, stages = ready[without]
+        last = fit_stage(rows, own, y, id_col, balanced_weight(counts, y) if even else None)
+        return PipelineModel(stages=[*stages, last])
+
+    def one(job: tuple[int, int]) -> tuple[int, dict]:
+        i, fold = job
+        row = M.metrics_at(score_with(fitted(i, fold), data.where(F.col("fold") == fold), 0.5), y, "score", 0.5).first()
+        return i, {m: row[m] for m in TUNING_METRICS}
+
+    jobs = [(i, fold) for i in range(len(points)) for fold in folds]
+    with ThreadPoolExecutor(max(1, tcfg.parallelism)) as pool:
+        results = list(pool.map(one, jobs))
+    per_fold: dict[int, list[dict]] = {}
+    for i, row in results:
+        per_fold.setdefault(i, []).append(row)
+    return per_fold, lambda i: fitted(i, None), len(jobs)
 
 
 # ------------------------------------------------------------------ fit
@@ -336,19 +427,25 @@ def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], cf
 
 def _fit_persisted(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], cfg: ModelConfig,
                    y: str, id_col: str, tuning: TuningConfig | None) -> FittedModel:
-    pre = FE.fit_preprocessor(train, numeric, categorical)
-    counts = class_counts(train, y)
-    balanced = (cfg.name == "tree" and cfg.dt_balanced) or (cfg.name == "rf" and cfg.rf_balanced)
-    if tuning is not None:
-        tuned = tune(train, [pre.model], cfg, y, id_col, tuning)
-        return FittedModel(cfg.name, tuned.best_model, pre.selected, pre.numeric, pre.categorical,
-                           tuned.best_params, tuned.best_score)
+    if cfg.name not in MODEL_KEYS:
+        raise ValueError(f"unsupported model: {cfg.name}")
+    prepare = None
+    if cfg.name == "cat":
+        data, stages, num, cat = cat_stages(train, numeric, categorical, y, id_col, cfg.seed)
+        if tuning is not None:  # target statistics of each fit's own rows
+            stages = []
+
+            def prepare(rows: DataFrame) -> tuple[DataFrame, list]:
+                return cat_stages(rows, num, cat, y, id_col, cfg.seed)[:2]
     else:
-        data = train.withColumn("w_balanced", balanced_weight(counts, y))
-        est = build_classifier(cfg, weight_col="w_balanced" if balanced else None,
-                               sum_weights=float(sum(counts.values())))
-        model = Pipeline(stages=[pre.model, est]).fit(data)
-    return FittedModel(cfg.name, model, pre.selected, pre.numeric, pre.categorical)
+        pre = FE.fit_preprocessor(train, numeric, categorical)
+        data, stages, num, cat = pre.model.transform(train), [pre.model], pre.numeric, pre.categorical
+    if tuning is not None:
+        tuned = tune(train, stages, cfg, y, id_col, tuning, prepare)
+        return FittedModel(cfg.name, tuned.best_model, [*num, *cat], num, cat, tuned.best_params, tuned.best_score)
+    balanced = (cfg.name == "tree" and cfg.dt_balanced) or (cfg.name == "rf" and cfg.rf_balanced)
+    weight = balanced_weight(class_counts(train, y), y) if balanced else None
+    return FittedModel(cfg.name, PipelineModel(stages=[*stages, fit_stage(data, cfg, y, id_col, weight)]), [*num, *cat], num, cat)
 
 
 def train_baseline(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
@@ -357,11 +454,8 @@ def train_baseline(train: DataFrame, numeric: Sequence[str], categorical: Sequen
     train, owned = _cache(train)
     try:
         pre = FE.fit_preprocessor(train, numeric, categorical)
-        counts = class_counts(train, y)
-        data = train.withColumn("w_balanced", balanced_weight(counts, y))
-        est = build_classifier(ModelConfig("logreg"), weight_col="w_balanced",
-                               sum_weights=float(sum(counts.values())))
-        model = Pipeline(stages=[pre.model, est]).fit(data)
+        weight = balanced_weight(class_counts(train, y), y)
+        model = PipelineModel(stages=[pre.model, fit_stage(pre.model.transform(train), ModelConfig("logreg"), y, weight=weight)])
     finally:
         if owned:
             train.unpersist()

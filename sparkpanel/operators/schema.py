@@ -255,7 +255,44 @@ def drop_non_features(df: DataFrame, cols: Iterable[str] = NON_FEATURE_COLS) ->
     return drop_if_present(df, cols)
 
 
-def feature_dictionary(spark, rows: Sequence[tuple[str, str, bool]]) -> DataFrame:
+# The known features in order, which of them are derived, and what they hold (worded here).
+DEFAULT_DICTIONARY = (
+    ("fase", "learning phase of the student", False),
+    ("turma", "class within the phase", False),
+    ("ano_nasc", "year of birth", False),
+    ("genero", "gender as coded in the table", False),
+    ("ano_ingresso", "year in which the student joined", False),
+    ("instituicao_de_ensino", "school in the year", False),
+    ("no_av", "number of assessments in the year", False),
+    ("rec_av1", "recommendation of the first assessment team", False),
+    ("rec_av2", "recommendation of the second assessment team", False),
+    ("rec_av3", "recommendation of the third assessment team", False),
+    ("rec_av4", "recommendation of the fourth assessment team", False),
+    ("iaa", "self-assessment indicator, mean of the year", False),
+    ("ieg", "engagement indicator, mean of the year", False),
+    ("ips", "psychosocial indicator, mean of the year", False),
+    ("rec_psicologia", "recommendation of the psychology team", False),
+    ("ida", "learning indicator, mean of the year", False),
+    ("matem", "mathematics mark of the year", False),
+    ("portug", "Portuguese mark of the year", False),
+    ("ingles", "English mark of the year", False),
+    ("indicado", "whether the student was put forward for a scholarship", False),
+    ("atingiu_pv", "whether the turning point was reached in the year", False),
+    ("ipv", "turning-point indicator, mean of the year", False),
+    ("ian", "indicator of being at the right level", False),
+    ("fase_ideal", "phase in which the student should be", False),
+    ("defas", "gap in levels in the year", False),
+    ("pedra", "class of the student by the development index", False),
+    ("idade", "age in the year", False),
+    ("ipp", "psychopedagogic indicator, mean of the year", False),
+    ("tenure", "years since joining", False),
+    ("gap_fase", "ideal phase less phase", True),
+    ("pedra_ord", "class as an ordinal number", True),
+    ("rec_av_count", "number of recommendations given", True),
+)
+
+
+def feature_dictionary(spark, rows: Sequence[tuple[str, str, bool]] = DEFAULT_DICTIONARY) -> DataFrame:
     """A small dimension table ``(feature, description, derived)``; join
     it with ``describe_features`` (Spark broadcasts it while it is small)."""
     return spark.createDataFrame(list(rows), "feature string, description string, derived boolean")

@@ -30,7 +30,7 @@ def load_all() -> None:
     """Import every query module (each registers itself)."""
     from . import q_pairs, q_quality  # noqa: F401
     for mod in ("q_clean", "q_schema", "q_metrics", "q_drift", "q_features",
-                "q_models", "q_registry"):
+                "q_models", "q_registry", "q_io"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as exc:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import drift as D
+from ..operators import sketches as SK
+from ..session import scratch_path
 from .catalog import register
 from .tables import table
 
@@ -281,3 +285,28 @@ def drift_empty_current(spark, sf):
     o = table(spark, sf, "orders").select("o_totalprice", "o_orderpriority", "o_orderstatus")
     t = D.drift_table(o, o.where("o_totalprice < 0"))
     return t.select("feature", "kind", F.round("score", R).alias("score"))
+
+
+TOLERANCE = 0.03  # of a score from sketches
+
+
+@register("drift_from_sketches", _PERIOD_SQL + """
+SELECT p, feature, kind, n_ref, n_cur, true AS near FROM (SELECT * FROM num UNION ALL SELECT * FROM cat) u
+""")
+def drift_from_sketches(spark, sf):
+    """D8 from stored sketches: one KLL sketch or count table a period and column, written once; every pair of
+    neighbouring periods compared from these alone, and held against the exact scores."""
+    o = table(spark, sf, "orders").select(F.year("o_orderdate").cast("int").alias("p"), *ORD_NUM, *ORD_CAT)
+    base = f"{scratch_path(spark, 'sketches')}-{uuid.uuid4().hex[:12]}"
+    SK.numeric_sketches(o, ["p"], ORD_NUM).write.parquet(f"{base}/numeric")
+    SK.category_counts(o, ["p"], ORD_CAT).write.parquet(f"{base}/counts")
+    num, cat = spark.read.parquet(f"{base}/numeric"), spark.read.parquet(f"{base}/counts")
+
+    def before(df):
+        return df.withColumn("p", F.col("p") + 1)
+
+    found = (SK.numeric_drift(before(num), num, ["p"]).withColumn("kind", F.lit("numeric_psi"))
+             .unionByName(SK.category_drift(before(cat), cat, ["p"]).withColumn("kind", F.lit("categorical_psi"))))
+    exact = D.drift_by_period(o, "p").select("p", "feature", F.col("score").alias("exact"))
+    near = F.abs(F.col("score") - F.col("exact")) <= TOLERANCE
+    return found.join(exact, ["p", "feature"]).select("p", "feature", "kind", "n_ref", "n_cur", near.alias("near"))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
+from ..operators import encoding as E
+from ..operators import logistic as L
 from ..operators import models as MD
 from ..operators import scoring as SC
 from ..operators import schema as S
@@ -30,37 +34,90 @@ def train_test(spark, sf):
     return p.where(F.col("year_t") == 1997), p.where(F.col("year_t") == 1998)
 
 
-TRAIN_SQL = "WITH " + PAIRS_SQL + ", train AS (SELECT * FROM pairs WHERE year_t = 1997)"
-
-
-@register("dummy_prevalence", TRAIN_SQL + f"""
-SELECT round(AVG(CAST(y AS DOUBLE)), {R}) AS prevalence FROM train
+@register("dummy_prevalence", "WITH " + PAIRS_SQL + f"""
+SELECT year_t, round(AVG(CAST(y AS DOUBLE)), {R}) AS prevalence FROM pairs GROUP BY year_t
 """)
 def dummy_prevalence(spark, sf):
-    """Train prevalence, the constant score of the prevalence dummy."""
-    train, _ = train_test(spark, sf)
-    return MD.prevalence(train).withColumn("prevalence", F.round("prevalence", R))
+    """The constant score of the prevalence dummy, trained on each pair of periods."""
+    return MD.prevalence(panel_pairs(spark, sf), by=("year_t",)).withColumn("prevalence", F.round("prevalence", R))
 
 
-@register("dummy_majority", TRAIN_SQL + """
-SELECT min(y) AS majority FROM (SELECT y, COUNT(*) AS n, max(COUNT(*)) OVER () AS mx FROM train GROUP BY y) t
-WHERE n = mx
+@register("dummy_majority", "WITH " + PAIRS_SQL + """
+SELECT year_t, min(y) AS majority FROM (
+  SELECT year_t, y, COUNT(*) AS n, max(COUNT(*)) OVER (PARTITION BY year_t) AS mx FROM pairs GROUP BY year_t, y) t
+WHERE n = mx GROUP BY year_t
 """)
 def dummy_majority(spark, sf):
-    """Majority class (lowest on ties)."""
-    train, _ = train_test(spark, sf)
-    return MD.majority(train)
+    """Majority class (lowest on ties) of each pair of periods."""
+    return MD.majority(panel_pairs(spark, sf), by=("year_t",))
 
 
-@register("stratified_folds", TRAIN_SQL + """
-SELECT y, CAST(f AS INTEGER) AS fold, CAST((n - f + 4) // 5 AS BIGINT) AS n
-FROM (SELECT y, COUNT(*) AS n FROM train GROUP BY y) c, range(5) t(f) WHERE n > f
+@register("stratified_folds", "WITH " + PAIRS_SQL + """
+SELECT year_t, y, CAST(f AS INTEGER) AS fold, CAST((n - f + 4) // 5 AS BIGINT) AS n
+FROM (SELECT year_t, y, COUNT(*) AS n FROM pairs GROUP BY year_t, y) c, range(5) t(f) WHERE n > f
 """)
 def stratified_folds(spark, sf):
-    """M9 folds: fold sizes per class differ by at most one."""
-    train, _ = train_test(spark, sf)
-    folds = MD.stratified_folds(train, "y", "id", k=5, seed=42)
-    return folds.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"))
+    """M9 folds of every pair of periods: fold sizes per class differ by at most one."""
+    folds = MD.stratified_folds(panel_pairs(spark, sf), "y", "id", k=5, seed=42, by=("year_t",))
+    return folds.groupBy("year_t", "y", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("ordered_target_stats", "WITH " + PAIRS_SQL + f""",
+r AS (SELECT p.id || '-' || p.year_t AS rid, c.c_mktsegment AS segment, p.y,
+             CAST('0x' || substr(md5('42:' || p.id || '-' || p.year_t), 1, 13) AS BIGINT) AS pos
+      FROM pairs p LEFT JOIN customer c ON c.c_custkey = p.id),
+w AS (SELECT rid, sum(y) OVER o AS s, count(y) OVER o AS n FROM r
+      WINDOW o AS (PARTITION BY segment ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT rid, round((coalesce(s, 0) + prior) / (n + 1.0), {R}) AS segment_ts
+FROM w, (SELECT avg(CAST(y AS DOUBLE)) AS prior FROM pairs) t
+""")
+def ordered_target_stats(spark, sf):
+    """M7 cat: each row's target statistic of its segment, from the rows before it in the random order."""
+    rows = model_pairs(spark, sf).withColumn("rid", F.concat_ws("-", "id", "year_t"))
+    out = E.ordered_target_stats(rows, ["segment"], "y", "rid", 42)
+    return out.select("rid", F.round(f"segment{E.SUFFIX}", R).alias("segment_ts"))
+
+
+_STUMP = dict(lr=0.05, l2=1.0, l1=0.1)
+
+
+@register("boost_stump", "WITH " + PAIRS_SQL + """,
+f AS (SELECT 0 AS k, CAST(n_orders AS DOUBLE) AS v, y FROM pairs UNION ALL SELECT 1, CAST(n_urgent AS DOUBLE), y FROM pairs),
+c AS (SELECT k, v, sum(0.5 - y) AS g, count(*) * 0.25 AS h FROM f GROUP BY k, v),
+s AS (SELECT k, v, sum(g) OVER o AS gl, sum(h) OVER o AS hl, sum(g) OVER (PARTITION BY k) AS ga, sum(h) OVER (PARTITION BY k) AS ha
+      FROM c WINDOW o AS (PARTITION BY k ORDER BY v)),
+t AS (SELECT k, v, gl, hl, ga - gl AS gr, ha - hl AS hr, ga, ha FROM s WHERE hl >= 1 AND ha - hl >= 1),
+u AS (SELECT *, greatest(abs(gl) - {l1}, 0) ** 2 / (hl + {l2}) + greatest(abs(gr) - {l1}, 0) ** 2 / (hr + {l2})
+                - greatest(abs(ga) - {l1}, 0) ** 2 / (ha + {l2}) AS gain FROM t)
+SELECT CAST(k AS INTEGER) AS feature, v AS threshold, round(gain, 6) AS gain,
+       round(-{lr} * sign(gl) * greatest(abs(gl) - {l1}, 0) / (hl + {l2}), {r}) AS left_value,
+       round(-{lr} * sign(gr) * greatest(abs(gr) - {l1}, 0) / (hr + {l2}), {r}) AS right_value
+FROM u WHERE gain > 0.000001 ORDER BY u.gain DESC, k, v LIMIT 1
+""".format(r=R, **_STUMP))
+def boost_stump(spark, sf):
+    """M7 xgb: the first split of second-order boosting over all pairs, with both leaf penalties."""
+    rows = VectorAssembler(inputCols=["n_orders", "n_urgent"], outputCol="features").transform(
+        panel_pairs(spark, sf).withColumns({c: F.col(c).cast("double") for c in ("n_orders", "n_urgent")}))
+    p = B.BoostParams(rounds=1, depth=1, learning_rate=_STUMP["lr"], reg_lambda=_STUMP["l2"], reg_alpha=_STUMP["l1"])
+    trees, edges = B.fit_trees(rows, "features", "y", p)
+    found = [(int(t.feature[0]), float(edges[t.feature[0]][t.bin[0]]), round(float(t.gain[0]), 6), round(float(t.value[1]), R),
+              round(float(t.value[2]), R)) for t in trees if t.feature[0] >= 0]
+    return spark.createDataFrame(found, "feature int, threshold double, gain double, left_value double, right_value double")
+
+
+@register("logit_two_valued", "WITH " + PAIRS_SQL + """,
+c AS (SELECT n_urgent > 0 AS u, sum(y) AS p, sum(1 - y) AS q FROM pairs GROUP BY 1)
+SELECT round(ln(a.p / a.q) - ln(b.p / b.q), 5) AS coefficient, round(ln(b.p / b.q), 5) AS intercept
+FROM c a, c b WHERE a.u AND NOT b.u
+""")
+def logit_two_valued(spark, sf):
+    """M6: Newton steps on one two-valued feature, the penalty next to nothing: the log odds of both values."""
+    rows = panel_pairs(spark, sf).select("y", (F.col("n_urgent") > 0).cast("double").alias("u"))
+    rows = VectorAssembler(inputCols=["u"], outputCol="features").transform(rows)
+    blocks = L.row_blocks(rows, "features", "y")
+    v = L.solve(blocks, [L.Fit(1e9)])[0]
+    blocks.unpersist()
+    return spark.createDataFrame([(round(float(v[0]), 5), round(float(v[1]), 5))], "coefficient double, intercept double")
 
 
 @register("train_baseline")
@@ -74,7 +131,7 @@ def train_baseline(spark, sf):
 
 @register("compare_models")
 def compare_models(spark, sf):
-    """The models that fit in minutes at their default settings, threshold by F1 on train, test
+    """The quickly fitted models at their default settings, threshold by F1 on train, test
     metrics, leaderboard (``compare_rf``, ``compare_xgb`` and ``compare_cat`` give the rows of the others)."""
     train, test = train_test(spark, sf)
     return MD.compare(train, test, NUMERIC, CATEGORICAL, models=("dummy", "logreg", "tree"))
@@ -89,14 +146,14 @@ def compare_rf(spark, sf):
 
 @register("compare_xgb")
 def compare_xgb(spark, sf):
-    """The leaderboard row of ``xgb`` at the default 500 rounds, fitted one after another."""
+    """The leaderboard row of second-order boosting at the default 500 rounds."""
     train, test = train_test(spark, sf)
     return MD.compare(train, test, NUMERIC, CATEGORICAL, models=("xgb",))
 
 
 @register("compare_cat")
 def compare_cat(spark, sf):
-    """The leaderboard row of ``cat`` at the default 800 rounds, fitted one after another."""
+    """The leaderboard row of symmetric trees on target statistics at the default 800 rounds."""
     train, test = train_test(spark, sf)
     return MD.compare(train, test, NUMERIC, CATEGORICAL, models=("cat",))
 
@@ -180,13 +237,23 @@ def evaluate_bundle(spark, sf):
                     F.col("pred").alias("y_pred"))
 
 
+def _tuned(spark, sf):
+    from ..operators import features as FE
+    train, _ = train_test(spark, sf)
+    pre = FE.fit_preprocessor(train, NUMERIC, CATEGORICAL)
+    return MD.tune(train, [pre.model], MD.ModelConfig("logreg")).candidates
+
+
 @register("tuning_folds", "WITH " + PAIRS_SQL + """
 SELECT CAST(candidate AS INTEGER) AS candidate, CAST(5 AS INTEGER) AS n_folds
 FROM range(10) t(candidate) WHERE EXISTS (SELECT 1 FROM pairs WHERE year_t = 1997)
 """)
 def tuning_folds(spark, sf):
     """M8/M9: all ten points of the logistic space, five folds each."""
-    from ..operators import features as FE
-    train, _ = train_test(spark, sf)
-    pre = FE.fit_preprocessor(train, NUMERIC, CATEGORICAL)
-    return MD.tune(train, [pre.model], MD.ModelConfig("logreg")).candidates.select("candidate", "n_folds")
+    return _tuned(spark, sf).select("candidate", "n_folds")
+
+
+@register("tuning_metrics")
+def tuning_metrics(spark, sf):
+    """M9: mean held-out ROC AUC, F1, precision and recall of every logistic candidate (fits: tested apart)."""
+    return _tuned(spark, sf)

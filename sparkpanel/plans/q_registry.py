@@ -79,16 +79,24 @@ def best_run(spark, sf):
     return RG.best_run(runs(spark, sf), ("test_roc_auc", "test_f1"), ("run_id", "event_id"))
 
 
+#: What each model's runs record as their features.
+FEATURES = {"rf": ["n_orders", "avg_price"], "xgb": ["n_orders", "n_urgent", "total_cents"], "tree": [], "cat": ["segment"]}
+FEATURES_SQL = "CASE model " + " ".join(f"WHEN '{m}' THEN {f!r}::VARCHAR[]" for m, f in FEATURES.items()) + " END"
+
+
 @register("model_info", f"""WITH {RUNS_SQL},
 latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY run_ts DESC, run_id DESC, event_id DESC) AS rn FROM runs) t WHERE rn = 1)
 SELECT model, model_path, COALESCE(TRY_CAST(CAST(threshold AS VARCHAR) AS DOUBLE), 0.5) AS threshold,
-       ['event_id', 'event_type', 'model_path', 'run_id', 'run_ts', 'test_f1', 'test_roc_auc', 'threshold'] AS meta_keys
+       CAST(len(COALESCE({FEATURES_SQL}, [])) AS INTEGER) AS n_features, array_to_string(COALESCE({FEATURES_SQL}, []), ',') AS features,
+       ['event_id', 'event_type', 'features', 'model_path', 'run_id', 'run_ts', 'test_f1', 'test_roc_auc', 'threshold'] AS meta_keys
 FROM latest
 """)
 def model_info(spark, sf):
-    """Metadata of the latest run per model (threshold falls back to 0.5)."""
-    latest = RG.latest_per_model(runs(spark, sf), "model", ("run_ts", "run_id", "event_id"))
-    return RG.model_info(latest)
+    """Metadata and expected features of the latest run per model (threshold falls back to 0.5)."""
+    named = F.create_map(*[x for m, f in FEATURES.items() for x in (F.lit(m), F.array(*[F.lit(c) for c in f]).cast("array<string>"))])
+    latest = RG.latest_per_model(runs(spark, sf).withColumn("features", named[F.col("model")]), "model",
+                                 ("run_ts", "run_id", "event_id"))
+    return RG.model_info(latest).withColumn("features", F.array_join("features", ","))
 
 
 @register("promoted_latest", f"""WITH {RUNS_SQL},
@@ -116,26 +124,43 @@ f AS (SELECT *, COALESCE(NULLIF(trim(model_path), ''), NULLIF(trim(artifact_path
                         NULLIF(trim(latest_model_path), '')) AS first_path FROM ptr)"""
 
 
-@register("pointer_resolve", PTR_SQL + r"""
-SELECT event_id,
-       CASE WHEN starts_with(first_path, '/') THEN first_path
-            WHEN first_path IS NOT NULL THEN concat(regexp_replace(base_dir, '/+$', ''), '/', first_path) END AS resolved_path,
-       NULLIF(regexp_extract(first_path, 'model_([a-z]+)_(\d{8}_\d{6})', 2), '') AS path_run_id,
-       NULLIF(regexp_extract(first_path, 'model_([a-z]+)_(\d{8}_\d{6})', 1), '') AS path_model
-FROM f
-""")
-def pointer_resolve(spark, sf):
-    """First non-blank pointer key, relative to the pointer folder;
-    run id and model parsed from the artifact name."""
+def _pointers(spark, sf):
     r = runs(spark, sf)
-    ptr = r.select(
+    return r.select(
         "event_id", F.col("model").alias("model_key"), F.lit("artifacts/models/").alias("base_dir"),
         F.when(F.col("event_type").isin("view", "signup"), F.lit("  "))
          .otherwise(F.concat(F.lit("model_"), "model", F.lit("_"), "run_id", F.lit(".joblib"))).alias("model_path"),
         F.when(F.col("event_type") == "view",
                F.concat(F.lit("/srv/models/model_"), "model", F.lit("_"), "run_id", F.lit(".joblib"))).alias("artifact_path"),
         F.lit(None).cast("string").alias("path"),
-        F.when(F.col("event_type") == "signup",
+        F.when(F.col("event_type").isin("signup", "view"),
                F.concat(F.lit("latest/model_"), "model", F.lit("_"), "run_id", F.lit(".joblib"))).alias("latest_model_path"))
-    out = RG.resolve_pointer(ptr, "base_dir")
+
+
+#: The working folder, and the paths that exist: of each run the file in one of four places, by its id.
+CWD = "/srv/work"
+HELD = ("CASE event_id % 4 WHEN 0 THEN concat('/srv/models/model_', model, '_', run_id, '.joblib') "
+        "WHEN 1 THEN concat('/srv/work/artifacts/models/model_', model, '_', run_id, '.joblib') "
+        "WHEN 2 THEN concat('/srv/work/artifacts/models/latest/model_', model, '_', run_id, '.joblib') "
+        "ELSE concat('/srv/work/model_', model, '_', run_id, '.joblib') END")
+
+
+@register("pointer_resolve", PTR_SQL.replace("CASE WHEN event_type = 'signup' THEN concat('latest/", "CASE WHEN event_type IN ('signup', 'view') THEN concat('latest/")
+          + f""",
+held AS (SELECT DISTINCT {HELD} AS p FROM runs),
+c AS (SELECT event_id, unnest([1, 2, 3]) AS k, unnest([model_path, artifact_path, latest_model_path]) AS raw FROM ptr),
+t AS (SELECT event_id, 2 * k + w AS pos, CASE WHEN starts_with(trim(raw), '/') THEN trim(raw) WHEN w = 0 THEN concat('{CWD}/', trim(raw))
+                                             ELSE concat('{CWD}/artifacts/models/', trim(raw)) END AS p
+      FROM c, (SELECT unnest([0, 1]) AS w) x WHERE trim(raw) <> '' AND (w = 0 OR NOT starts_with(trim(raw), '/'))),
+g AS (SELECT event_id, min_by(t.p, pos) AS p FROM t JOIN held ON held.p = t.p GROUP BY event_id)
+SELECT ptr.event_id, g.p AS resolved_path,
+       NULLIF(regexp_extract(g.p, 'model_([a-z]+)_(\\d{{8}}_\\d{{6}})', 2), '') AS path_run_id,
+       NULLIF(regexp_extract(g.p, 'model_([a-z]+)_(\\d{{8}}_\\d{{6}})', 1), '') AS path_model
+FROM ptr LEFT JOIN g USING (event_id)
+""")
+def pointer_resolve(spark, sf):
+    """Of each pointer the first candidate that exists, against the working folder, then the
+    pointer's; run id and model parsed from the path found."""
+    held = runs(spark, sf).select(F.expr(HELD).alias("p")).distinct()
+    out = RG.resolve_existing(_pointers(spark, sf), "base_dir", held, CWD)
     return out.select("event_id", "resolved_path", "path_run_id", "path_model")

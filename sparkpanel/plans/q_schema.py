@@ -12,36 +12,57 @@ from .q_pairs import panel_pairs
 from .tables import PAIRS_SQL, table
 
 
+def _years(pairs):
+    """The periods of the panel (a handful), in order."""
+    return [r["year_t"] for r in pairs.select("year_t").distinct().orderBy("year_t").collect()]
+
+
+def _union(frames, empty):
+    out = empty
+    for f in frames:
+        out = f if out is empty else out.unionByName(f)
+    return out
+
+
 @register("align_schema", "WITH " + PAIRS_SQL + """
 SELECT id, year_t, year_t1, y, n_orders, CAST(NULL AS BIGINT) AS n_urgent, total_cents,
        CAST(NULL AS DOUBLE) AS avg_price
-FROM pairs WHERE year_t = 1996
+FROM pairs WHERE year_t > (SELECT min(year_t) FROM pairs)
 """)
 def align_schema(spark, sf):
-    """A differently shaped pair table aligned to the train schema
+    """Each period's differently shaped pair table aligned to the schema of the one before it
     (missing -> typed NULL, extra dropped, train order)."""
     pairs = panel_pairs(spark, sf)
-    train = pairs.where(F.col("year_t") == 1995)
-    other = (pairs.where(F.col("year_t") == 1996)
-             .select("id", "year_t", "year_t1", "y", "n_orders", "total_cents",
-                     (F.col("n_urgent") * 2).alias("extra")))
-    return S.align_to_schema(train, other, keep=("id", "year_t", "year_t1", "y"))
+    years = _years(pairs)
+
+    def aligned(t, u):
+        train = pairs.where(F.col("year_t") == t)
+        other = (pairs.where(F.col("year_t") == u)
+                 .select("id", "year_t", "year_t1", "y", "n_orders", "total_cents", (F.col("n_urgent") * 2).alias("extra")))
+        return S.align_to_schema(train, other, keep=("id", "year_t", "year_t1", "y"))
+
+    return _union([aligned(t, u) for t, u in zip(years, years[1:])], pairs.limit(0))
 
 
 @register("drop_all_null", "WITH " + PAIRS_SQL + """
-SELECT id, year_t, year_t1, y, n_orders, n_urgent, total_cents, avg_price FROM pairs WHERE year_t = 1996
+SELECT id, year_t, year_t1, y, n_orders, n_urgent, total_cents, avg_price FROM pairs
+WHERE year_t > (SELECT min(year_t) FROM pairs)
 """)
 def drop_all_null(spark, sf):
-    """A feature that is NULL on every train row is removed from
+    """For each two neighbouring periods, a feature that is NULL on every train row is removed from
     train and test (one ``count(c)`` aggregate over train)."""
     pairs = panel_pairs(spark, sf)
+    years = _years(pairs)
     dead = F.when(F.col("n_orders") < 0, F.lit(1.0)).alias("dead")
     live = (F.col("n_orders") * 1.0).alias("dead")
-    train = pairs.where(F.col("year_t") == 1995).select("*", dead)
-    other = pairs.where(F.col("year_t") == 1996).select("*", live)
-    feats = [c for c in train.columns if c not in ("id", "year_t", "year_t1", "y")]
-    _, other2, _ = S.drop_all_null_features(train, other, feats)
-    return other2
+
+    def kept(t, u):
+        train = pairs.where(F.col("year_t") == t).select("*", dead)
+        other = pairs.where(F.col("year_t") == u).select("*", live)
+        feats = [c for c in train.columns if c not in ("id", "year_t", "year_t1", "y")]
+        return S.drop_all_null_features(train, other, feats)[1]
+
+    return _union([kept(t, u) for t, u in zip(years, years[1:])], pairs.limit(0))
 
 
 EXPECTED = ["custkey", "priority", "ano_pedido"]

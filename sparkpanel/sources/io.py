@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import csv_split
 from ..functions.names import dedupe_names, normalize_colname
 from ..functions.scalar import no_nan
 
@@ -46,7 +47,7 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_csv_strings(spark: SparkSession, path: str, sep: str = ";",
                      encoding: str = "utf-8", normalize_names: bool = True,
-                     na_tokens: Iterable[str] = NA_TOKENS, multi_line: bool = True) -> DataFrame:
+                     na_tokens: Iterable[str] = NA_TOKENS, multi_line: bool | str = "split") -> DataFrame:
     """Header CSV read with every column as string (no inference, so
     ``007`` stays ``007``), names normalised (P2) and NA tokens -> NULL.
 
@@ -54,9 +55,10 @@ def read_csv_strings(spark: SparkSession, path: str, sep: str = ";",
     here, because Spark's own header handling renames duplicates
     case-insensitively before normalisation could see them (Q10).
 
-    Quoted fields may hold line breaks and doubled quotes; such a file is read by one task, so a
-    very large file known to have no quoted line break should be read with ``multi_line=False``."""
-    opts = dict(sep=sep, encoding=encoding, multiLine=multi_line, quote='"', escape='"')
+    Quoted fields may hold line breaks and doubled quotes.  ``multi_line="split"`` reads such files in
+    splits (``csv_split``); where a quote stands outside a quoted field, or the encoding is not UTF-8, and
+    with ``multi_line=True``, each file is read by one task.  ``False`` takes every line as a record."""
+    opts = dict(sep=sep, encoding=encoding, multiLine=bool(multi_line), quote='"', escape='"')
     head = _guard(lambda: spark.read.options(header=False, **opts).csv(path).first(), path)
     if head is None:
         raise SourceNotFound(f"empty input: {path}")
@@ -64,7 +66,9 @@ def read_csv_strings(spark: SparkSession, path: str, sep: str = ";",
     names = dedupe_names([normalize_colname(c) or "col" for c in raw]) if normalize_names \
         else dedupe_names([c or "col" for c in raw])
     schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-    df = spark.read.schema(schema).options(header=True, enforceSchema=True, **opts).csv(path)
+    df = _split_csv(spark, path, schema, sep) if multi_line == "split" and encoding.lower() in UTF8 else None
+    if df is None:
+        df = spark.read.schema(schema).options(header=True, enforceSchema=True, **opts).csv(path)
     tokens = list(na_tokens)
     if not tokens:
         return df
@@ -72,6 +76,23 @@ def read_csv_strings(spark: SparkSession, path: str, sep: str = ";",
                        .otherwise(F.col(f"`{n}`")).alias(n) for n in names])
 
 
+UTF8 = ("utf-8", "utf8")
+
+
+def _split_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str) -> DataFrame | None:
+    """The rows of a CSV path read in splits, or None where the quotes don't allow it."""
+    rows = csv_split.records(spark, path)
+    if not rows.filter(~csv_split.well_formed(F.col("text"), sep)).isEmpty():
+        return None
+    # one more column than the schema would be dropped by either reader, one fewer is NULL
+    opts = dict(sep=sep, quote='"', escape='"', multiLine="true", mode="PERMISSIVE")
+    return rows.select(F.from_csv("text", _ddl(schema), opts).alias("r")).select("r.*")
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema.fields)
+
+
 def lossless_types(df: DataFrame) -> DataFrame:
     """Text columns whose every value is a plainly written number become long or double (one
     aggregate over all columns); ``007`` or a number too long for a long keeps its column text (Q8)."""
@@ -88,7 +109,7 @@ def lossless_types(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast(kind(i)).alias(name) for i, (c, name) in enumerate(zip(cols, df.columns))])
 
 
-def read_table(spark: SparkSession, path: str, csv_sep: str = ",", multi_line: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, csv_sep: str = ",", multi_line: bool | str = "split") -> DataFrame:
     """Dispatch on suffix: ``.parquet``, a name without a suffix (a folder that Spark wrote) as
     Parquet too, ``.csv`` / ``.csv.gz`` with the types that lose nothing.  NaN becomes NULL.
     ``multi_line`` as in ``read_csv_strings``."""
@@ -103,7 +124,7 @@ def read_table(spark: SparkSession, path: str, csv_sep: str = ",", multi_line: b
 
 
 def read_first_available(spark: SparkSession, directory: str, stem: str,
-                         csv_sep: str = ";", multi_line: bool = True) -> DataFrame:
+                         csv_sep: str = ";", multi_line: bool | str = "split") -> DataFrame:
     """Prefer ``<stem>.parquet``, then the folder ``<stem>`` that ``jobs.build_dataset`` writes, else
     ``<stem>.csv.gz`` (``;``), else error."""
     base = directory.rstrip("/")
@@ -116,7 +137,7 @@ def read_first_available(spark: SparkSession, directory: str, stem: str,
 
 
 def load_periods(spark: SparkSession, paths: Mapping[int, str], period_col: str = "ano",
-                 reader=None, multi_line: bool = True) -> DataFrame:
+                 reader=None, multi_line: bool | str = "split") -> DataFrame:
     """S3: one panel DataFrame from one table per period (union by name,
     missing columns as NULL)."""
     reader = reader or (lambda p: read_table(spark, p, multi_line=multi_line))
@@ -154,6 +175,6 @@ def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def load_train_test(spark: SparkSession, train_path: str, test_path: str,
-                    multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+                    multi_line: bool | str = "split") -> tuple[DataFrame, DataFrame]:
     """Both pair tables (split into X/y with ``schema.split_xy``)."""
     return read_table(spark, train_path, multi_line=multi_line), read_table(spark, test_path, multi_line=multi_line)

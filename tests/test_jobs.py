@@ -43,3 +43,36 @@ def test_drift_job(spark, tmpdir_path):
     assert jobs.drift_job(spark, rp, cp, out) == "alert"
     feats = spark.read.parquet(os.path.join(out, "drift_features"))
     assert {r.feature for r in feats.collect()} == {"x", "c"}  # 'ano' excluded by default
+
+
+def test_drift_runs_of_one_second_stay_apart_and_replace_themselves(spark, tmpdir_path):
+    df = spark.createDataFrame([(float(i % 10), "a") for i in range(50)], "x double, c string")
+    path, out = os.path.join(tmpdir_path, "t.parquet"), os.path.join(tmpdir_path, "mon")
+    df.write.parquet(path)
+    for _ in range(2):
+        jobs.drift_job(spark, path, path, out)
+    jobs.drift_job(spark, path, path, out, run_id="mine")
+    jobs.drift_job(spark, path, path, out, run_id="mine")
+    history = spark.read.parquet(os.path.join(out, "drift_features"))
+    assert history.count() == 6 and history.select("run_id").distinct().count() == 3
+    summary = spark.read.parquet(os.path.join(out, "drift_summary")).filter("run_id = 'mine'").first()
+    assert summary.features_path.endswith("drift_features/run_id=mine") and summary.reference_path == path
+    assert jobs.latest_drift(spark, out).count() == 2
+
+
+def test_train_job_records_its_choice(spark, tmpdir_path):
+    import pytest
+    from pyspark.ml import PipelineModel
+    rows = [(str(i), 1 if i % 5 < 3 else 0, float(i % 7) + 2 * (i % 5 < 3), "SIM" if i % 2 else None, 2022, 2023) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, y int, a double, k string, year_t int, year_t1 int")
+    train, test, art = (os.path.join(tmpdir_path, n) for n in ("train.parquet", "test.parquet", "art"))
+    df.write.parquet(train)
+    df.write.parquet(test)
+    row = jobs.train_job(spark, train, test, art, feature_set="selected", variables=["a"]).first()
+    assert row.features == ["a"] and row.n == 60 and 0 < row.threshold < 1
+    assert PipelineModel.load(row.model_path).transform(df).count() == 60
+    runs = spark.read.parquet(os.path.join(art, "runs"))
+    assert runs.count() == 1 and jobs.evaluate_job(spark, test, os.path.join(art, "runs"), os.path.join(tmpdir_path, "ev"),
+                                                   model_key="logreg").first()["n"] == 60
+    with pytest.raises(ValueError):
+        jobs.train_job(spark, train, test, art, y="nothing")

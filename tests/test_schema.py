@@ -44,3 +44,13 @@ def test_resolve_features():
     assert S.resolve_features("custom", ["idade", "fase", "idade"]) == ["idade", "fase"]
     with pytest.raises(ValueError):
         S.resolve_features("selected")
+
+
+def test_default_dictionary_covers_the_known_features(spark):
+    from sparkpanel.operators import schema as S
+    rows = S.feature_dictionary(spark).collect()
+    assert tuple(r.feature for r in rows) == S.FEATURE_NAMES and len(rows) == 32
+    assert [r.feature for r in rows if r.derived] == ["gap_fase", "pedra_ord", "rec_av_count"]
+    asked = spark.createDataFrame([("ida",), ("unknown",)], "feature string")
+    got = {r.feature: r.description for r in S.describe_features(asked, S.feature_dictionary(spark)).collect()}
+    assert got["ida"].startswith("learning") and got["unknown"] is None
