@@ -16,6 +16,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.scalar import band, to_double
@@ -91,7 +92,9 @@ def start(spark: SparkSession, reference: DataFrame, source_dir: str, checkpoint
     """Start counting the files of ``source_dir`` (columns of the reference and ``period``); returns the
     ``StreamingQuery`` and the cells."""
     cells = Cells.of(reference, {*exclude, period})
-    schema = reference.schema if period in reference.columns else reference.schema.add(period, "int")
+    schema = reference.schema
+    if period not in reference.columns:
+        schema = T.StructType([*schema.fields, T.StructField(period, T.IntegerType())])
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
