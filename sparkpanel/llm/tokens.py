@@ -19,7 +19,7 @@ from itertools import chain, islice
 import numpy as np
 
 CACHE_BYTES = 64 << 20  # of remembered words and pieces: keys, values and their share of the dictionaries
-ENTRY_BYTES = 150  # of a remembered word besides its letters and ids
+ENTRY_BYTES = 120  # of a remembered word besides its letters and ids: two objects' heads, and a place in a dictionary
 _PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
@@ -44,16 +44,20 @@ class WordEncoder:
             raise ValueError(f"{path}: its words are not known to be independent of each other")
         self.model, self.letters = self.library.model, _byte_letters()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4")
+        self.id_bytes = [i.tobytes() for i in np.arange(self.library.get_vocab_size(True), dtype=self.dtype)]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.used = 0  # bytes of the young generation
 
+    def _model_ids(self, letters: str) -> bytes:
+        one = self.id_bytes
+        return b"".join([one[t.id] for t in self.model.tokenize(letters)])
+
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            got = self.pieces[piece] = np.array([t.id for t in tokens], self.dtype).tobytes()
+            got = self.pieces[piece] = self._model_ids(piece.encode().decode("latin-1").translate(self.letters))
             self.used += ENTRY_BYTES + len(piece) + len(got)
         return got
 
@@ -66,7 +70,9 @@ class WordEncoder:
                 young[w] = old[w]
                 continue
             s = w.decode()
-            if _PLAIN.fullmatch(s) and "<|" not in s:
+            if w.isalpha() and w.islower():  # one piece of ASCII letters, which stand for themselves
+                young[w] = self._model_ids(s)
+            elif _PLAIN.fullmatch(s) and "<|" not in s:
                 young[w] = b"".join([piece(p) for p in _PIECES.findall(s.lower())])
             else:
                 whole.append((w, s))
