@@ -138,3 +138,24 @@ def test_validators_and_context(spark):
 def test_main_path_has_no_python(spark, hard):
     plan = pii.digest(pii.find(hard))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_overlaps_of_a_text_full_of_spans_take_near_linear_time():
+    import time
+    import numpy as np
+    import pyarrow as pa
+    from sparkpanel.llm import secret_scan
+    from sparkpanel.llm.arrays import slices
+    text = " ".join(f"{i:016x} Run{i:012d}zz{'+' if i % 2 else ''}" for i in range(16_000))
+    s = next(slices(pa.array([text])))
+    base = secret_scan.base_spans(s)
+    start, end = secret_scan.runs(s, secret_scan._RUN, secret_scan.SHORTEST)
+    began = time.time()
+    free = secret_scan.untouched(base, start, end)
+    assert time.time() - began < 2 and len(base) == 16_000 and free.sum() == 16_000
+    rng = np.random.default_rng(2)
+    some = [(0, "hex", int(a), int(a + n), b"") for a, n in zip(rng.integers(0, 500, 40), rng.integers(1, 60, 40))]
+    x = np.sort(rng.integers(0, 600, 100))
+    y = x + rng.integers(1, 20, 100)
+    want = [not any(a < d and c < b for _, _, c, d, _ in some) for a, b in zip(x, y)]
+    assert secret_scan.untouched(some, x, y).tolist() == want
