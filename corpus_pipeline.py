@@ -2,6 +2,11 @@
 
 Each stage takes the documents that the one before kept, and its decisions
 take effect; all but the last return the columns of documents.
+
+Null, empty and blank texts have no quality weight and go in the first stage.  Null doc_ids and sources
+are kept like others.  Very long texts go through whole.  Of ties the first stage keeps all, and repeated
+rows share their fate there; of equal or near texts one row stays.  Extra columns of any name travel
+along, up to packing, which returns its own.  An empty table gives no pieces.
 """
 
 from __future__ import annotations
