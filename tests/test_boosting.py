@@ -177,3 +177,18 @@ def test_cat_search_prepares_each_fold_alone(rows, monkeypatch):
     fm = MD.fit(train, ["b"], ["k"], MD.ModelConfig("cat"), tuning=MD.TuningConfig(n_splits=2, parallelism=1))
     assert sorted(asked)[2:] == [400, 400] and sum(sorted(asked)[:2]) == 400
     assert fm.best_params["depth"] == 2 and MD.predict(fm, train).count() == 400
+
+
+@pytest.mark.parametrize("p", [B.BoostParams(rounds=7, depth=3, subsample=0.7, colsample=0.67),
+                               B.BoostParams(rounds=5, depth=3, symmetric=True, min_child_weight=0.0)], ids=["second order", "symmetric"])
+def test_rows_of_one_partition_take_no_job_a_level(rows, monkeypatch, p):
+    passes, real = [], B.summed
+    monkeypatch.setattr(B, "summed", lambda *a, **k: passes.append(1) or real(*a, **k))
+    one = B.fit_trees(rows, "features", "y", p, key=F.xxhash64("id"))[0]
+    assert len(one) == p.rounds and not passes
+    monkeypatch.setattr(B, "TASK_ROWS", 100)
+    monkeypatch.setattr(B, "SNAPSHOT", 2)
+    many = B.fit_trees(rows, "features", "y", p, key=F.xxhash64("id"))[0]
+    assert len(many) == p.rounds and len(passes) >= p.rounds
+    for a, b in zip(one, many):
+        assert (a.feature == b.feature).all() and (a.bin == b.bin).all() and np.allclose(a.value, b.value)
