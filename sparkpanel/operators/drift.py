@@ -94,8 +94,11 @@ def numeric_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int =
                  .agg(F.array_sort(F.array_distinct(qexpr)).alias("e"), F.count(v).alias("n_ref")))
     edges = edges.select(*ref_by, "feature", "n_ref", (F.size("e") - 1).alias("nb"),
                          F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))).alias("inner"))
-    # #reference groups x #features rows, one small array each; Spark broadcasts it while it is small
+    # #reference groups x #features rows, one small array each.  Exact edges come from the driver and say
+    # nothing of their size, so the hint: a join dealt by the feature would put all its rows in one task
     e_small = edges.select(*ref_by, "feature", "inner", "nb")
+    if quantiles == "exact":
+        e_small = F.broadcast(e_small)
 
     def bin_of(col: Column) -> Column:
         # right-closed bin = number of inner edges below the value; at most

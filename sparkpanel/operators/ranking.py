@@ -70,7 +70,7 @@ def with_ranges(df: DataFrame, keys: Sequence[str], order_col: str, n_ranges: in
         return add_range_index(df, held, n - 1, v, out)
     edges = df.groupBy(*keys).agg(q)
     edges = _local(spark, edges.collect(), edges.schema)
-    j = df.join(edges, on=keys, how="left")
+    j = df.join(F.broadcast(edges), on=keys, how="left")  # dealt by the keys, a group would be one task's
     return add_range_index(j, F.col("_edges"), n - 1, v, out).drop("_edges")
 
 
@@ -129,7 +129,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value_col: str, probs: S
             tschema = T.StructType([*[hist.schema[k] for k in keys],
                                     T.StructField("_ranks", T.ArrayType(T.LongType()))])
             targets = _local(spark, [(*k, rk) for k, (_, rk) in ranks_of.items()], tschema)
-            hit = ps.join(targets, on=keys, how="inner")
+            hit = ps.join(F.broadcast(targets), on=keys, how="inner")  # a row a group, from the driver
             ranks = F.col("_ranks")
         else:
             hit = ps

@@ -28,3 +28,14 @@ def test_prefix_sums_global(spark):
     for s, w in rows:
         assert got[s] == run
         run += w
+
+
+def test_rows_of_a_feature_are_not_dealt_by_it(spark, monkeypatch):
+    from sparkpanel.operators import drift as D
+    df = spark.range(400).selectExpr("cast(id as double) a", "cast(id % 7 as double) b")
+    plans, real = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: plans.append(self._jdf.queryExecution().toString()) or real(self))
+    got = {r.feature: (r.score, r.n_ref, r.n_cur) for r in D.numeric_psi(df, df, ["a", "b"]).collect()}
+    assert got == {"a": (0.0, 400, 400), "b": (0.0, 400, 400)}
+    counting = next(p for p in plans if "c_cur" in p).split("== Physical Plan ==")[1]
+    assert "BroadcastHashJoin" in counting and "SortMergeJoin" not in counting
