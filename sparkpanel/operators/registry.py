@@ -107,13 +107,18 @@ def resolve_existing(ptr: DataFrame, base_dir: Column | str, existing: DataFrame
                   F.when(~raw.startswith("/"), F.concat(base, F.lit("/"), raw))]
     numbered = ptr.withColumn("_ptr", F.monotonically_increasing_id())
     paths = F.transform(F.array(*tried), _plain_path) if tried else F.array().cast("array<string>")
-    # one pass: each candidate carries its pointer's row, so the ids are not joined back
+    # one pass: a pointer's first candidate carries its row, so the ids are not joined back; keys without a
+    # path are dropped, and a pointer without candidates joins by its own number, so no task gets all of them
+    places = F.filter(F.transform(paths, lambda path, at: F.struct(at.alias("at"), path.alias("path"))),
+                      lambda c: c.getField("path").isNotNull())
     row = F.struct(*[F.col(c) for c in ptr.columns])
-    every = numbered.select("_ptr", row.alias("_row"), F.posexplode_outer(paths).alias("_at", "_path"))
-    there = existing.select(_plain_path(F.col(existing.columns[0])).alias("_path")).distinct() \
+    every = numbered.select("_ptr", row.alias("_row"), F.posexplode_outer(places).alias("_n", "_c")).select(
+        "_ptr", F.when(F.coalesce("_n", F.lit(0)) == 0, F.col("_row")).alias("_row"), F.col("_c.at").alias("_at"),
+        F.col("_c.path").alias("_path"), F.coalesce("_c.path", F.concat(F.lit("\0"), F.col("_ptr").cast("string"))).alias("_key"))
+    there = existing.select(_plain_path(F.col(existing.columns[0])).alias("_key")).distinct() \
         .withColumn("_there", F.lit(True))
-    found = every.join(there, "_path", "left").groupBy("_ptr").agg(
-        F.first("_row").alias("_row"), F.min_by("_path", F.when(F.col("_there"), F.col("_at"))).alias(out))
+    found = every.join(there, "_key", "left").groupBy("_ptr").agg(
+        F.first("_row", ignorenulls=True).alias("_row"), F.min_by("_path", F.when(F.col("_there"), F.col("_at"))).alias(out))
     return found.select(*[F.col(f"_row.{c}").alias(c) for c in ptr.columns], out,
                         parse_run_id(F.col(out)).alias("path_run_id"), parse_model_from_path(F.col(out)).alias("path_model"))
 

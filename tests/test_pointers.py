@@ -26,6 +26,16 @@ def test_first_existing_candidate(spark):
     assert RG.resolve_existing(ptr, "base", existing.limit(0), "/work").where("resolved_path is null").count() == 8
 
 
+def test_pointers_without_candidates_share_no_key(spark, monkeypatch):
+    ptr = spark.range(60).selectExpr("cast(id as int) id", "'/m' base", "if(id % 3 = 0, concat('x', id), null) model_path", "cast(null as string) path")
+    joined, real = [], type(ptr).join
+    monkeypatch.setattr(type(ptr), "join", lambda self, other, on, how: joined.append((self, on)) or real(self, other, on, how))
+    out = RG.resolve_existing(ptr, "base", spark.createDataFrame([("/m/x3",)], "p string"), "/work")
+    assert {r.id: r.resolved_path for r in out.collect()} == {i: "/m/x3" if i == 3 else None for i in range(60)}
+    (left, key), = joined
+    assert left.count() == 20 * 2 + 40 and left.groupBy(key).count().agg({"count": "max"}).first()[0] == 1
+
+
 def test_model_info_names_the_expected_features(spark):
     latest = spark.createDataFrame([("tree", "/m/t", 0.4, ["a", "b"]), ("rf", "/m/r", None, None)],
                                    "model string, model_path string, threshold double, features array<string>")
