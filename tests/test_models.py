@@ -158,3 +158,26 @@ def test_evaluation_threshold_override(spark):
     assert preds.count() == 6 and preds.columns == ["y_true", "y_score", "y_pred"]
     m = MD.evaluate(fm, df, thr).first()
     assert all(0.0 <= x <= 1.0 for x in (m.precision, m.recall, m.f1, m.roc_auc, m.accuracy))
+
+
+def test_forest_keeps_nodes_and_scores_each_side_once(spark, pairs, monkeypatch):
+    assert MD.build_classifier(MD.ModelConfig("rf")).getCacheNodeIds()
+    sides, fitted = [], []
+    plain, fit_rows = MD.score_with, MD.build_classifier(MD.ModelConfig("rf")).__class__.fit
+
+    def counted(model, df, *more):
+        sides.append(df.count())
+        return plain(model, df, *more)
+
+    def seen(self, df, *more):
+        fitted.append(df.rdd.getNumPartitions())
+        return fit_rows(self, df, *more)
+
+    monkeypatch.setattr(MD, "score_with", counted)
+    monkeypatch.setattr(MD.RandomForestClassifier, "fit", seen)
+    cfg = {"rf": MD.ModelConfig("rf", rf_trees=5, rf_max_depth=4)}
+    test = pairs.limit(40)
+    row = MD.compare(pairs.repartition(32), test, ["a", "b"], ["bolsa"], models=("rf",), configs=cfg, id_col="ra").first()
+    assert sides == [60, 40]  # one pass of the trees over each side
+    assert fitted == [2 * spark.sparkContext.defaultParallelism]
+    assert row["test_n"] == 40 and 0.0 <= row["test_roc_auc"] <= 1.0 and row["train_roc_auc"] > 0.5
