@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 
@@ -55,33 +55,44 @@ class WordEncoder:
         return b"".join([one[t.id] for t in self.model.tokenize(letters)])
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
+        """Ids of a piece that is not among the remembered ones; a bare word of the same letters has them too."""
+        raw = piece.encode()
+        got = self.young.get(raw)
         if got is None:
-            got = self.pieces[piece] = self._model_ids(piece.encode().decode("latin-1").translate(self.letters))
-            self.used += ENTRY_BYTES + len(piece) + len(got)
+            got = self._model_ids(piece if len(raw) == len(piece) and raw.isalpha()
+                                  else raw.decode("latin-1").translate(self.letters))
+        self.pieces[piece] = got
+        self.used += ENTRY_BYTES + len(piece) + len(got)
         return got
 
     def _learn(self, words: set[bytes]) -> None:
-        young, old, piece, whole, before = self.young, self.old, self._piece, [], len(self.young)
-        for w in words:
-            if w in young:
-                continue
-            if w in old:
-                young[w] = old[w]
-                continue
-            s = w.decode()
+        young, old, pieces, whole = self.young, self.old, self.pieces, []
+        new = added = list(words.difference(young))
+        if old:
+            young.update([(w, old[w]) for w in new if w in old])
+            new = [w for w in new if w not in young]
+        mixed = []
+        for w, s in zip(new, b"\n".join(new).decode().split("\n")):  # words hold no line break
             if w.isalpha() and w.islower():  # one piece of ASCII letters, which stand for themselves
-                young[w] = self._model_ids(s)
-            elif _PLAIN.fullmatch(s) and "<|" not in s:
-                young[w] = b"".join([piece(p) for p in _PIECES.findall(s.lower())])
+                got = pieces.get(s)
+                young[w] = self._model_ids(s) if got is None else got
+            else:
+                mixed.append((w, s))
+        known, cut, plain = pieces.__getitem__, _PIECES.findall, _PLAIN.fullmatch
+        for w, s in mixed:  # after the bare words, whose ids they share
+            if plain(s) and "<|" not in s:
+                found = cut(s.lower())
+                for p in found:
+                    if p not in pieces:
+                        self._piece(p)
+                young[w] = known(found[0]) if len(found) == 1 else b"".join(map(known, found))
             else:
                 whole.append((w, s))
         if whole:
             for (w, _), e in zip(whole, self.library.encode_batch_fast([s for _, s in whole],
                                                                        add_special_tokens=False)):
                 young[w] = np.array(e.ids, self.dtype).tobytes()
-        for w in islice(reversed(young), len(young) - before):  # the words just added
-            self.used += ENTRY_BYTES + len(w) + len(young[w])
+        self.used += ENTRY_BYTES * len(added) + sum(map(len, added)) + sum(map(len, map(young.__getitem__, added)))
 
     def forget(self) -> None:
         """Free the remembered words."""

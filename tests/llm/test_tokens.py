@@ -147,3 +147,24 @@ def test_tasks_free_their_words(spark, hard):
         yield pa.RecordBatch.from_pydict({"n": [len(e.young) + len(e.old) + len(e.pieces)]})
 
     assert {r.n for r in shared.doc_text(hard).mapInArrow(left, "n long").collect()} == {0}
+
+
+def test_words_share_ids_with_their_pieces():
+    """A word with marks takes the ids of its bare word, and the other way round; every remembered word is counted."""
+    enc = tokens.WordEncoder(tokens.vocabulary())
+    asked, plain = [], enc._model_ids
+    enc._model_ids = lambda letters: asked.append(letters) or plain(letters)
+    texts = [b"harbour harbour, (harbour) quayside;", b"quayside harbour. caf\xc3\xa9, \xc3\x89t\xc3\xa9 <|x|> a\n\nb"]
+    whole = tokens.WordEncoder(tokens.vocabulary()).library
+    want = [np.array(whole.encode(t.decode(), add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
+    assert [enc.encode_many([t])[0] for t in texts] == want
+    assert asked.count("harbour") == 1 and asked.count("quayside") == 1
+
+    def counted():
+        return (sum(tokens.ENTRY_BYTES + len(w) + len(x) for w, x in enc.young.items())
+                + sum(tokens.ENTRY_BYTES + len(w) + len(x) for w, x in enc.pieces.items()))
+
+    assert enc.used == counted()
+    enc.old, enc.young, enc.pieces, enc.used = enc.young, {}, {}, 0
+    assert [enc.encode_many([t])[0] for t in texts] == want
+    assert enc.used == counted() and asked.count("harbour") == 1  # words of the old generation count again
