@@ -5,13 +5,15 @@ All features are handled in the same jobs: each side is unpivoted to
 feature, so there is no per-column loop and no per-column job.
 
 Numeric PSI: reference deciles (linear interpolation, de-duplicated, with
-``-inf``/``+inf`` ends) -> right-closed bin per value via a broadcast of the
-per-feature edge arrays (bounded by #features x #groups) -> counts per bin
+``-inf``/``+inf`` ends) -> right-closed bin per value, found in the row
+before it is unpivoted (one reference group: its edges are literals; several:
+a broadcast row of edge arrays a group) -> counts per bin
 and side (map-side combined) -> every reference bin kept, absent = 0 ->
 probabilities clipped to [1e-6, 1] -> ``sum((pc - pr) * ln(pc / pr))``.
 
 Categorical PSI: NULL is the category ``__na__``; the category domain is the
-union of both sides (full outer join of the two count tables).
+union of both sides.  Each side's values are counted in one shuffle, from
+which both the totals and the cells come.
 
 Comparisons are keyed by ``by`` (e.g. the period of the current side); the
 reference side is keyed by ``ref_by`` (a subset of ``by``), so one fixed
@@ -21,10 +23,12 @@ reference table is scanned once and compared with every period.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import band, clip, to_double
 from .ranking import exact_quantiles
@@ -65,6 +69,51 @@ def normalize_probs(counts: DataFrame, count: str = "n", by: Sequence[str] = ("f
     return counts.join(total, list(by)).withColumn(out, share.cast("double")).drop("_total", "_cells")
 
 
+def _bin_codes(df: DataFrame, keys: Sequence[str], cols: Sequence[str], edges: Sequence, edge_schema,
+               ref_by: Sequence[str], bins: int) -> DataFrame:
+    """``(keys..., code)``, a row for each row and column: ``column * (bins + 2)`` plus the right-closed
+    bin, ``bins`` for NULL, or ``bins + 1`` where the reference has no value."""
+    vals = df.select(*[q(k) for k in keys], *[to_double(q(c)).alias(f"_v{i}") for i, c in enumerate(cols)])
+    if ref_by:
+        groups: dict[tuple, dict] = {}
+        for r in edges:  # #reference groups x #features rows
+            groups.setdefault(tuple(r[k] for k in ref_by), {})[r["feature"]] = r["inner"]
+        schema = T.StructType([*[edge_schema[k] for k in ref_by],
+                               *[T.StructField(f"_e{i}", T.ArrayType(T.DoubleType())) for i in range(len(cols))]])
+        wide = df.sparkSession.createDataFrame([(*k, *[e.get(c) for c in cols]) for k, e in groups.items()], schema)
+        vals = vals.join(F.broadcast(wide), list(ref_by), "left")
+    held = {r["feature"]: r["inner"] for r in edges}
+
+    def code(i: int, c: str) -> Column:
+        v, base = F.col(f"_v{i}"), i * (bins + 2)
+        # right-closed bin = number of inner edges below the value; at most
+        # bins-1 edges, unrolled so the expression stays in generated code
+        if ref_by:
+            none = F.col(f"_e{i}").isNull()
+            terms = [F.coalesce((F.try_element_at(f"_e{i}", F.lit(j)) < v).cast("int"), F.lit(0)) for j in range(1, bins)]
+        else:
+            none = F.lit(c not in held)
+            terms = [(F.lit(e) < v).cast("int") for e in held.get(c, []) if e is not None]
+        return (F.when(v.isNull(), base + bins).when(none, base + bins + 1)
+                .otherwise(sum(terms, F.lit(base))).alias(f"_c{i}"))
+
+    coded = vals.select(*[q(k) for k in keys], *[code(i, c) for i, c in enumerate(cols)])
+    return coded.unpivot([q(k) for k in keys], [f"_c{i}" for i in range(len(cols))], "_column", "code").drop("_column")
+
+
+def _bin_counts(sides: Sequence[DataFrame], keys: Sequence[str], cols: Sequence[str], bins: int) -> DataFrame:
+    """``(keys..., feature, bin, filled, side, rows)`` of each side's codes.  Every side is counted where it is
+    read, before the union.  Bounded (#groups x #features x (bins + 2) rows a side), so it is materialised:
+    rows are scanned once."""
+    parts = [codes.groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("rows")).withColumn("side", F.lit(i))
+             for i, codes in enumerate(sides)]
+    counts = reduce(DataFrame.unionByName, parts)
+    counts = counts.sparkSession.createDataFrame(counts.collect(), counts.schema)
+    column, cell = F.floor(F.col("code") / (bins + 2)).cast("int"), F.col("code") % (bins + 2)
+    return counts.select(*keys, F.element_at(F.array(*[F.lit(c) for c in cols]), column + 1).alias("feature"),
+                         F.when(cell < bins, cell).alias("bin"), (cell != bins).alias("filled"), "side", "rows")
+
+
 def numeric_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int = 10,
                 by: Sequence[str] = (), ref_by: Sequence[str] | None = None,
                 quantiles: str = "exact", accuracy: int = 100000, paired_only: bool = False) -> DataFrame:
@@ -81,7 +130,6 @@ def numeric_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int =
     ref_by = list(by if ref_by is None else ref_by)
     ps = decile_probs(bins)
     rl = _long(ref, ref_by, cols, True)
-    cl = _long(cur, by, cols, True)
     v = F.col("v")
     if quantiles == "exact":
         # distributed histogram + prefix sums; no group is merged in one task
@@ -94,38 +142,27 @@ def numeric_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int =
                  .agg(F.array_sort(F.array_distinct(qexpr)).alias("e"), F.count(v).alias("n_ref")))
     edges = edges.select(*ref_by, "feature", "n_ref", (F.size("e") - 1).alias("nb"),
                          F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))).alias("inner"))
-    # #reference groups x #features rows, one small array each.  Exact edges come from the driver and say
-    # nothing of their size, so the hint: a join dealt by the feature would put all its rows in one task
-    e_small = edges.select(*ref_by, "feature", "inner", "nb")
-    if quantiles == "exact":
-        e_small = F.broadcast(e_small)
-
-    def bin_of(col: Column) -> Column:
-        # right-closed bin = number of inner edges below the value; at most
-        # bins-1 edges, unrolled so the expression stays in generated code
-        terms = [F.coalesce((F.try_element_at("inner", F.lit(i)) < col).cast("int"), F.lit(0))
-                 for i in range(1, bins)]
-        return sum(terms[1:], terms[0]) if terms else F.lit(0)
+    spark = ref.sparkSession
+    held = edges.collect()  # #reference groups x #features rows, one small array each
+    edges = spark.createDataFrame(held, edges.schema)
+    ref_codes = _bin_codes(ref, ref_by, cols, held, edges.schema, ref_by, bins)
+    cur_codes = _bin_codes(cur, by, cols, held, edges.schema, ref_by, bins)
 
     if ref_by == by:
-        # one pass over both sides: conditional counts per (group, feature, bin)
-        both = rl.withColumn("_side", F.lit(0)).unionByName(cl.withColumn("_side", F.lit(1)))
-        b = both.join(e_small, on=[*by, "feature"], how="left")
-        b = b.withColumn("bin", F.when(v.isNotNull() & F.col("nb").isNotNull(), bin_of(v)))
-        side0, side1 = F.col("_side") == 0, F.col("_side") == 1
-        counts = b.groupBy(*by, "feature", "bin").agg(
-            F.count_if(side0 & v.isNotNull()).alias("c_ref"), F.count_if(side1 & v.isNotNull()).alias("c_cur"),
-            F.count_if(side1).alias("rows_cur"))
-        # bounded (#groups x #features x (bins + 1) rows): materialise once so
-        # both sides are scanned exactly once; the rest is a tiny local plan
-        counts = counts.sparkSession.createDataFrame(counts.collect(), counts.schema)
+        # one pass over both sides: counts per (group, feature, bin) and side
+        counts = _bin_counts([ref_codes, cur_codes], by, cols, bins)
+        side0, side1, rows = F.col("side") == 0, F.col("side") == 1, F.col("rows")
+        counts = counts.groupBy(*by, "feature", "bin").agg(
+            F.sum(F.when(side0 & F.col("filled"), rows).otherwise(0)).alias("c_ref"),
+            F.sum(F.when(side1 & F.col("filled"), rows).otherwise(0)).alias("c_cur"),
+            F.sum(F.when(side1, rows).otherwise(0)).alias("rows_cur"))
         tot = counts.groupBy(*by, "feature").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"),
                                                  F.sum("rows_cur").alias("rows_cur"))
         if not by:  # a side without rows still has every feature
             tot = _all_features(tot, cols, {"n_ref": 0, "n_cur": 0, "rows_cur": 0})
         if paired_only:
             tot = tot.where(F.col("rows_cur") > 0)
-        tot = tot.join(e_small.select(*by, "feature", "nb"), [*by, "feature"], "left")
+        tot = tot.join(edges.select(*by, "feature", "nb"), [*by, "feature"], "left")
         cells = (tot.where(F.col("nb") >= 1)
                  .select(*by, "feature", "n_ref", "n_cur",
                          F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bin"))
@@ -140,16 +177,10 @@ def numeric_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int =
 
     # Separate reference groups (e.g. one fixed reference period): each side
     # is scanned once; both bin-count tables are bounded and materialised.
-    spark = ref.sparkSession
-    rb = (rl.where(v.isNotNull()).join(e_small, on=[*ref_by, "feature"], how="inner")
-          .withColumn("bin", bin_of(v)).groupBy(*ref_by, "feature", "bin")
-          .agg(F.count(F.lit(1)).alias("c_ref")))
-    rb = spark.createDataFrame(rb.collect(), rb.schema)
-    cb = (cl.join(e_small, on=[*ref_by, "feature"], how="left")
-          .withColumn("bin", F.when(v.isNotNull() & F.col("nb").isNotNull(), bin_of(v)))
-          .groupBy(*by, "feature", "bin")
-          .agg(F.count_if(v.isNotNull()).alias("c_cur")))
-    cb = spark.createDataFrame(cb.collect(), cb.schema)
+    rb = _bin_counts([ref_codes], ref_by, cols, bins)
+    rb = rb.where(F.col("bin").isNotNull()).select(*ref_by, "feature", "bin", F.col("rows").alias("c_ref"))
+    cb = _bin_counts([cur_codes], by, cols, bins).groupBy(*by, "feature", "bin").agg(
+        F.sum(F.when(F.col("filled"), F.col("rows")).otherwise(0)).alias("c_cur"))
     cur_tot = cb.groupBy(*by, "feature").agg(F.sum("c_cur").alias("n_cur"))
     frame = (cur_tot.join(edges.select(*ref_by, "feature", "nb", "n_ref"),
                           on=[*ref_by, "feature"], how="left"))
@@ -182,19 +213,22 @@ def categorical_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str],
     ref_by = list(by if ref_by is None else ref_by)
     rl = _long(ref, ref_by, cols, False)
     cl = _long(cur, by, cols, False)
+    # counts per (group, feature, value) of each side, made where it is read; totals and cells take the same
+    # columns of them, so Spark scans and shuffles a side once
+    rv = rl.groupBy(*ref_by, "feature", "v").agg(F.count(F.lit(1)).alias("rows"))
+    cv = cl.groupBy(*by, "feature", "v").agg(F.count(F.lit(1)).alias("rows"))
+    rows, filled = F.col("rows"), F.col("v").isNotNull()
     cat = F.coalesce(F.col("v"), F.lit(NA)).alias("cat")
     if ref_by == by:
-        # one pass: conditional counts per (group, feature, category) over the
-        # union of both sides = the union of the two category domains
-        both = rl.withColumn("_side", F.lit(0)).unionByName(cl.withColumn("_side", F.lit(1)))
+        # the union of both sides' counts = the union of the two category domains
+        values = rv.withColumn("_side", F.lit(0)).unionByName(cv.withColumn("_side", F.lit(1)))
         s0, s1 = F.col("_side") == 0, F.col("_side") == 1
-        counts = both.groupBy(*by, "feature", cat).agg(
-            F.count_if(s0).alias("c_ref"), F.count_if(s1).alias("c_cur"),
-            F.count_if(s0 & F.col("v").isNotNull()).alias("nn_ref"),
-            F.count_if(s1 & F.col("v").isNotNull()).alias("nn_cur"))
-        tot = (counts.groupBy(*by, "feature")
-               .agg(F.sum("c_ref").alias("t_ref"), F.sum("c_cur").alias("t_cur"),
-                    F.sum("nn_ref").alias("n_ref"), F.sum("nn_cur").alias("n_cur")))
+        counts = values.groupBy(*by, "feature", cat).agg(F.sum(F.when(s0, rows).otherwise(0)).alias("c_ref"),
+                                                         F.sum(F.when(s1, rows).otherwise(0)).alias("c_cur"))
+        tot = (values.groupBy(*by, "feature")
+               .agg(F.sum(F.when(s0, rows).otherwise(0)).alias("t_ref"), F.sum(F.when(s1, rows).otherwise(0)).alias("t_cur"),
+                    F.sum(F.when(s0 & filled, rows).otherwise(0)).alias("n_ref"),
+                    F.sum(F.when(s1 & filled, rows).otherwise(0)).alias("n_cur")))
         if not by:
             tot = _all_features(tot, cols, {"t_ref": 0, "t_cur": 0, "n_ref": 0, "n_cur": 0})
         if paired_only:
@@ -206,10 +240,11 @@ def categorical_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str],
         out = tot.join(psi, on=[*by, "feature"], how="left")
         return out.select(*by, "feature", F.coalesce("score", F.lit(0.0)).alias("score"),
                           F.col("n_ref").cast("long").alias("n_ref"), F.col("n_cur").cast("long").alias("n_cur"))
-    rc = rl.groupBy(*ref_by, "feature", cat).agg(F.count(F.lit(1)).alias("c_ref"), F.count("v").alias("nn_ref"))
-    cc = cl.groupBy(*by, "feature", cat).agg(F.count(F.lit(1)).alias("c_cur"), F.count("v").alias("nn_cur"))
-    cur_keys = cc.groupBy(*by, "feature").agg(F.sum("c_cur").alias("t_cur"), F.sum("nn_cur").alias("n_cur"))
-    ref_tot = rc.groupBy(*ref_by, "feature").agg(F.sum("c_ref").alias("t_ref"), F.sum("nn_ref").alias("n_ref"))
+    rc = rv.groupBy(*ref_by, "feature", cat).agg(F.sum("rows").alias("c_ref"))
+    cc = cv.groupBy(*by, "feature", cat).agg(F.sum("rows").alias("c_cur"))
+    nn = F.sum(F.when(filled, rows).otherwise(0))
+    cur_keys = cv.groupBy(*by, "feature").agg(F.sum("rows").alias("t_cur"), nn.alias("n_cur"))
+    ref_tot = rv.groupBy(*ref_by, "feature").agg(F.sum("rows").alias("t_ref"), nn.alias("n_ref"))
     keys = cur_keys.join(ref_tot, on=[*ref_by, "feature"], how="left")
     # reference categories expanded to each comparison group (bounded by
     # #groups x #categories); then the union of both domains.
