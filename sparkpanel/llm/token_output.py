@@ -10,6 +10,8 @@ one short stretch.  That takes about ``2 + log2(ids / documents)`` bits a
 document and no 64-bit table.  Shards follow ascending doc_id (null first,
 equal doc_ids by text): a range shuffle and a sort within partitions, each
 partition cut into shards of ``SHARD_IDS`` ids (one document is never cut).
+Tasks are short against the words of a language, so a worker keeps the words
+it has met from task to task (``KEPT_BYTES`` at most) until it reads ids.
 
 Null, empty and blank texts hold the end id alone.  An empty
 table gives an empty folder.  Repeated rows are separate documents.  A very long text is encoded at
@@ -34,6 +36,7 @@ SHARD_IDS = 4_000_000
 SAMPLE = 64
 STRETCH = 64  # samples that one step of select_many reads
 ENCODE_BYTES = 1 << 20
+KEPT_BYTES = 160 << 20  # of words that a worker remembers from one task of write_ids to the next
 
 SHARDS = ("part int, shard int, ids_before long, n_docs int, n_ids long, id_bytes int, doc_ids array<long>, "
           "low_bits int, low binary, high binary, places binary, ids binary")
@@ -100,9 +103,12 @@ class EliasFano:
         return (ones[:self.n] - i) << self.low_bits | self._low(i)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, int, list[bytes]]]:
-    """(batch, first row, ids of some rows) over all rows, about ENCODE_BYTES of text at a time."""
+def encoded(batches: Iterator[pa.RecordBatch], path: str,
+            kept: int = 0) -> Iterator[tuple[pa.RecordBatch, int, list[bytes]]]:
+    """(batch, first row, ids of some rows) over all rows, about ENCODE_BYTES of text at a time.  With ``kept``
+    the words met stay in the worker for its next task, in at most so many bytes; else they are freed."""
     enc = tokens.encoder(path)
+    enc.room = kept
     try:
         for batch in batches:
             data, offsets = raw_texts(batch.column("text"))
@@ -113,7 +119,8 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.R
                 yield batch, i, enc.encode_many([data[a:b].tobytes() for a, b in zip(offsets[i:j], offsets[i + 1:j + 1])])
                 i = j
     finally:
-        enc.forget()  # workers outlive tasks
+        if not kept:
+            enc.forget()  # workers outlive tasks
         give_back()
 
 
@@ -134,7 +141,7 @@ def write_ids(docs: DataFrame, out: str, vocabulary: str, end_id: int, shard_ids
         part, dtype = TaskContext.get().partitionId(), tokens.encoder(vocabulary).dtype
         end = np.array([end_id], dtype).tobytes()
         shard, before, n, ids, doc_ids = 0, 0, 0, [], []
-        for batch, first, found in encoded(batches, vocabulary):
+        for batch, first, found in encoded(batches, vocabulary, KEPT_BYTES):
             keys = batch.column("doc_id").slice(first, len(found)).to_pylist()
             for key, x in zip(keys, found):
                 m = len(x) // dtype.itemsize + 1
@@ -164,6 +171,7 @@ def read_ids(spark: SparkSession, out: str) -> DataFrame:
     base = spark.createDataFrame(starts, "part int, part_start long")
 
     def run(batches):
+        tokens.forget_all()  # a worker that wrote may read
         for batch in batches:
             for r in batch.to_pylist():
                 ends = EliasFano(r["n_docs"] + 1, r["low_bits"], r["low"], r["high"], r["places"])

@@ -3,7 +3,8 @@
 The vocabulary file used here drops white space and never joins across it, so
 a text's ids are its words' ids one after another.  A task keeps the ids of
 words that it has met, in two generations of at most ``CACHE_BYTES / 2`` each,
-and frees them when it ends.  A
+and frees them when it ends; an operator may let the worker keep them for its
+next task, in a room of its own choice.  A
 new word of plain letters, digits and punctuation is cut into the vocabulary's
 pieces, and the library's BPE model gives the ids of each new piece; any other
 new word goes through the library whole.  Equality with encoding each whole
@@ -49,6 +50,7 @@ class WordEncoder:
         self.old: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.used = 0  # bytes of the young generation
+        self.room = 0  # bytes of both generations; 0: CACHE_BYTES
 
     def _model_ids(self, letters: str) -> bytes:
         one = self.id_bytes
@@ -101,7 +103,7 @@ class WordEncoder:
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """Ids of UTF-8 texts.  ASCII letters are lowered first, unless the word holds
         a combining mark or a special token's opening, where that could matter."""
-        if self.used > CACHE_BYTES // 2:
+        if self.used > (self.room or CACHE_BYTES) // 2:
             self.old, self.young, self.pieces, self.used = self.young, {}, {}, 0
         split = []
         for t in texts:
@@ -124,6 +126,12 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def forget_all() -> None:
+    """Free the words that this worker's encoders remember."""
+    for enc in _encoders.values():
+        enc.forget()
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """The path of a public vocabulary file."""
     import public_tokenizers

@@ -168,3 +168,31 @@ def test_words_share_ids_with_their_pieces():
     enc.old, enc.young, enc.pieces, enc.used = enc.young, {}, {}, 0
     assert [enc.encode_many([t])[0] for t in texts] == want
     assert enc.used == counted() and asked.count("harbour") == 1  # words of the old generation count again
+
+
+def test_words_outlast_a_task_of_the_writer_alone(monkeypatch):
+    """Each short task of write_ids learned the common words again."""
+    import pyarrow as pa
+    from sparkpanel.llm import token_output
+    path, asked = tokens.vocabulary(), []
+    enc = tokens.encoder(path)
+    enc.forget()
+    model_ids = enc._model_ids
+    monkeypatch.setattr(enc, "_model_ids", lambda s: asked.append(s) or model_ids(s))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some plain words", "plain Words, again"]})
+
+    def ids(kept):
+        return [x for _, _, found in token_output.encoded(iter([batch]), path, kept) for x in found]
+
+    first = ids(token_output.KEPT_BYTES)
+    learned = len(asked)
+    assert learned and ids(token_output.KEPT_BYTES) == first and len(asked) == learned
+    assert ids(0) == first and not enc.young and not enc.old  # others free them
+    ids(token_output.KEPT_BYTES)
+    tokens.forget_all()
+    assert not enc.young and not enc.old and not enc.pieces and enc.used == 0
+    enc.room = 4 * len(b"plain")  # a full room is emptied in generations
+    assert enc.encode_many([b"some plain words"]) and enc.encode_many([b"plain words, again"])
+    assert enc.old and enc.encode_many([b"some plain words"])[0] == first[0]
+    enc.room = 0
+    enc.forget()
