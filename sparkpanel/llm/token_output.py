@@ -36,7 +36,7 @@ SHARD_IDS = 4_000_000
 SAMPLE = 64
 STRETCH = 64  # samples that one step of select_many reads
 ENCODE_BYTES = 1 << 20
-KEPT_BYTES = 160 << 20  # of words that a worker remembers from one task of write_ids to the next
+KEPT_BYTES = 256 << 20  # of words that a worker remembers from one task of write_ids to the next
 
 SHARDS = ("part int, shard int, ids_before long, n_docs int, n_ids long, id_bytes int, doc_ids array<long>, "
           "low_bits int, low binary, high binary, places binary, ids binary")
