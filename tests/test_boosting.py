@@ -192,3 +192,58 @@ def test_rows_of_one_partition_take_no_job_a_level(rows, monkeypatch, p):
     assert len(many) == p.rounds and len(passes) >= p.rounds
     for a, b in zip(one, many):
         assert (a.feature == b.feature).all() and (a.bin == b.bin).all() and np.allclose(a.value, b.value)
+
+
+@pytest.mark.parametrize("symmetric", [False, True])
+def test_many_rows_take_one_job_and_are_made_once(spark, monkeypatch, symmetric):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(200_000).selectExpr("id", "cast(id % 91 as double) a", "cast(id % 7 < 3 as int) y").mapInArrow(
+        count, "id long, a double, y int")
+    data = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
+    passes, real = [], B.summed
+    monkeypatch.setattr(B, "summed", lambda *a, **k: passes.append(1) or real(*a, **k))
+    trees, _ = B.fit_trees(data, "features", "y", B.BoostParams(rounds=2, depth=2, symmetric=symmetric), key=F.col("id"))
+    assert len(trees) == 2 and not passes and made.value == 200_000
+
+
+@pytest.mark.parametrize("p", [B.BoostParams(rounds=6, depth=3, subsample=0.7), B.BoostParams(rounds=6, depth=3, min_child_weight=9.0),
+                               B.BoostParams(rounds=6, depth=3, symmetric=True, min_child_weight=0.0)], ids=["sampled", "leaves", "symmetric"])
+def test_a_worker_goes_on_from_any_pass_it_has_seen(monkeypatch, p):
+    """Sums are the same whether a worker has seen every pass, some of them, or none, and without room for its rows."""
+    rng = np.random.default_rng(5)
+    n, n_bins, used = 3000, 16, np.arange(3)
+    x, y = rng.integers(0, n_bins, (3, n)).astype(np.uint8), (rng.random(n) < 0.4).astype(float)
+
+    def blocks():
+        return iter([B.Block({"n": len(some), "x": np.ascontiguousarray(x[:, some]).tobytes(), "y": y[some].tobytes(),
+                              "w": np.ones(len(some)).tobytes(), "key": some.astype("<i8").tobytes()})
+                     for some in (np.arange(1000), np.arange(1000, n))])
+
+    edges, trees = [np.arange(n_bins - 1.0)] * 3, []
+    for round_ in range(p.rounds):
+        tree = B.Tree.empty(p.depth)
+        for level in range(p.depth):
+            asked = (tuple(trees), tree, level, used, n_bins, round_, p)
+            sums = B.level_pass(0, blocks(), "always", *asked)
+            B._held.pop(("new", 0), None)
+            others = [B.level_pass(0, blocks(), "new", *asked)]
+            if (3 * round_ + level) % 4 == 1:
+                others.append(B.level_pass(0, blocks(), "some", *asked))
+            with monkeypatch.context() as m:
+                m.setattr(B, "HELD_BYTES", 0)
+                m.setattr(B, "_held", B.OrderedDict())
+                others.append(B.level_pass(0, blocks(), "full", *asked))
+                assert not B._held
+            assert all((o == sums).all() for o in others)
+            if not B.grow(tree, level, sums, used, edges, p):
+                break
+        trees.append(tree)
+    direct = list(B.boosted(list(blocks()), edges, p))
+    assert all((a.feature == b.feature).all() and (a.value == b.value).all() for a, b in zip(trees, direct)) and len(direct) == p.rounds
+    assert B.level_pass(1, iter(()), "always", (), B.Tree.empty(p.depth), 0, used, n_bins, 0, p) is None
