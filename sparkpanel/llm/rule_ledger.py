@@ -115,17 +115,11 @@ def mask(rules: tuple[str, ...]) -> int:
 
 
 def apply_policy(led: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
-    """The ledger with base_failed, kept (no rule of the policy fails) and the policy's name."""
-    return (led.withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(mask(BASE))) != 0)
-            .withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy]) | mask(BASE))) == 0)
-            .withColumn("policy", F.lit(policy)))
-
-
-def with_blame(led: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
-    """``apply_policy`` with ``only_rule``: the one rule whose removal from the policy would keep the
-    document (null if it is kept, or fails several)."""
-    out = apply_policy(led, policy)
+    """The ledger with base_failed, kept (no rule of the policy fails), the policy's name and ``only_rule``: the
+    one rule whose removal from the policy would keep the document (null if it is kept, or fails several)."""
     bits = F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy]) | mask(BASE)))
+    out = (led.withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(mask(BASE))) != 0)
+           .withColumn("kept", bits == 0).withColumn("policy", F.lit(policy)))
     names = F.array(*[F.lit(r) for r in RULES])
     single = F.bit_count(bits) == 1
     return out.withColumn("only_rule", F.when(single, F.element_at(names, (F.round(F.log2(bits.cast("double"))) + 1).cast("int"))))

@@ -159,18 +159,19 @@ def numeric_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int =
         tot = counts.groupBy(*by, "feature").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"),
                                                  F.sum("rows_cur").alias("rows_cur"))
         if not by:  # a side without rows still has every feature
-            tot = _all_features(tot, cols, {"n_ref": 0, "n_cur": 0, "rows_cur": 0})
+            tot = _all_features(F.broadcast(tot), cols, {"n_ref": 0, "n_cur": 0, "rows_cur": 0})
         if paired_only:
             tot = tot.where(F.col("rows_cur") > 0)
-        tot = tot.join(edges.select(*by, "feature", "nb"), [*by, "feature"], "left")
+        # every table from here on is as small as the edges and counts held above
+        tot = tot.join(F.broadcast(edges.select(*by, "feature", "nb")), [*by, "feature"], "left")
         cells = (tot.where(F.col("nb") >= 1)
                  .select(*by, "feature", "n_ref", "n_cur",
                          F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bin"))
-                 .join(counts.select(*by, "feature", "bin", "c_ref", "c_cur"), [*by, "feature", "bin"], "left"))
+                 .join(F.broadcast(counts.select(*by, "feature", "bin", "c_ref", "c_cur")), [*by, "feature", "bin"], "left"))
         terms = cells.select(*by, "feature", _psi_term(_prob(F.coalesce("c_ref", F.lit(0)), F.col("n_ref")),
                                                        _prob(F.coalesce("c_cur", F.lit(0)), F.col("n_cur"))).alias("t"))
         psi = terms.groupBy(*by, "feature").agg(F.sum("t").alias("psi"))
-        out = tot.join(psi, on=[*by, "feature"], how="left")
+        out = tot.join(F.broadcast(psi), on=[*by, "feature"], how="left")
         ok = (F.col("n_ref") > 0) & (F.col("n_cur") > 0) & (F.coalesce("nb", F.lit(0)) >= 1)
         return out.select(*by, "feature", F.when(ok, F.coalesce("psi", F.lit(0.0))).otherwise(F.lit(0.0)).alias("score"),
                           F.col("n_ref").cast("long").alias("n_ref"), F.col("n_cur").cast("long").alias("n_cur"))
